@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldspan.llm.textops import coded, mix64, split_words
+from foldspan.llm.textops import coded, mix64, pieces, split_words
 
 SHINGLE, SHARE = 5, 0.8
 #: Items and text bytes of one block of the query set; each block is one pass over the documents.
@@ -73,7 +73,7 @@ class ItemIndex:
 
 def _search(batches: Iterator[pa.RecordBatch], index) -> Iterator[pa.RecordBatch]:
     index = index.value
-    for batch in batches:
+    for batch in pieces(batches):
         text = batch.column("text")
         bounds, flat = split_words(text, lower=True)
         codes, dictionary = coded(flat)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -11,6 +13,15 @@ SPACE = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in smaller ones of about ``most`` bytes of text, whole texts each."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // most)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+            yield batch.slice(a, b - a)
+
+
 def split_words(text: pa.Array, lower: bool = False) -> tuple[np.ndarray, pa.Array]:
     """Bounds (one more than texts) and the flat array of words. A null text has none; ``lower`` maps A-Z only."""
     text = pc.fill_null(text.cast(pa.large_string()), "")
