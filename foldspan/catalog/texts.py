@@ -77,8 +77,8 @@ def q_keyword_counts(t):
 
 @query("T11")
 def q_outlook_block(t):
-    block = T.outlook_block(F.col("text"), WORDS, FUTURE, CURRENT, END)
-    return t.documents.select(F.col("doc_id").alias("id"), *[v.alias(k) for k, v in block.items()])
+    docs = t.documents.select(F.col("doc_id").alias("id"), "text")
+    return T.outlook_block(docs, "text", WORDS, FUTURE, CURRENT, END).drop("text")
 
 
 _N = {k: _count(v, "text") for k, v in OVERVIEW.items()}
@@ -88,8 +88,8 @@ _PAIRS = (("digital", "service"), ("digital", "rd"), ("finance", "digital"), ("l
 
 @query("T12", "WITH n AS (SELECT doc_id AS id, source, " + ", ".join(f"{v} AS {k}" for k, v in _N.items()) + " FROM documents) SELECT id, " + ", ".join(f"{k} AS {k}_count" for k in _N) + ", " + ", ".join(f"CAST({k} > 0 AS INT) AS has_{k}" for k in _SOME) + ", digital + service + rd + finance - low AS digital_minus_low, " + ", ".join(f"CAST({a} > 0 AND {b} > 0 AS INT) AS {a}_x_{b}" for a, b in _PAIRS) + f", CAST(digital > 0 AND NOT regexp_matches(source, {_q(KINDS['information'])}) AS INT) AS digital_x_non_info, CAST(finance > 0 AND NOT regexp_matches(source, {_q(KINDS['finance'])}) AS INT) AS finance_x_non_finance, CAST(rd > 0 AND regexp_matches(source, {_q(KINDS['manufacturing'])}) AS INT) AS rd_x_manufacturing FROM n")
 def q_overview_block(t):
-    block = T.overview_block(F.col("text"), OVERVIEW, F.col("source"), KINDS)
-    return t.documents.select(F.col("doc_id").alias("id"), *[v.alias(k) for k, v in block.items()])
+    docs = t.documents.select(F.col("doc_id").alias("id"), "text", "source")
+    return T.overview_block(docs, "text", OVERVIEW, F.col("source"), KINDS).drop("text", "source")
 
 
 _HIGH, _LOW = (("a", ("quell", "heit")), ("b", ("ndre",)), ("c", ("eau",))), (("d", ("ounc", "shor")), ("e", ("wh",)), ("f", ("ía", "üß")))
@@ -179,7 +179,7 @@ def q_head_tail(t):
 
 @query("T28", "WITH w AS (SELECT doc_id AS id, string_split(text, ' ') AS w FROM documents), k AS (SELECT id, w, unnest(range(0, greatest(CAST(ceil((len(w) - 64) / 48) AS BIGINT), 0) + 1)) AS k FROM w) SELECT id, CAST(k AS INT) AS k, array_to_string(w[k * 48 + 1:k * 48 + 64], ' ') AS part FROM k")
 def q_chunks(t):
-    parts = t.documents.select(F.col("doc_id").alias("id"), F.posexplode(T.chunks(F.split("text", " "), 64, 48)).alias("k", "part"))
+    parts = t.documents.withColumn("tokens", F.split("text", " ")).select(F.col("doc_id").alias("id"), F.posexplode(T.chunks(F.col("tokens"), 64, 48)).alias("k", "part"))
     return parts.select("id", "k", F.array_join("part", " ").alias("part"))
 
 
@@ -198,7 +198,7 @@ def q_embed(t):
 
 @query("E2")
 def q_embed_chunked(t):
-    return V.embed_chunked(t.documents, "doc_id", F.split("text", " "), V.hash_encoder(16), 64, 48)
+    return V.embed_chunked(t.documents.withColumn("tokens", F.split("text", " ")), "doc_id", F.col("tokens"), V.hash_encoder(16), 64, 48)
 
 
 @query("E3", f"WITH v AS (SELECT {_D.format('embedding')} AS v FROM embeddings) SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_not_finite, count(*) FILTER (abs({_NORM.format('v')} - 1) > 1e-3) AS n_off_norm, CAST(max(len(v)) AS BIGINT) AS dim, min(v) = max(v) AS all_equal FROM v")

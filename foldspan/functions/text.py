@@ -84,28 +84,31 @@ def share(a: Column, b: Column) -> Column:
     return F.coalesce(safe_div(a, b), F.lit(0.0))
 
 
-def outlook_block(c: Column, words: Mapping[str, Sequence[str]], future: Sequence[str], current: Sequence[str], end: str = "。") -> dict[str, Column]:
-    """Nine counts, five flags, two differences, three shares, three interactions of the groups
+def outlook_block(df: DataFrame, text: str, words: Mapping[str, Sequence[str]], future: Sequence[str], current: Sequence[str], end: str = "。") -> DataFrame:
+    """``df`` with nine counts, five flags, two differences, three shares, three interactions of the groups
     cautious, expand, education and vendor in the whole text, its future part and its education sentences."""
-    ahead, learn = future_carried(c, future, current, end), context_of(c, words["education"], end)
+    df = df.withColumns({"__ahead": future_carried(F.col(text), future, current, end), "__learn": context_of(F.col(text), words["education"], end)})
+    c, ahead, learn = F.col(text), F.col("__ahead"), F.col("__learn")
     n = {f"{k}_count": count_literals(c, words[k]) for k in ("cautious", "expand", "education", "vendor")}
     n |= {f"future_{k}_count": count_literals(ahead, words[k]) for k in ("cautious", "expand", "education")}
     n |= {f"edu_{k}_count": count_literals(learn, words[k]) for k in ("cautious", "expand")}
+    df, n = df.withColumns(n), {k: F.col(k) for k in n}
     some = lambda k: (n[k] > 0)
     flags = {f"has_{k}": some(f"{k}_count").cast("int") for k in ("cautious", "future_cautious", "education", "future_education", "vendor")}
     both = {f"{a}_x_{b}": (some(f"{a}_count") & some(f"{b}_count")).cast("int") for a, b in (("education", "expand"), ("education", "cautious"), ("vendor", "education"))}
     kana = F.size(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit("([ァ-ヶー])"), F.lit(1)))
     shares = {"future_text_ratio": share(F.length(ahead), F.length(c)), "education_text_ratio": share(F.length(learn), F.length(c)), "katakana_ratio": share(kana, F.length(c))}
     less = {"expand_minus_cautious": n["expand_count"] - n["cautious_count"], "future_expand_minus_cautious": n["future_expand_count"] - n["future_cautious_count"]}
-    return {**n, **flags, **less, **shares, **both}
+    return df.withColumns({**flags, **less, **shares, **both}).drop("__ahead", "__learn")
 
 
-def overview_block(c: Column, words: Mapping[str, Sequence[str]], industry: Column | None = None, kinds: Mapping[str, str] | None = None) -> dict[str, Column]:
-    """Counts and flags of the groups digital, service, rd, finance, manufacturing, low, physical; their interactions;
+def overview_block(df: DataFrame, text: str, words: Mapping[str, Sequence[str]], industry: Column | None = None, kinds: Mapping[str, str] | None = None) -> DataFrame:
+    """``df`` with counts and flags of the groups digital, service, rd, finance, manufacturing, low, physical; their interactions;
     and three conditioned on patterns ``kinds`` (information, finance, manufacturing) of the industry."""
-    n = {f"{k}_count": count_literals(c, words[k]) for k in ("digital", "service", "rd", "finance", "manufacturing", "low", "physical")}
+    n = {f"{k}_count": count_literals(F.col(text), words[k]) for k in ("digital", "service", "rd", "finance", "manufacturing", "low", "physical")}
+    df, n = df.withColumns(n), {k: F.col(k) for k in n}
     some = {k: n[f"{k}_count"] > 0 for k in ("digital", "service", "rd", "finance", "low", "physical")}
-    out = {**n, **{f"has_{k}": v.cast("int") for k, v in some.items()}}
+    out = {f"has_{k}": v.cast("int") for k, v in some.items()}
     out["digital_minus_low"] = n["digital_count"] + n["service_count"] + n["rd_count"] + n["finance_count"] - n["low_count"]
     for a, b in (("digital", "service"), ("digital", "rd"), ("finance", "digital"), ("low", "physical")):
         out[f"{a}_x_{b}"] = (some[a] & some[b]).cast("int")
@@ -114,7 +117,7 @@ def overview_block(c: Column, words: Mapping[str, Sequence[str]], industry: Colu
         out["digital_x_non_info"] = (some["digital"] & ~of["information"]).cast("int")
         out["finance_x_non_finance"] = (some["finance"] & ~of["finance"]).cast("int")
         out["rd_x_manufacturing"] = (some["rd"] & of["manufacturing"]).cast("int")
-    return out
+    return df.withColumns(out)
 
 
 def top_flags(c: Column, groups: Sequence[tuple[str, Sequence[str]]], prefix: str = "top", total: str | None = None) -> dict[str, Column]:
@@ -166,12 +169,15 @@ def lookup(df: DataFrame, table: DataFrame, key: str, value: str, default: float
 def workforce_axes(df: DataFrame, chart: str, overview: str, industry_score: Column, channel: str, employees: str, knowledge: Mapping[str, str], field: Mapping[str, str]) -> DataFrame:
     """Share of knowledge work in the chart, of the business, breadth of both, and the scale of who could be trained;
     with the logarithm of the employees and their share as the parents of that product."""
-    ck, ok = family_hits(F.upper(chart), knowledge), family_hits(F.upper(overview), knowledge)
-    org = laplace_share(ck, family_hits(F.upper(chart), field))
-    business = (laplace_share(ok, family_hits(F.upper(overview), field)) + industry_score + channel_score(F.col(channel))) / 3.0
-    heads = F.log1p(F.greatest(F.coalesce(F.col(employees).cast("double"), F.lit(0.0)), F.lit(0.0)))
-    scale = heads * (org + business) / 2.0
-    return df.withColumns({"org_share": org, "business_share": business, "breadth": F.size(F.array_union(ck, ok)) / float(len(knowledge)), "log_heads": heads, "target_scale": scale, "target_share": F.coalesce(safe_div(scale, F.when(heads != 0, heads)), F.lit(0.5))})
+    df = df.withColumns({"__ck": family_hits(F.upper(chart), knowledge), "__cf": family_hits(F.upper(chart), field), "__ok": family_hits(F.upper(overview), knowledge), "__of": family_hits(F.upper(overview), field)})
+    df = df.withColumns({
+        "org_share": laplace_share(F.col("__ck"), F.col("__cf")),
+        "business_share": (laplace_share(F.col("__ok"), F.col("__of")) + industry_score + channel_score(F.col(channel))) / 3.0,
+        "breadth": F.size(F.array_union("__ck", "__ok")) / float(len(knowledge)),
+        "log_heads": F.log1p(F.greatest(F.coalesce(F.col(employees).cast("double"), F.lit(0.0)), F.lit(0.0))),
+    }).drop("__ck", "__cf", "__ok", "__of")
+    df = df.withColumn("target_scale", F.col("log_heads") * (F.col("org_share") + F.col("business_share")) / 2.0)
+    return df.withColumn("target_share", F.coalesce(safe_div("target_scale", F.when(F.col("log_heads") != 0, F.col("log_heads"))), F.lit(0.5)))
 
 
 def char_ngrams(c: Column, low: int, high: int) -> Column:
@@ -189,7 +195,14 @@ def word_char_ngrams(c: Column, low: int, high: int) -> Column:
 
 def word_ngrams(c: Column, low: int = 1, high: int = 2, pattern: str = r"([\p{L}\p{N}]{2,})") -> Column:
     words = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(pattern), F.lit(1))
-    some = lambda n: F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+
+    def some(n: int) -> Column:
+        # shifted lists side by side, so that the words of a text are found once for each shift
+        out = words
+        for k in range(1, n):
+            out = F.zip_with(out, F.slice(words, k + 1, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
+        return F.filter(out, lambda x: x.isNotNull())
+
     return F.concat(*[some(n) for n in range(low, high + 1)])
 
 
