@@ -22,13 +22,14 @@ def norm(v: Column) -> Column:
     return F.sqrt(dot(v, v))
 
 
-def scaled(v: Column, k: Column) -> Column:
-    return F.transform(as_doubles(v), lambda x: x / k)
+def let(c: Column, f) -> Column:
+    """``f`` of a value that is computed once, also where ``f`` uses it inside a lambda."""
+    return F.transform(F.array(c), f)[0]
 
 
 def unit(v: Column) -> Column:
     """The vector over its norm; a zero vector stays."""
-    return F.when(norm(v) > 0, scaled(v, norm(v))).otherwise(as_doubles(v))
+    return let(as_doubles(v), lambda w: let(norm(w), lambda k: F.transform(w, lambda x: F.when(k > 0, x / k).otherwise(x))))
 
 
 def truncated(v: Column, dim: int, nested: bool = True) -> Column:

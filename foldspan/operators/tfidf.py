@@ -15,7 +15,8 @@ def term_counts(df: DataFrame, id_col: str, terms: Column) -> DataFrame:
 
 def fields_counts(df: DataFrame, id_col: str, fields: Mapping[str, Column]) -> DataFrame:
     """Term counts of several texts, each with a vocabulary of its own: the term is (field, term)."""
-    each = F.explode(F.flatten(F.array(*[F.transform(c, lambda t, k=k: F.concat(F.lit(f"{k}:"), t)) for k, c in fields.items()])))
+    named = lambda k: lambda t: F.concat(F.lit(f"{k}:"), t)
+    each = F.explode(F.flatten(F.array(*[F.transform(c, named(k)) for k, c in fields.items()])))
     return df.select(F.col(id_col).alias("id"), each.alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
