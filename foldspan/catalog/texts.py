@@ -258,7 +258,7 @@ def q_knn_smooth(t):
     return N.smoothed_vote(N.nearest(v.where("id % 20 = 0"), v, 40), 0.24)
 
 
-@query("E11", f"WITH {_NEAR.split(', n AS')[0].rsplit('d AS', 1)[0].rstrip().rstrip(',')}, e AS (SELECT q.id AS query, c.y, exp(-list_distance(q.v, c.v) / 0.1e0) AS w FROM v q JOIN v c ON q.id <> c.id WHERE q.id % 20 = 0) SELECT query, ln(greatest(sum(w * y) / sum(w), 1e-300)) AS log_p FROM e GROUP BY query")
+@query("E11", f"WITH v AS (SELECT vec_id AS id, {_D.format('embedding')} AS v, CAST(label < 3 AS INT) AS y FROM embeddings), e AS (SELECT q.id AS query, c.y, exp(-list_distance(q.v, c.v) / 0.1e0) AS w FROM v q JOIN v c ON q.id <> c.id WHERE q.id % 20 = 0) SELECT query, ln(greatest(sum(w * y) / sum(w), 1e-300)) AS log_p FROM e GROUP BY query")
 def q_soft_vote(t):
     v = _vecs(t)
     return N.soft_vote(v.where("id % 20 = 0"), v)

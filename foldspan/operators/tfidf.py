@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foldspan.functions.vectors import let
+
 
 def term_counts(df: DataFrame, id_col: str, terms: Column) -> DataFrame:
     """``(id, term, tf)``."""
@@ -47,5 +49,5 @@ def hashed_vectors(w: DataFrame, size: int = 1 << 12) -> DataFrame:
 
     cells = w.groupBy("id", F.pmod(F.xxhash64("term"), F.lit(size)).cast("int").alias("k")).agg(F.sum("weight").alias("v"))
     rows = cells.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
+    dense = let(F.col("m"), lambda m: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at(m, i), F.lit(0.0))))
     return rows.select("id", array_to_vector(dense).alias("features"))
