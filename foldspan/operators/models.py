@@ -19,6 +19,7 @@ from foldspan.operators.encoders import spline_basis
 from foldspan.operators.folds import hash_unit, nested_folds
 from foldspan.operators.metrics import auc_ap
 from foldspan.operators.tfidf import hashed_vectors, term_counts, tfidf
+from foldspan.plans.lineage import cut
 
 Expert = Callable[[DataFrame, DataFrame], DataFrame]
 
@@ -165,8 +166,9 @@ def holdout_scores(df: DataFrame, experts: Mapping[str, Expert]) -> DataFrame:
 def stacked_text(df: DataFrame, series: Mapping[str, Expert], k: int = 3, inner: int = 3) -> DataFrame:
     """``(outer, id, part, <series>...)``: text scores for every outer fold, from inner folds for its training rows
     and from all its training rows for its validation rows. ``df`` has id, y, fold and the texts."""
+    df = cut(df)
     folds = df.select(F.lit(0).alias("seed"), "id", "y", "fold")
-    nested = nested_folds(folds, k, inner).select("outer", F.col("id").alias("__id"), "inner")
+    nested = cut(nested_folds(folds, k, inner).select("outer", F.col("id").alias("__id"), "inner"))
     jobs = [(o, i, s) for o in range(k) for i in [*range(inner), None] for s in series]
 
     def one(job):
