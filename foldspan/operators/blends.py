@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from foldspan.functions.rows import logit, sigmoid
 from foldspan.operators.metrics import auc_ap, best_threshold, f1_curve
 from foldspan.operators.ranks import rank_normalised
+from foldspan.plans.lineage import cut
 
 
 def weighted(preds: DataFrame, weights: Mapping[str, float], method: str = "prob") -> DataFrame:
@@ -116,25 +118,26 @@ def fit_meta_spread(df: DataFrame, models: Sequence[str], y: str = "y", alpha: f
 
 def select_alpha(df: DataFrame, models: Sequence[str], y: str = "y", fold: str = "inner", k: int = 3, grid: Sequence[float] = (0.0001, 0.001, 0.01, 0.1)) -> float:
     """The penalty with the highest inner AP; of equal ones the first."""
-    scored = []
-    for alpha in grid:
-        parts = [fit_meta(df.where(F.col(fold) != f), models, y, alpha).apply(df.where(F.col(fold) == f), "__p") for f in range(k)]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        scored.append(out.select(F.lit(alpha).alias("alpha"), y, "__p"))
+    def one(job):
+        alpha, f = job
+        fitted = fit_meta(df.where(F.col(fold) != f), models, y, alpha)
+        return fitted.apply(df.where(F.col(fold) == f), "__p").select(F.lit(alpha).alias("alpha"), y, "__p")
+
+    with ThreadPoolExecutor(4) as pool:
+        scored = list(pool.map(one, [(alpha, f) for alpha in grid for f in range(k)]))
     rows = scored[0]
     for s in scored[1:]:
         rows = rows.unionByName(s)
-    ap = {r["alpha"]: r["ap"] for r in auc_ap(rows, ["alpha"], y, "__p").collect()}
+    ap = {r["alpha"]: r["ap"] for r in auc_ap(cut(rows), ["alpha"], y, "__p").collect()}
     return max(grid, key=lambda a: (ap[a] or 0.0, -grid.index(a)))
 
 
 def cross_fitted_meta(df: DataFrame, models: Sequence[str], y: str = "y", fold: str = "fold", k: int = 5, grid: Sequence[float] = (0.001, 0.01, 0.1), inner: int = 3) -> tuple[DataFrame, list[Meta]]:
     """Out-of-fold blend: for each fold a penalty and weights from the other folds; and the fitted blends."""
     metas, parts = [], []
+    df = cut(df)
     for f in range(k):
-        train = df.where(F.col(fold) != f).withColumn("inner", F.pmod(F.col(fold) - f - 1, F.lit(inner)))
+        train = df.where(F.col(fold) != f).withColumn("inner", F.pmod(F.col(fold) - f - 1, F.lit(k)) % inner)
         metas.append(fit_meta(train, models, y, select_alpha(train, models, y, "inner", inner, grid)))
         parts.append(metas[-1].apply(df.where(F.col(fold) == f), "p"))
     out = parts[0]

@@ -18,7 +18,7 @@ from foldspan.functions.rows import MISSING, logit, sigmoid
 from foldspan.operators.encoders import spline_basis
 from foldspan.operators.folds import hash_unit, nested_folds
 from foldspan.operators.metrics import auc_ap
-from foldspan.operators.tfidf import hashed_vectors, term_counts, tfidf
+from foldspan.operators.tfidf import hashed_vectors, term_counts, tfidf, vocabulary, weights
 from foldspan.plans.lineage import cut
 
 Expert = Callable[[DataFrame, DataFrame], DataFrame]
@@ -94,10 +94,10 @@ def text_expert(terms: Column, min_df: int = 3, max_share: float = 0.9, size: in
     """Logistic regression on TF-IDF of the training vocabulary, hashed to a fixed size."""
 
     def fit(train: DataFrame, valid: DataFrame) -> DataFrame:
-        vec = lambda df: df.select("id", "y").join(hashed_vectors(tfidf(train, df, "id", terms, min_df, max_share), size), "id")
-        a = vec(train).cache()
+        vocab = cut(vocabulary(term_counts(train, "id", terms), train.agg(F.count("*").cast("double").alias("n")), min_df, max_share))
+        vec = lambda df: cut(df.select("id", "y").join(hashed_vectors(weights(term_counts(df, "id", terms), vocab), size), "id"))
+        a = vec(train)
         lr = LogisticRegression(labelCol="y", regParam=1.0 / (c * max(1, a.count())), standardization=False, maxIter=50).fit(a)
-        a.unpersist()
         return _p(lr.transform(vec(valid)))
 
     return fit
@@ -248,8 +248,9 @@ def select_crosses(df: DataFrame, candidates: Sequence[str], most: int = 20, min
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
-        return auc_ap(out.join(df.select("id", "y"), "id")).first()["ap"] or 0.0
+        return auc_ap(cut(out.join(df.select("id", "y"), "id"))).first()["ap"] or 0.0
 
+    df = cut(df)
     with ThreadPoolExecutor(4) as pool:
         alone = dict(zip(candidates, pool.map(lambda c: ap([c]), candidates), strict=True))
     chosen: list[str] = []
@@ -270,7 +271,7 @@ def adversarial_auc(df: DataFrame, part: str, numeric: Sequence[str], categorica
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return auc_ap(out.join(rows.select("id", "y"), "id")).select("auc")
+    return auc_ap(cut(out.join(rows.select("id", "y"), "id"))).select("auc")
 
 
 def topic_table(df: DataFrame, terms: Column, k: int = 5, y: str = "y", seed: int = 1, size: int = 1 << 10) -> DataFrame:

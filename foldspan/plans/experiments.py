@@ -16,6 +16,7 @@ from foldspan.operators.encoders import target_encoding
 from foldspan.operators.folds import stratified_folds, stratified_holdout
 from foldspan.operators.metrics import auc_ap, f1_of_labels, metric_table
 from foldspan.operators.models import Expert, holdout_scores, out_of_fold
+from foldspan.plans.lineage import cut
 
 Feature = Callable[[DataFrame], DataFrame]
 
@@ -37,14 +38,14 @@ def build_matrices(train: DataFrame, test: DataFrame, names: Sequence[str], key:
 
 def repeated_scores(df: DataFrame, expert: Expert, seeds: Sequence[int], config: str, k: int = 5) -> DataFrame:
     """``(config, seed, metric, value)`` of repeated cross-validation; folds of all seeds come from one table."""
-    folds = stratified_folds(df, "id", "y", seeds, k)
+    folds = cut(stratified_folds(df, "id", "y", seeds, k).select("seed", "id", "fold"))
     parts = []
     for s in seeds:
         f = folds.where(F.col("seed") == s).select(F.col("id").alias("__f"), "fold")
-        placed = df.drop("fold").join(f, F.col("id") == F.col("__f")).drop("__f")
+        placed = cut(df.drop("fold").join(f, F.col("id") == F.col("__f")).drop("__f"))
         p = out_of_fold(placed, {config: expert}, k, s, config)
         parts.append(p.select("seed", "id", "p"))
-    preds = reduce(DataFrame.unionByName, parts).join(df.select("id", "y"), "id")
+    preds = cut(reduce(DataFrame.unionByName, parts).join(df.select("id", "y"), "id"))
     m = metric_table(preds, ["seed"])
     cells = F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(c).alias("value")) for n, c in (("auc", "auc"), ("ap", "ap"), ("f1", "best_f1"))]))
     return m.select(F.lit(config).alias("config"), "seed", cells.alias("x")).select("config", "seed", "x.*")
@@ -60,15 +61,16 @@ def holdout_run(df: DataFrame, experts: Mapping[str, Expert], share: float = 0.3
     ``(rule, t, f1, auc, ap)`` of the blend on B.
     """
     parts = stratified_holdout(df, "id", "y", share, seed).select(F.col("id").alias("__p"), "part")
-    df = df.drop("part", "fold").join(parts, F.col("id") == F.col("__p")).drop("__p").cache()
+    df = df.drop("part", "fold").join(parts, F.col("id") == F.col("__p")).drop("__p")
+    df = cut(df)
     a = df.where("part = 'A'")
     f = stratified_folds(a, "id", "y", [seed], k).select(F.col("id").alias("__f"), "fold")
-    a = a.join(f, F.col("id") == F.col("__f")).drop("__f")
+    a = cut(a.join(f, F.col("id") == F.col("__f")).drop("__f"))
     names = list(experts)
-    oof = wide(out_of_fold(a, experts, k, seed).select("seed", "model", "id", "p"), names).join(a.select("id", "y", "fold"), "id").cache()
+    oof = cut(wide(out_of_fold(a, experts, k, seed).select("seed", "model", "id", "p"), names).join(a.select("id", "y", "fold"), "id"))
     alpha = select_alpha(oof, names, "y", "fold", k)
     meta = fit_meta(oof, names, "y", alpha)
-    b = meta.apply(wide(holdout_scores(df, experts).withColumn("seed", F.lit(seed)), names)).join(df.select("id", "y"), "id").cache()
+    b = cut(meta.apply(wide(holdout_scores(df, experts).withColumn("seed", F.lit(seed)), names)).join(df.select("id", "y"), "id"))
     rules = threshold_rules(meta.apply(oof), b, "y", "p")
-    scored = b.crossJoin(F.broadcast(rules)).withColumn("l", (F.col("p") >= F.col("t")).cast("int"))
+    scored = b.crossJoin(F.broadcast(cut(rules))).withColumn("l", (F.col("p") >= F.col("t")).cast("int"))
     return f1_of_labels(scored, F.col("l"), "y", ["rule", "t"]).crossJoin(F.broadcast(auc_ap(b).select("auc", "ap")))
