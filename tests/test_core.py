@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from foldspan.functions import rows as R
 from foldspan.functions.text import chunks, future_carried, word_ngrams
 from foldspan.functions.vectors import unit
+from foldspan.operators.blends import cross_fitted_meta
 from foldspan.operators.decisions import swapped_labels, top_k_labels
 from foldspan.operators.encoders import encode_new
 from foldspan.operators.explore import bh_fdr, fisher_p, wilson
@@ -76,3 +77,10 @@ def test_folds(spark):
     n = [r["n"] for r in f.where("seed = 0 and y = 1").groupBy("fold").agg(F.count("*").alias("n")).collect()]
     assert max(n) - min(n) <= 1
     assert 0.7 < poisson_weights(df, "id", 20).agg(F.sum("w") / 2060).first()[0] < 1.3
+
+
+def test_meta_blend_fills_every_inner_fold(spark):
+    # three folds leave two for training, whose numbers are alike modulo 2 where the middle one is held out
+    df = spark.range(60).select("id", (F.col("id") % 3).cast("int").alias("fold"), (F.col("id") % 2).cast("int").alias("y"), ((F.col("id") * 7 % 20 + F.col("id") % 2 * 5 + 1) / 30.0).alias("a"))
+    out, metas = cross_fitted_meta(df, ["a"], k=3, grid=(0.01, 0.1), inner=2)
+    assert out.count() == 60 and len(metas) == 3 and all(w >= 0 for m in metas for w in m.weights)
