@@ -153,6 +153,14 @@ def test_wrappers(spark):
     assert got[3] == "T3\n\none & 3 more\n\ntwo 3" and got[9] == "" and got[10] == "a\n\nc"
 
 
+def test_wrapper_slots_decide_with_an_article(spark):
+    page = "<body class='no-sidebar'><article><p>Sign up now<h1>Title {0}</h1><p>first {0}</p><p>second {0}</p></article><div>all the same</div></body>"
+    other = "<body><article><p>teaser</article><div class=story><p>long story of page {0} that goes on</p><p>more of {0} and on</p></div></body>"
+    rows = [(i, "a", page.format(i)) for i in range(4)] + [(10 + i, "b", other.format(i)) for i in range(4)]
+    got = {r["page_id"]: r["text"] for r in extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), F.col("url")).collect()}
+    assert got[2] == "Title 2\n\nfirst 2\n\nsecond 2" and got[12] == "long story of page 2 that goes on\n\nmore of 2 and on"
+
+
 def test_language_held_out(spark):
     got = Q.op8_language(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out")
     assert got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] > 0.95
