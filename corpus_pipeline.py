@@ -10,14 +10,12 @@ from pyspark.sql import functions as F
 from foldspan.llm.containment import decontaminate
 from foldspan.llm.langid import held_out
 from foldspan.llm.mixing import mix_sources, word_count
+from foldspan.llm.nearcopies import drop_similar
 from foldspan.llm.quality import fit_quality, scored
 from foldspan.llm.sharding import shuffled_shards
-from foldspan.llm.simhash import drop_near_duplicates
 from foldspan.plans.lineage import ensure_checkpoint_dir
 from foldspan.session import table
 
-#: Bits in which near copies may differ in the pipeline, wider than the contract of the query, to catch edited copies.
-NEAR_BITS = 6
 SHARDS = 8
 
 
@@ -28,8 +26,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest id."""
-    return drop_near_duplicates(docs, budget=NEAR_BITS)
+    """One document of each group of near copies (five-word shingles, similarity from 0.8), the one with the smallest id."""
+    return drop_similar(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ from foldspan.llm.classlm import exchange_classes
 from foldspan.llm.compression import compression_bands
 from foldspan.llm.containment import contained_items
 from foldspan.llm.mixing import capped_targets, min_cost_flow, mix_sources
+from foldspan.llm.nearcopies import drop_similar
 from foldspan.llm.sharding import communication_matrix, shuffled_shards
 from foldspan.llm.simhash import drop_near_duplicates, fingerprint, hamming_links, simhash_components
 from foldspan.llm.urlrules import judged_urls
@@ -84,6 +85,32 @@ def test_simhash_odd_rows(odd):
     assert drop_near_duplicates(odd).count() == len(ODD)
 
 
+def test_near_copies_by_exact_similarity(spark):
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(400)]
+    docs, sets = [], {}
+    for g in range(12):
+        base = rng.choice(words, 120).tolist()
+        for c in range(6):
+            text = list(base)
+            for at in rng.choice(120, c, replace=False):  # c changed words leave a similarity of about 1, 0.92, 0.84, 0.77 ...
+                text[at] = f"x{rng.integers(1 << 40)}"
+            docs.append((len(docs), " ".join(text)))
+    docs += [(None, docs[0][1]), (3, docs[3][1]), (500, ""), (501, None), (502, "two words"), (None, "Two words")]
+    for i, t in docs:
+        w = (t or "").lower().split()
+        if i is not None and w:
+            sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    root = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                lo, hi = sorted((root[a], root[b]))
+                root = {k: lo if v == hi else v for k, v in root.items()}
+    got = sorted(r["doc_id"] for r in drop_similar(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    assert got == sorted({*root.values(), 500, 501}) and len(got) > 16
+
+
 def test_compression(spark, odd, sf_dir):
     got = compression_bands(odd).collect()
     assert [r["kept"] for r in got if not (r["text"] or "").strip()] == [False] * 3
