@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from itertools import combinations
 
 from pyspark.sql import functions as F
 
@@ -96,9 +97,11 @@ def q_anchored(t):
 
 @query("F7")
 def q_select_crosses(t):
-    c = crossed(quantile_bins(t.view(COMPANY), ["sales", "assets"]), [("sales_bin", "assets_bin"), ("industry", "listing"), ("sales_bin", "industry")]).withColumn("inner", F.col("fold") % 2)
-    names = ["sales_binxassets_bin", "industryxlisting", "sales_binxindustry"]
-    chosen = M.select_crosses(c, names, 2, k=2)
+    columns = ["sales_bin", "assets_bin", "industry", "listing", "channel"]
+    pairs = list(combinations(columns, 2))
+    c = crossed(quantile_bins(t.view(COMPANY), ["sales", "assets"]), pairs).withColumn("inner", F.col("fold") % 2)
+    names = [f"{a}x{b}" for a, b in pairs]
+    chosen = M.select_crosses(c, names, k=2, base_categorical=columns)
     return c.select("id", *[F.col(n) for n in names], F.lit(",".join(chosen)).alias("chosen"))
 
 

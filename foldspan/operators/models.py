@@ -239,28 +239,36 @@ def offset_correction(train: DataFrame, other: DataFrame, base: str, features: S
     return b.select("id", sigmoid(z).alias("p"))
 
 
-def select_crosses(df: DataFrame, candidates: Sequence[str], most: int = 20, min_gain: float = 0.001, fold: str = "inner", k: int = 3, base: Sequence[str] = ()) -> list[str]:
-    """Crosses (categorical columns) that raise the inner AP of a one-hot model: all are screened alone, then added
-    greedily in the order of their AP while one gains ``min_gain``."""
+def select_crosses(df: DataFrame, candidates: Sequence[str], most: int = 20, min_gain: float = 0.001, fold: str = "inner", k: int = 3, base: Sequence[str] = (), screen: int | None = None, base_categorical: Sequence[str] = ()) -> list[str]:
+    """Crosses (categorical columns) that raise the inner AP of a one-hot model with the base columns.
+
+    All are screened alone; each round then tries every one that is left (of the ``screen`` best, if given) beside those
+    chosen and takes the best, until it gains less than ``min_gain``. Without base columns the start is the target rate.
+    """
 
     def ap(cols):
-        parts = [linear_expert(base, cols)(df.where(F.col(fold) != f), df.where(F.col(fold) == f)) for f in range(k)]
+        if not (base or base_categorical or cols):
+            return df.agg(F.avg(F.col("y").cast("double"))).first()[0] or 0.0
+        parts = [linear_expert(base, [*base_categorical, *cols])(df.where(F.col(fold) != f), df.where(F.col(fold) == f)) for f in range(k)]
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
         return auc_ap(cut(out.join(df.select("id", "y"), "id"))).first()["ap"] or 0.0
 
     df = cut(df)
+    best, chosen = ap([]), []
     with ThreadPoolExecutor(4) as pool:
-        alone = dict(zip(candidates, pool.map(lambda c: ap([c]), candidates), strict=True))
-    chosen: list[str] = []
-    best = 0.0
-    for c in sorted(candidates, key=lambda c: (-alone[c], c)):
-        if len(chosen) == most:
-            break
-        now = alone[c] if not chosen else ap([*chosen, c])
-        if now - best >= min_gain:
-            chosen, best = [*chosen, c], now
+        tried = dict(zip(candidates, pool.map(lambda c: ap([c]), candidates), strict=True))
+        left = sorted(candidates, key=lambda c: (-tried[c], c))[:screen]
+        while left and len(chosen) < most:
+            if chosen:
+                tried = dict(zip(left, pool.map(lambda c: ap([*chosen, c]), left), strict=True))
+            c = max(left, key=lambda c: (tried[c], c))
+            if tried[c] - best < min_gain:
+                break
+            best = tried[c]
+            chosen.append(c)
+            left.remove(c)
     return chosen
 
 

@@ -84,3 +84,24 @@ def test_meta_blend_fills_every_inner_fold(spark):
     df = spark.range(60).select("id", (F.col("id") % 3).cast("int").alias("fold"), (F.col("id") % 2).cast("int").alias("y"), ((F.col("id") * 7 % 20 + F.col("id") % 2 * 5 + 1) / 30.0).alias("a"))
     out, metas = cross_fitted_meta(df, ["a"], k=3, grid=(0.01, 0.1), inner=2)
     assert out.count() == 60 and len(metas) == 3 and all(w >= 0 for m in metas for w in m.weights)
+
+
+def test_crosses_start_from_the_base(spark, monkeypatch):
+    from foldspan.operators import models as M
+
+    # scores by the set of columns: ``a`` is best alone, ``c`` adds most to it and ``b`` then nothing; ``z`` never gains
+    ap = {"": 0.5, "a": 0.7, "b": 0.65, "c": 0.6, "z": 0.5, "ab": 0.71, "ac": 0.8, "az": 0.7, "abc": 0.8, "acz": 0.8}
+    rows = spark.range(4).selectExpr("id", "cast(id % 2 as int) as y", "cast(id % 2 as int) as inner")
+    monkeypatch.setattr(M, "cut", lambda df: df)
+    monkeypatch.setattr(M, "linear_expert", lambda base, cols, **_: lambda train, valid: valid.selectExpr("id", f"'{''.join(sorted(set(cols) - {'base'}))}' as p"))
+
+    class Scored:
+        def __init__(self, df):
+            self.of = df.first()["p"]
+
+        def first(self):
+            return {"ap": ap[self.of]}
+
+    monkeypatch.setattr(M, "auc_ap", Scored)
+    assert M.select_crosses(rows, ["a", "b", "c", "z"], k=2, base_categorical=["base"]) == ["a", "c"]
+    assert M.select_crosses(rows, ["z"], k=2, base_categorical=["base"]) == []
