@@ -27,7 +27,7 @@ def _docs(t):
     return df.join(f, F.col("id") == F.col("f")).drop("f")
 
 
-@query("F2 F3 F4 J24")
+@query("F2 F3")
 def q_text_stack(t):
     words = M.text_expert(word_ngrams(F.col("text"), 1, 1), 3, 0.9, 256)
     return M.stacked_text(_docs(t), {"words": words}, 2, 2)
@@ -68,7 +68,7 @@ def q_offset_correction(t):
     return M.offset_correction(s.where("fold > 0"), s.where("fold = 0"), "p1", ["p2", "p3"])
 
 
-@query("B4 B6 B7 J23")
+@query("B4 B6 B7")
 def q_meta_blend(t):
     out, _ = B.cross_fitted_meta(t.view(SCORES).withColumn("fold", F.col("fold") % 3), ["p1", "p2", "p3"], k=3, grid=(0.001, 0.1), inner=2)
     return out.select("id", "p")
@@ -110,7 +110,7 @@ def q_bootstrap(t):
     return R.bootstrap_threshold(t.view(SCORES).withColumn("p", F.col("p1")), replicates=20)
 
 
-@query("K11 J16 J17")
+@query("K11 J16")
 def q_perm_auc(t):
     return R.permutation_auc(t.view(SCORES).where("p1 between 0.5 and 0.7"), p="p1", replicates=20)
 

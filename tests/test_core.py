@@ -105,3 +105,10 @@ def test_crosses_start_from_the_base(spark, monkeypatch):
     monkeypatch.setattr(M, "auc_ap", Scored)
     assert M.select_crosses(rows, ["a", "b", "c", "z"], k=2, base_categorical=["base"]) == ["a", "c"]
     assert M.select_crosses(rows, ["z"], k=2, base_categorical=["base"]) == []
+
+
+def test_covers_claims_only_what_is_built():
+    from foldspan import catalog
+
+    catalog.register_all()
+    assert not {"F4", "J17", "J23", "J24"} & {row for rows in catalog.COVERS.values() for row in rows.split()}
