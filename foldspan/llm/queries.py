@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldspan.llm.classlm import fit_class_model, perplexity_scores
+from foldspan.llm.classlm import class_model_scores
 from foldspan.llm.compression import compression_bands
 from foldspan.llm.containment import contained_items
 from foldspan.llm.langid import fit_languages, held_out, identified
@@ -61,8 +61,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model, rare = fit_class_model(docs.where(~held_out(F.col("doc_id"), 7)))
-    scores = perplexity_scores(docs, model, rare)
+    scores = class_model_scores(docs, ~held_out(F.col("doc_id"), 7))
     return scores.withColumn("held_out", held_out(F.col("doc_id"), 7)).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

@@ -10,7 +10,6 @@ import zstandard
 from pyspark.sql import functions as F
 
 from foldspan.llm import queries as Q
-from foldspan.llm.classlm import exchange_classes
 from foldspan.llm.compression import compression_bands
 from foldspan.llm.containment import contained_items
 from foldspan.llm.mixing import capped_targets, min_cost_flow, mix_sources
@@ -198,13 +197,6 @@ def test_quality_held_out(spark):
     assert got.agg(F.avg((F.col("quality") == F.col("predicted")).cast("double"))).first()[0] > 0.9
 
 
-def test_exchange_separates_languages():
-    b = np.zeros((9, 9), np.int64)
-    b[:4, :4], b[4:8, 4:8], b[8, :8], b[:8, 8] = 50, 50, 1, 1
-    cls = exchange_classes(b, 3)
-    assert len(set(cls[:4])) == len(set(cls[4:8])) == 1 and cls[0] != cls[4]
-
-
 def test_class_model(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
     lower = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
