@@ -25,7 +25,7 @@ from foldspan.llm.textops import coded, pieces, segment_sums, split_words
 from foldspan.plans.lineage import cut
 
 #: Most frequent words, which the driver clusters, and rounds of that clustering.
-CORE, SWEEPS = 2000, 5
+CORE, SWEEPS = 1500, 5
 #: A vocabulary of V words has V ** CLASS_POWER classes; two of 256 class numbers are for the other words and the end.
 CLASS_POWER, MOST_CLASSES = 0.3, 254
 #: Words whose counts and classes go to every task; those of rarer ones are looked up by a join.
@@ -34,6 +34,8 @@ FREQUENT = 200_000
 WORD_ADD, BIGRAM_ADD, UNIGRAM_SHARE = 0.5, 0.1, 0.02
 #: Bits of a packed event that hold the neighbour's class and side; the others hold its number.
 SIDE_BITS = 9
+#: The largest number in one entry of a document's class pairs.
+MOST_TIMES = (1 << 16) - 1
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,8 +76,7 @@ def _bigrams(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBat
         bounds, flat = split_words(batch.column("text"), lower=True)
         codes, words = coded(flat)
         after, before = v.sequence(v.of(words)[codes], bounds)
-        if len(after):
-            total += np.bincount(before * v.types + after, minlength=len(total))
+        np.add.at(total, before * v.types + after, 1)
     seen = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen])], names=["pair", "n"])
 
@@ -231,19 +232,36 @@ def _runs(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
 
 
 def pair_counts(doc: np.ndarray, pair: np.ndarray, n: np.ndarray | None, docs: int, kinds: int) -> pa.Array:
-    """For each document its distinct pairs and their numbers, interleaved."""
+    """For each document its distinct pairs and their numbers, interleaved; a larger number takes more than one entry."""
     key, inverse = np.unique(doc * kinds + pair, return_inverse=True)
     times = np.bincount(inverse, weights=n, minlength=len(key)).astype(np.int64)
-    flat = np.stack([key % kinds, times], axis=1).astype(np.uint32).ravel()
+    if (times > MOST_TIMES).any():
+        parts = -(-times // MOST_TIMES)
+        last = np.cumsum(parts) - 1
+        key, rest = np.repeat(key, parts), times - (parts - 1) * MOST_TIMES
+        times = np.full(len(key), MOST_TIMES)
+        times[last] = rest
+    flat = np.stack([key % kinds, times], axis=1).astype(np.uint16).ravel()
     return _runs(flat, 2 * np.searchsorted(key // kinds, np.arange(docs + 1)))
 
 
+def pairs_of(raw: list[bytes]) -> np.ndarray:
+    """Pairs and numbers (columns) of all documents, one after another."""
+    return np.frombuffer(b"".join(raw), np.uint16).reshape(-1, 2).astype(np.int64)
+
+
+TEXT = pa.struct(
+    [("id", pa.int64()), ("train", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("emitted", pa.float64()), ("pairs", pa.binary()), ("open", pa.binary())]
+)
+PARTS = "h1 bigint, h2 bigint, word string, use bigint, text struct<id bigint, train boolean, n_tokens bigint, n_known bigint, base double, emitted double, pairs binary, open binary>"
+
+
 def _parts(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     """A row for each text with what its frequent words say, and a row for each of its distinct other words.
 
-    Words outside the frequent ones are numbered as they first appear in the text, ``at`` from 0 on. ``open`` has the
-    transitions that they take part in: a class, or minus the number less one. Texts have ``at`` -1 and a ``word``
-    that no word is.
+    Words outside the frequent ones are numbered as they first appear in the text, from 0 on; ``use`` has that number
+    above its lower half, which says how often the text has the word. ``open`` has the transitions that they take
+    part in: a class, or minus the number less one. Texts have no ``use``, and a ``word`` that no word is.
     """
     m = shared.value
     for batch in pieces(batches):
@@ -277,33 +295,25 @@ def _parts(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch
         loose = np.flatnonzero(~known)
         transitions = np.stack([before[loose], after[loose]], axis=1).astype(np.int32).ravel()
         sums = lambda x: segment_sums(x[codes] if len(words) else np.zeros(0, x.dtype), bounds)
-        new = len(order)
-        spread = lambda own, kind: pa.concat_arrays([pa.array(own, kind), pa.nulls(new, kind)])
-        of_text = pa.concat_arrays([pa.array(np.arange(docs)), pa.array(owner)])
-        ids, h1, h2 = (batch.column(c).take(of_text) for c in ("id", "h1", "h2"))
-        keys = pa.array([f"{h:x}\n" for h in batch.column("h1").to_pylist()], pa.string())
-        names = words.take(pa.array(codes[rare][first[order]])).cast(pa.string()) if new else pa.array([], pa.string())
-        blank = pa.nulls(new, pa.binary())
-        yield pa.RecordBatch.from_arrays(
+        blank = pa.nulls(len(order), TEXT)
+        texts = pa.StructArray.from_arrays(
             [
-                ids,
-                h1,
-                h2,
-                pa.concat_arrays([keys, names]),
-                pa.concat_arrays([pa.array(np.full(docs, -1), pa.int32()), pa.array(number, pa.int32())]),
-                pa.array(np.concatenate([size + 1, uses[order]]), pa.int64()),
-                pa.concat_arrays([batch.column("train"), pa.nulls(new, pa.bool_())]),
-                spread(sums(seen.astype(np.int64)) + (m.ends > 0), pa.int64()),
-                spread(sums(base) + np.log10(m.ends + 1.0), pa.float64()),
-                spread(sums(emitted), pa.float64()),
-                pa.concat_arrays([pair_counts(doc[known], before[known] * m.k + after[known], None, docs, m.k * m.k), blank]),
-                pa.concat_arrays([_runs(transitions, 2 * np.searchsorted(loose, ends)), blank]),
+                batch.column("id"),
+                batch.column("train"),
+                pa.array(size + 1, pa.int64()),
+                pa.array(sums(seen.astype(np.int64)) + (m.ends > 0), pa.int64()),
+                pa.array(sums(base) + np.log10(m.ends + 1.0)),
+                pa.array(sums(emitted)),
+                pair_counts(doc[known], before[known] * m.k + after[known], None, docs, m.k * m.k),
+                _runs(transitions, 2 * np.searchsorted(loose, ends)),
             ],
-            names=["id", "h1", "h2", "word", "at", "uses", "train", "n_known", "base", "emitted", "pairs", "open"],
+            fields=list(TEXT),
         )
-
-
-PARTS = "id bigint, h1 bigint, h2 bigint, word string, at int, uses bigint, train boolean, n_known bigint, base double, emitted double, pairs binary, open binary"
+        of_text = pa.array(np.concatenate([np.arange(docs), owner]))
+        keys = pa.array([f"{h:x}\n" for h in batch.column("h1").to_pylist()], pa.string())
+        names = words.take(pa.array(codes[rare][first[order]])).cast(pa.string()) if len(order) else pa.array([], pa.string())
+        use = pa.concat_arrays([pa.nulls(docs, pa.int64()), pa.array(number << 32 | uses[order])])
+        yield pa.RecordBatch.from_arrays([batch.column("h1").take(of_text), batch.column("h2").take(of_text), pa.concat_arrays([keys, names]), use, pa.concat_arrays([texts, blank])], names=["h1", "h2", "word", "use", "text"])
 
 
 def _joined(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
@@ -316,13 +326,15 @@ def _joined(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatc
             lists = batch.column("rest")
             doc = np.repeat(np.arange(docs), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
             rest = lists.flatten()
-            at, n, uses, cls = (pc.fill_null(rest.field(k), none).to_numpy(zero_copy_only=False).astype(np.int64) for k, none in (("at", 0), ("n", 0), ("uses", 0), ("cls", -1)))
+            use, known = (pc.fill_null(rest.field(c), -1).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("use", "known"))
             # repeated rows have brought their words more than once
-            key, one = np.unique(doc << 32 | at, return_index=True)
-            doc, n, uses, cls = doc[one], n[one], uses[one], cls[one]
+            key, one = np.unique(doc << 32 | use >> 32, return_index=True)
+            doc, uses, known = doc[one], use[one] & 0xFFFFFFFF, known[one]
+            n, cls = np.where(known >= 0, known >> 8, 0), np.where(known >= 0, known & 255, -1)
             starts = np.searchsorted(key >> 32, np.arange(docs))
             sums = lambda x: np.bincount(doc, weights=x, minlength=docs)
-            raw = batch.column("open").to_pylist()
+            text = batch.column("text")
+            raw = text.field("open").to_pylist()
             loose = np.frombuffer(b"".join(raw), np.int32).reshape(-1, 2).astype(np.int64)
             of = np.repeat(np.arange(docs), [len(x) // 8 for x in raw])
             ends = [np.where(x >= 0, x, cls[np.minimum(starts[of] - 1 - x, len(cls) - 1)] if len(cls) else 0) for x in loose.T]
@@ -334,16 +346,16 @@ def _joined(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatc
                 ends[0][ready + 1] = ends[1][ready]
                 left = left[ends[1][left] < 0]
             new = np.bincount(of[unseen], weights=np.log10(WORD_ADD) - m.divisor[ends[1][unseen]], minlength=docs)
-            raw = batch.column("pairs").to_pylist()
-            known = np.frombuffer(b"".join(raw), np.uint32).reshape(-1, 2).astype(np.int64)
-            owner = np.repeat(np.arange(docs), [len(x) // 8 for x in raw])
+            raw = text.field("pairs").to_pylist()
+            known = pairs_of(raw)
+            owner = np.repeat(np.arange(docs), [len(x) // 4 for x in raw])
             all_pairs = pair_counts(np.concatenate([of, owner]), np.concatenate([ends[0] * m.k + ends[1], known[:, 0]]), np.concatenate([np.ones(len(of)), known[:, 1]]), docs, m.k * m.k)
-            number = lambda c: batch.column(c).to_numpy(zero_copy_only=False)
+            number = lambda c: text.field(c).to_numpy(zero_copy_only=False)
             out = pa.RecordBatch.from_arrays(
                 [
-                    batch.column("id"),
-                    batch.column("train"),
-                    batch.column("n_tokens"),
+                    text.field("id"),
+                    text.field("train"),
+                    text.field("n_tokens"),
                     pa.array((number("n_known") + sums(uses * (n > 0))).astype(np.int64)),
                     pa.array(number("base") + sums(uses * np.log10(n + 1.0))),
                     pa.array(number("emitted") + new + sums(np.where(n > 0, uses * (np.log10(n + WORD_ADD) - m.divisor[cls]), 0.0))),
@@ -351,15 +363,15 @@ def _joined(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatc
                 ],
                 names=["id", "train", "n_tokens", "n_known", "base", "emitted", "pairs"],
             )
-            copies = number("copies").astype(np.int64)
+            copies = batch.column("copies").to_numpy(zero_copy_only=False)
             yield out if (copies == 1).all() else out.take(pa.array(np.repeat(np.arange(docs), copies)))
 
 
 def _transitions(batches: Iterator[pa.RecordBatch], kinds: int) -> Iterator[pa.RecordBatch]:
     total = np.zeros(kinds, np.int64)
     for batch in batches:
-        known = np.frombuffer(b"".join(batch.column("pairs").to_pylist()), np.uint32).reshape(-1, 2)
-        total += np.bincount(known[:, 0], weights=known[:, 1], minlength=kinds).astype(np.int64)
+        known = pairs_of(batch.column("pairs").to_pylist())
+        np.add.at(total, known[:, 0], known[:, 1])
     seen = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen])], names=["pair", "n"])
 
@@ -369,35 +381,34 @@ def word_counts(texts: DataFrame, text: str = "text") -> DataFrame:
     return texts.select(F.col(text).cast("string").alias("text")).mapInArrow(_counts, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def frequent_words(counts: DataFrame, most: int) -> tuple[list[str], int, int]:
-    """The words of the upper count bands that hold at most ``most`` words, in order, and the sums of all words and counts.
+def least_count(counts: DataFrame, most: int) -> tuple[int, int, int]:
+    """The least count of the upper count bands that hold at most ``most`` words, and the sums of all words and counts.
 
-    Bands are eighths of powers of two. Only the bands, which are a few hundred, and those words reach the driver.
+    Bands are eighths of powers of two, so that the driver sees a few hundred rows.
     """
-    band = F.floor(8 * F.log2("n")).cast("int")
-    bands = sorted(((r["band"], r["kinds"], r["n"]) for r in counts.groupBy(band.alias("band")).agg(F.count("*").alias("kinds"), F.sum("n").alias("n")).collect()), reverse=True)
-    words, least = 0, None
-    for b, kinds, _ in bands:
-        words += kinds
+    band = F.floor(8 * F.log2("n"))
+    bands = counts.groupBy(band.alias("band")).agg(F.min("n").alias("least"), F.count("*").alias("kinds"), F.sum("n").alias("n")).orderBy(F.desc("band")).collect()
+    words, least = 0, 1 << 62
+    for r in bands:
+        words += r["kinds"]
         if words > most:
             break
-        least = b
-    top = {} if least is None else {r["word"]: r["n"] for r in counts.where(band >= least).collect()}
-    return sorted(top, key=lambda w: (-top[w], w)), sum(k for _, k, _ in bands), sum(n for *_, n in bands)
+        least = r["least"]
+    return least, sum(r["kinds"] for r in bands), sum(r["n"] for r in bands)
 
 
-def word_classes(train: DataFrame, text: str = "text", core: int = CORE, most_frequent: int = FREQUENT) -> tuple[DataFrame, CoreClasses, list[str], int, int]:
-    """``(word, n, cls)`` of every word of ``train``, the core's classes, the frequent words, and the sums of words and counts.
+def word_classes(train: DataFrame, text: str = "text", core: int = CORE, most_frequent: int = FREQUENT) -> tuple[DataFrame, CoreClasses, int, int, int]:
+    """``(word, n, cls)`` of every word of ``train``, the core's classes, the least count of at most ``most_frequent``
+    words, and the sums of words and counts.
 
-    The driver gets at most ``most_frequent`` words and the bigrams of ``core`` + 2 types. Every other word meets its
-    neighbours' classes, summed within pieces of text first, in one shuffle.
+    The driver gets the ``core`` words and the bigrams of ``core`` + 2 types. Every other word meets its neighbours'
+    classes, summed within pieces of text first, in one shuffle.
     """
     spark = train.sparkSession
     texts = train.select(F.col(text).cast("string").alias("text"))
     counts = cut(word_counts(train, text))
-    frequent, distinct, tokens = frequent_words(counts, most_frequent)
-    # a band of more equal words than fit is no reason to cluster none
-    inner = frequent[:core] or [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(core).collect()]
+    least, distinct, tokens = least_count(counts, most_frequent)
+    inner = [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(core).collect()]
     v = Vocabulary(inner)
     shared = spark.sparkContext.broadcast(v)
     pairs = texts.mapInArrow(lambda it: _bigrams(it, shared), "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
@@ -410,7 +421,7 @@ def word_classes(train: DataFrame, text: str = "text", core: int = CORE, most_fr
     rest = rest.repartition("word").sortWithinPartitions("word").mapInArrow(lambda it: _assigned(it, known), "word string, n bigint, cls int")
     size = bigrams.sum(axis=0)
     own = spark.createDataFrame([(w, int(size[i]), int(classes.cls[i])) for i, w in enumerate(inner)], "word string, n bigint, cls int")
-    return cut(rest.unionByName(own)), classes, frequent, distinct, tokens
+    return cut(rest.unionByName(own)), classes, least, distinct, tokens
 
 
 def class_model_scores(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", core: int = CORE, most_frequent: int = FREQUENT) -> DataFrame:
@@ -418,30 +429,27 @@ def class_model_scores(df: DataFrame, train: Column, id_col: str = "doc_id", tex
 
     The model learns from the rows where ``train`` is true. Frequent words are scored where the text is read. Other
     ones, counted within each text first, meet their counts and classes in one equi-join; the parts of a text come
-    together by its id and two hashes of it, which a task that runs again computes alike.
+    together by two hashes of its id and text, which a task that runs again computes alike.
     """
     spark = df.sparkSession
     text = F.col(text_col).cast("string")
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"), F.coalesce(train, F.lit(False)).alias("train"), text.alias("text"))
+    both = (F.col(id_col).cast("long"), text)
+    rows = df.select(both[0].alias("id"), F.xxhash64(*both).alias("h1"), F.xxhash64(F.lit(1), *both).alias("h2"), F.coalesce(train, F.lit(False)).alias("train"), text.alias("text"))
     learned = rows.where("train").select("text")
     ends = learned.count()
-    classes, inner, frequent, distinct, tokens = word_classes(learned, "text", core, most_frequent)
+    classes, inner, least, distinct, tokens = word_classes(learned, "text", core, most_frequent)
     k = inner.open
     size, kinds = np.zeros(k), np.zeros(k)
     for r in classes.groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect():
         size[r["cls"]], kinds[r["cls"]] = r["n"], r["kinds"]
-    names = spark.createDataFrame(pa.table({"word": pa.array(frequent, pa.string())}))
-    top = classes.join(names, "word", "left_semi").toArrow()
+    top = classes.where(F.col("n") >= least).toArrow()
     emissions = Emissions(top["word"].to_pylist(), top["n"].to_pylist(), top["cls"].to_pylist(), size, kinds, ends, inner)
     shared = spark.sparkContext.broadcast(emissions)
     parts = rows.mapInArrow(lambda it: _parts(it, shared), PARTS)
-    parts = parts.join(classes.join(names, "word", "left_anti"), "word", "left")
-    texts = parts.groupBy("id", "h1", "h2").agg(
-        *[F.max(c).alias(c) for c in ("train", "n_known", "base", "emitted")],
-        F.max(F.when(F.col("at") < 0, F.col("uses"))).alias("n_tokens"),
-        F.count(F.when(F.col("at") < 0, 1)).alias("copies"),
-        *[F.first(c, ignorenulls=True).alias(c) for c in ("pairs", "open")],
-        F.collect_list(F.when(F.col("at") >= 0, F.struct("at", "n", "uses", "cls"))).alias("rest"),
+    rarer = classes.where(F.col("n") < least).select("word", F.shiftleft("n", 8).bitwiseOR(F.col("cls").cast("long")).alias("known"))
+    parts = parts.join(rarer, "word", "left").select("h1", "h2", "use", "known", "text")
+    texts = parts.groupBy("h1", "h2").agg(
+        F.count("text").alias("copies"), F.first("text", ignorenulls=True).alias("text"), F.collect_list(F.when(F.col("use").isNotNull(), F.struct("use", "known"))).alias("rest")
     )
     texts = cut(texts.mapInArrow(lambda it: _joined(it, shared), "id bigint, train boolean, n_tokens bigint, n_known bigint, base double, emitted double, pairs binary"))
     k = emissions.k
@@ -453,8 +461,8 @@ def class_model_scores(df: DataFrame, train: Column, id_col: str = "doc_id", tex
 
     def transitions(pairs: pa.Array) -> pa.Array:
         raw = pairs.to_pylist()
-        known = np.frombuffer(b"".join(raw), np.uint32).reshape(-1, 2)
-        return pa.array(segment_sums(known[:, 1] * of_model.value[known[:, 0]], np.concatenate([[0], np.cumsum([len(x) // 8 for x in raw], dtype=np.int64)])))
+        known = pairs_of(raw)
+        return pa.array(segment_sums(known[:, 1] * of_model.value[known[:, 0]], np.concatenate([[0], np.cumsum([len(x) // 4 for x in raw], dtype=np.int64)])))
 
     total, distinct = tokens + ends, distinct + (ends > 0)
     floor = float(np.log10(total + distinct + 1))
