@@ -7,7 +7,6 @@ training rows.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +19,6 @@ BITS, ORDERS = 15, (1, 2, 3)
 PER_CLASS, CALIBRATION = 400, 5
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.02, 1e-4, 4
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _STEPS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
@@ -124,7 +122,7 @@ class LanguageModel:
         return self.w[:, ids] @ vector(counts, self.idf[ids])
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.names or not _LETTER.search(text):
+        if not text or not self.names or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0
         p = softmax(self.logits(text) / self.divisor)
         k = int(p.argmax())

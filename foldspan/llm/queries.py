@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldspan.llm.classlm import class_model_scores
-from foldspan.llm.compression import compression_bands
+from foldspan.llm.compression import compression_bands, fit_bands, labelled_good
 from foldspan.llm.containment import contained_items
 from foldspan.llm.langid import fit_languages, held_out, identified
 from foldspan.llm.mixing import mix_sources
@@ -20,7 +20,8 @@ from foldspan.session import table
 
 def op1_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return compression_bands(docs).drop("text")
+    bands = fit_bands(labelled_good(docs, table(spark, sf_dir, "labels")))
+    return compression_bands(docs, bands=bands).drop("text")
 
 
 def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
