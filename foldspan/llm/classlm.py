@@ -251,9 +251,9 @@ def pairs_of(raw: list[bytes]) -> np.ndarray:
 
 
 TEXT = pa.struct(
-    [("id", pa.int64()), ("train", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("emitted", pa.float64()), ("pairs", pa.binary()), ("open", pa.binary())]
+    [("train", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("emitted", pa.float64()), ("pairs", pa.binary()), ("open", pa.binary())]
 )
-PARTS = "h1 bigint, h2 bigint, word string, use bigint, text struct<id bigint, train boolean, n_tokens bigint, n_known bigint, base double, emitted double, pairs binary, open binary>"
+PARTS = "id bigint, h bigint, word string, use bigint, text struct<train boolean, n_tokens bigint, n_known bigint, base double, emitted double, pairs binary, open binary>"
 
 
 def _parts(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
@@ -298,7 +298,6 @@ def _parts(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch
         blank = pa.nulls(len(order), TEXT)
         texts = pa.StructArray.from_arrays(
             [
-                batch.column("id"),
                 batch.column("train"),
                 pa.array(size + 1, pa.int64()),
                 pa.array(sums(seen.astype(np.int64)) + (m.ends > 0), pa.int64()),
@@ -310,10 +309,10 @@ def _parts(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch
             fields=list(TEXT),
         )
         of_text = pa.array(np.concatenate([np.arange(docs), owner]))
-        keys = pa.array([f"{h:x}\n" for h in batch.column("h1").to_pylist()], pa.string())
+        keys = pa.array([f"{h:x}\n" for h in batch.column("h").to_pylist()], pa.string())
         names = words.take(pa.array(codes[rare][first[order]])).cast(pa.string()) if len(order) else pa.array([], pa.string())
         use = pa.concat_arrays([pa.nulls(docs, pa.int64()), pa.array(number << 32 | uses[order])])
-        yield pa.RecordBatch.from_arrays([batch.column("h1").take(of_text), batch.column("h2").take(of_text), pa.concat_arrays([keys, names]), use, pa.concat_arrays([texts, blank])], names=["h1", "h2", "word", "use", "text"])
+        yield pa.RecordBatch.from_arrays([batch.column("id").take(of_text), batch.column("h").take(of_text), pa.concat_arrays([keys, names]), use, pa.concat_arrays([texts, blank])], names=["id", "h", "word", "use", "text"])
 
 
 def _joined(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
@@ -337,7 +336,7 @@ def _joined(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatc
             raw = text.field("open").to_pylist()
             loose = np.frombuffer(b"".join(raw), np.int32).reshape(-1, 2).astype(np.int64)
             of = np.repeat(np.arange(docs), [len(x) // 8 for x in raw])
-            ends = [np.where(x >= 0, x, cls[np.minimum(starts[of] - 1 - x, len(cls) - 1)] if len(cls) else 0) for x in loose.T]
+            ends = [np.where(x >= 0, x, cls[np.clip(starts[of] - 1 - x, 0, len(cls) - 1)] if len(cls) else 0) for x in loose.T]
             unseen = np.flatnonzero(ends[1] < 0)
             left = unseen
             while len(left):  # after each other, runs of unseen words in step; the next transition begins where one ends
@@ -353,7 +352,7 @@ def _joined(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatc
             number = lambda c: text.field(c).to_numpy(zero_copy_only=False)
             out = pa.RecordBatch.from_arrays(
                 [
-                    text.field("id"),
+                    batch.column("id"),
                     text.field("train"),
                     text.field("n_tokens"),
                     pa.array((number("n_known") + sums(uses * (n > 0))).astype(np.int64)),
@@ -429,12 +428,14 @@ def class_model_scores(df: DataFrame, train: Column, id_col: str = "doc_id", tex
 
     The model learns from the rows where ``train`` is true. Frequent words are scored where the text is read. Other
     ones, counted within each text first, meet their counts and classes in one equi-join; the parts of a text come
-    together by two hashes of its id and text, which a task that runs again computes alike.
+    together by its id and a hash of it, which a task that runs again computes alike.
     """
     spark = df.sparkSession
     text = F.col(text_col).cast("string")
-    both = (F.col(id_col).cast("long"), text)
-    rows = df.select(both[0].alias("id"), F.xxhash64(*both).alias("h1"), F.xxhash64(F.lit(1), *both).alias("h2"), F.coalesce(train, F.lit(False)).alias("train"), text.alias("text"))
+    name = F.col(id_col).cast("long")
+    # half a hash tells the texts of one id apart
+    h = F.when(name.isNull(), F.xxhash64(text)).otherwise(F.shiftrightunsigned(F.xxhash64(text), 32))
+    rows = df.select(name.alias("id"), h.alias("h"), F.coalesce(train, F.lit(False)).alias("train"), text.alias("text"))
     learned = rows.where("train").select("text")
     ends = learned.count()
     classes, inner, least, distinct, tokens = word_classes(learned, "text", core, most_frequent)
@@ -447,8 +448,8 @@ def class_model_scores(df: DataFrame, train: Column, id_col: str = "doc_id", tex
     shared = spark.sparkContext.broadcast(emissions)
     parts = rows.mapInArrow(lambda it: _parts(it, shared), PARTS)
     rarer = classes.where(F.col("n") < least).select("word", F.shiftleft("n", 8).bitwiseOR(F.col("cls").cast("long")).alias("known"))
-    parts = parts.join(rarer, "word", "left").select("h1", "h2", "use", "known", "text")
-    texts = parts.groupBy("h1", "h2").agg(
+    parts = parts.join(rarer, "word", "left").select("id", "h", "use", "known", "text")
+    texts = parts.groupBy("id", "h").agg(
         F.count("text").alias("copies"), F.first("text", ignorenulls=True).alias("text"), F.collect_list(F.when(F.col("use").isNotNull(), F.struct("use", "known"))).alias("rest")
     )
     texts = cut(texts.mapInArrow(lambda it: _joined(it, shared), "id bigint, train boolean, n_tokens bigint, n_known bigint, base double, emitted double, pairs binary"))
