@@ -1,9 +1,10 @@
-"""Near copies by five-word shingles: documents whose shingle sets have a Jaccard similarity of at least 0.8.
+"""Near copies by SimHash and five-word shingles: documents whose shingle sets have a Jaccard similarity of at least 0.8.
 
-Equal sets meet in one aggregate. MinHash signatures of the others are dealt out by bands; the members of a bucket are
-joined by a maximum spanning forest over their estimated similarity, fewer edges than members, whose links above the
-least similarity connect whatever all pairs above it would. Every edge is then verified by the exact similarity of the
-two shingle sets before components are formed.
+Equal sets meet in one aggregate. Candidates are the links of the binary tries of SimHash fingerprints over the
+shingles and, as copies near 0.8 differ in up to 17 of 64 bits, far beyond what tries can be joined at, those of a
+second signature: MinHash bands, in whose buckets a maximum spanning forest over the estimated similarity, fewer edges
+than members, connects whatever all pairs would. Every link is verified by the exact similarity of the two shingle
+sets before components are formed.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldspan.llm.containment import shingle_hashes
+from foldspan.llm.simhash import BUDGET, hamming_links, majority_bits
 from foldspan.llm.textops import coded, mix64, pieces, split_words
 from foldspan.plans.components import connected_components
 from foldspan.plans.lineage import cut
@@ -56,13 +58,14 @@ def digest(shingles: np.ndarray) -> int:
 
 def _signed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches):
-        rows, sets, signs = [], [], []
+        rows, sets, signs, bits = [], [], [], []
         for i, s in _shingles(batch, k):
             rows.append(i)
             sets.append(digest(s))
             signs.append(mix64(signature(s)).tobytes())
+            bits.append(majority_bits(s))
         at = pa.array(rows, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("hash").take(at), pa.array(sets, pa.int64()), pa.array(signs, pa.binary())], names=["id", "hash", "node", "signs"])
+        yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("hash").take(at), pa.array(sets, pa.int64()), pa.array(signs, pa.binary()), pa.array(bits, pa.int64())], names=["id", "hash", "node", "signs", "bits"])
 
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,9 +155,14 @@ def _jaccard(a: pa.Array, b: pa.Array) -> pa.Array:
 
 def similar_links(docs: DataFrame, signed: DataFrame, shingle: int = SHINGLE, similar: float = SIMILAR) -> DataFrame:
     """``(a, b)``: pairs of distinct shingle sets (nodes) of at least ``similar`` that connect all such pairs."""
-    nodes = signed.groupBy("node").agg(F.min("hash").alias("hash"), F.first("signs").alias("signs"))
+    nodes = signed.groupBy("node").agg(F.first("signs").alias("signs"))
+    prints = cut(signed.select("node", "bits").distinct())
+    first = prints.groupBy("bits").agg(F.min("node").alias("least"))
+    alike = prints.join(first, "bits").where("node <> least").select(F.least("node", "least").alias("a"), F.greatest("node", "least").alias("b"))
+    near = hamming_links(cut(first), "least", "bits", BUDGET).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     dealt = nodes.select("node", "signs").mapInArrow(_banded, "bucket bigint, node bigint, short binary")
-    edges = cut(dealt.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_edges, "a bigint, b bigint").distinct())
+    second = dealt.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_edges, "a bigint, b bigint")
+    edges = cut(second.unionByName(near).unionByName(alike).distinct())
     ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = signed.groupBy("node").agg(F.min("hash").alias("of")).join(ends, "node", "left_semi")
     texts = docs.select("hash", "text").join(wanted, F.col("hash") == F.col("of")).select("node", "text").groupBy("node").agg(F.first("text").alias("text"))
@@ -168,10 +176,11 @@ def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rows are decided one by one, by id and text, so that rows without an id or with a repeated one go too if they are
     copies; of rows with equal id and text one stays. A-Z are lower-cased; a text of fewer words than a shingle is one
-    shingle. Wordless texts are no copies of each other and stay.
+    shingle. Null and wordless texts are no copies of each other and stay. Texts of any length are taken whole. An
+    empty table stays empty; other columns are passed on.
     """
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("hash"), F.col(text_col).cast("string").alias("text"))
-    signed = cut(docs.mapInArrow(lambda it: _signed(it, shingle), "id bigint, hash bigint, node bigint, signs binary"))
+    signed = cut(docs.mapInArrow(lambda it: _signed(it, shingle), "id bigint, hash bigint, node bigint, signs binary, bits bigint"))
     root = connected_components(similar_links(docs, signed, shingle, similar))
     rows = signed.select("id", "hash", "node").join(root, "node", "left").select("id", "hash", F.coalesce("root", "node").alias("of"))
     order = F.struct(F.col("id").isNull(), "id", "hash")

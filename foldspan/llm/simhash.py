@@ -39,11 +39,16 @@ def fingerprint(text: str | None, shingle: int, seed: int) -> int:
         starts = [0, *(gaps + 1).tolist()]
         ends = [*gaps.tolist(), len(joined)][shingle - 1 :]
         h = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, ends, strict=False)), np.uint64, len(ends))
+    return majority_bits(h)
+
+
+def majority_bits(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have, as a signed number."""
     ones = np.zeros(64, np.int64)
-    for k in range(0, len(h), 32768):
-        part = h[k : k + 32768]
+    for k in range(0, len(hashes), 32768):
+        part = hashes[k : k + 32768]
         ones += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits((2 * ones > len(h)).astype(np.uint8), bitorder="little").view(np.int64)[0])
+    return int(np.packbits((2 * ones > len(hashes)).astype(np.uint8), bitorder="little").view(np.int64)[0])
 
 
 def simhash(text: Column, shingle: int = SHINGLE, seed: int = SEED) -> Column:
@@ -188,22 +193,11 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ``fingerprint`` is 16 hexadecimal digits, ``component_id`` the smallest id that the row reaches over
     fingerprints at most ``budget`` bits apart. Equal fingerprints meet in one aggregate before any join. A null
     or wordless text has fingerprint zero and is linked like any other. Rows without an id link nothing and get
-    the component of their fingerprint, null if no row with an id has it. Repeated ids keep their rows.
+    the component of their fingerprint, null if no row with an id has it. Repeated ids keep their rows. Texts of any
+    length are read whole. An empty table has no rows; columns other than id and text are not read.
     """
     rows = cut(df.select(F.col(id_col).cast("long").alias("id"), simhash(F.col(text_col), shingle).alias("bits")))
     distinct = cut(rows.groupBy("bits").agg(F.min("id").alias("node")))
     root = connected_components(hamming_links(distinct, "node", "bits", budget, limit))
     named = distinct.join(root, "node", "left").select("bits", F.coalesce("root", "node").alias("component_id"))
     return rows.join(named, "bits").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``df`` with one row of each component, the one with the smallest id; rows without an id are kept as they are.
-
-    An id names one document: rows that repeat an id stay or go together, and go if one of their texts is a copy of
-    one with a smaller id. Wordless texts are no copies of each other here and stay.
-    """
-    has_word = F.coalesce(F.col(text_col).cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    found = simhash_components(df.where(has_word), id_col, text_col, **options)
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
-    return df.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")

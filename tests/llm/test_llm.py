@@ -15,7 +15,7 @@ from foldspan.llm.containment import contained_items
 from foldspan.llm.mixing import capped_targets, min_cost_flow, mix_sources
 from foldspan.llm.nearcopies import drop_similar
 from foldspan.llm.sharding import communication_matrix, shuffled_shards
-from foldspan.llm.simhash import drop_near_duplicates, fingerprint, hamming_links, simhash_components
+from foldspan.llm.simhash import fingerprint, hamming_links, simhash_components
 from foldspan.llm.urlrules import judged_urls
 from foldspan.llm.wrappers import extract_pages
 
@@ -74,6 +74,14 @@ def test_simhash_against_brute_force(spark, sf_dir):
     got = {r["doc_id"]: r for r in simhash_components(docs).collect()}
     want = components(prints, 4)
     assert {k: v["component_id"] for k, v in got.items()} == want
+    # the fingerprint again by the built-in XXH64, which has this seed
+    words = F.filter(F.split(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    n = F.greatest(F.size("w") - 3, F.lit(1))
+    hashes = docs.select("doc_id", words.alias("w")).where("size(w) > 0").select("doc_id", n.alias("n"), F.explode(F.sequence(F.lit(1), n)).alias("i"), "w")
+    hashes = hashes.select("doc_id", "n", F.xxhash64(F.array_join(F.slice("w", F.col("i"), F.lit(4)), " ")).alias("h"))
+    bits = [(2 * F.sum(F.shiftrightunsigned("h", b).bitwiseAND(F.lit(1))) > F.first("n")).cast("string").alias(f"b{b}") for b in range(64)]
+    for r in hashes.groupBy("doc_id").agg(*bits).collect():
+        assert sum((r[f"b{b}"] == "true") << b for b in range(64)) == prints[r["doc_id"]] & (2**64 - 1)
     assert all(v["fingerprint"] == f"{prints[k] & (2**64 - 1):016x}" for k, v in got.items())
 
 
@@ -81,7 +89,7 @@ def test_simhash_odd_rows(odd):
     got = simhash_components(odd).collect()
     assert len(got) == len(ODD)
     assert {(r["doc_id"], r["component_id"]) for r in got if r["fingerprint"] == "0" * 16} == {(2, 2), (3, 2), (4, 2)}
-    assert drop_near_duplicates(odd).count() == len(ODD)
+    assert simhash_components(odd.where("false")).count() == 0
 
 
 def test_near_copies_by_exact_similarity(spark):
