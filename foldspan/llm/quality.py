@@ -63,7 +63,7 @@ def features(text: str | None, bits: int = BITS) -> np.ndarray:
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [np.unique(features(t), return_counts=True) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("h"), pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.list_(pa.int32()))], names=["label", "h", "ids", "counts"])
+        yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("n"), pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.list_(pa.int32()))], names=["label", "n", "ids", "counts"])
 
 
 def train_vectors(examples: list[tuple[np.ndarray, np.ndarray, int]], classes: int, bits: int = BITS, dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, seed: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -123,27 +123,34 @@ def fit_quality(train: DataFrame, id_col: str = "doc_id", text: str = "text", la
     """A model of the 0/1 ``label`` of the rows of ``labels`` (id and label) over the texts of ``train``.
 
     At most ``per_class`` labels of each class are used, those with the smallest hashes of their ids; texts come to
-    them by a broadcast of those ids, which has that bound. Other labels, nulls and null ids teach nothing. Without
-    labels of both classes every text scores the share of ones, a half if there are none.
+    them by a broadcast of those ids, which has that bound. Other labels, nulls and null ids teach nothing; of texts
+    that share an id one teaches, on every run the same. An id that is labelled both ways teaches both. Without labels
+    of both classes every text scores the share of ones, a half if there are none. Texts are read whole.
     """
+    spark = train.sparkSession
     known = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("label")).where("id is not null and label in (0, 1)").distinct()
     sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     ones, zeros = sizes.get(1, 0), sizes.get(0, 0)
     if not ones or not zeros:
         return QualityModel(np.zeros(1 << BITS), float(np.log((ones + 0.5) / (zeros + 0.5))))
-    h = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
-    share = F.when(F.col("label") == 1, 1.5 * per_class / ones).otherwise(1.5 * per_class / zeros)
-    picked = known.withColumn("h", h).where(F.col("h") < F.least(share, F.lit(1.0)) * (1 << 30)).limit(4 * per_class)
-    texts = train.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text")).where("text is not null").join(F.broadcast(picked), "id").dropDuplicates(["id", "label"])
-    got = texts.select("label", "h", "text").mapInArrow(_examples, "label int, h bigint, ids array<int>, counts array<int>").toArrow().sort_by([("label", "ascending"), ("h", "ascending")])
-    taken = [0, 0]
+    # the smallest hashes of each class by a share that gives enough of them, then exactly; no row but these is read
+    hashed = known.withColumn("h", F.xxhash64("id"))
+    share = F.when(F.col("label") == 1, 1.2 * per_class / ones + 50 / ones).otherwise(1.2 * per_class / zeros + 50 / zeros)
+    some = hashed.where(F.pmod("h", F.lit(1 << 30)) < F.least(share, F.lit(1.0)) * (1 << 30)).select("label", F.pmod("h", F.lit(1 << 30)).alias("o"), "h", "id").collect()
+    picked = [r for y in (0, 1) for r in sorted((r for r in some if r["label"] == y), key=lambda r: (r["o"], r["h"]))[:per_class]]
+    order = spark.createDataFrame([(r["id"], r["label"], n) for n, r in enumerate(picked)], hashed.select("id", "label").schema.add("n", "integer"))
+    texts = train.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text")).where("text is not null").join(F.broadcast(order), "id")
+    # of texts that share an id the one with the smallest hash
+    texts = texts.groupBy("n", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.length("text"))).alias("text"))
+    got = texts.mapInArrow(_examples, "label int, n int, ids array<int>, counts array<int>").toArrow().sort_by("n")
+    seen = [0, 0]
     fit, check = [], []
     for y, ids, counts in zip(got["label"].to_pylist(), got["ids"], got["counts"], strict=True):
-        taken[y] += 1
-        if taken[y] > per_class or not len(ids):
+        seen[y] += 1
+        if not len(ids):
             continue
-        i, c = ids.values.to_numpy(), counts.values.to_numpy()
-        (check if taken[y] % CALIBRATION == 0 else fit).append((i, c / c.sum(), y))
+        i, c = ids.values.to_numpy(), counts.values.to_numpy().astype(np.float32)
+        (check if seen[y] % CALIBRATION == 0 else fit).append((i, c / c.sum(), y))
     if len({y for *_, y in fit}) < 2:
         return QualityModel(np.zeros(1 << BITS), float(np.log((ones + 0.5) / (zeros + 0.5))))
     e, w, b = train_vectors(fit, 2)
@@ -157,7 +164,11 @@ def fit_quality(train: DataFrame, id_col: str = "doc_id", text: str = "text", la
 
 
 def scored(df: DataFrame, model: QualityModel, text: str = "text", accept: float = ACCEPT) -> DataFrame:
-    """``df`` with ``score`` and ``predicted`` (1 from ``accept`` on); a null or empty text has the score of no feature."""
+    """``df`` with ``score`` and ``predicted`` (1 from ``accept`` on); a null or empty text has the score of no feature.
+
+    Whole texts of any length; equal texts have equal scores. Columns of ``df`` with these names are replaced. An empty
+    table stays empty.
+    """
     shared = df.sparkSession.sparkContext.broadcast(model)
     out = df.withColumn("score", F.arrow_udf(lambda t: pa.array([shared.value.score(x) for x in t.to_pylist()], pa.float64()), "double")(F.col(text).cast("string")))
     return out.withColumn("predicted", (F.col("score") >= accept).cast("int"))
