@@ -79,7 +79,14 @@ def q_effect_size(t):
     return X.effect_size(t.view(COMPANY), _NUM)
 
 
-@query("X11")
+_LOGP = "lgamma(a + b + 1) + lgamma(n - a - b + 1) + lgamma(a + c + 1) + lgamma(n - a - c + 1) - lgamma(n + 1) - lgamma({x} + 1) - lgamma(a + b - {x} + 1) - lgamma(a + c - {x} + 1) - lgamma(n - a - b - a - c + {x} + 1)"
+
+
+@query("X11", f"""WITH k AS ({plain(COMPANY)}), g AS (SELECT industry, count(*) FILTER (y = 1) AS a, count(*) FILTER (y = 0) AS b FROM k GROUP BY 1), t AS (SELECT sum(a) AS ta, sum(b) AS tb FROM g),
+f AS (SELECT industry, a, b, CAST(ta - a AS BIGINT) AS c, CAST(tb - b AS BIGINT) AS d, CAST(ta + tb AS BIGINT) AS n FROM g CROSS JOIN t),
+x AS (SELECT *, unnest(range(greatest(0, a + b + a + c - n), least(a + b, a + c) + 1)) AS x FROM f),
+p AS (SELECT *, {_LOGP.format(x="x")} AS lp, {_LOGP.format(x="a")} AS here FROM x)
+SELECT industry, a, b, c, d, least(1e0, sum(exp(lp)) FILTER (lp <= here + 1e-7)) AS fisher_p FROM p GROUP BY ALL HAVING true""".replace(" GROUP BY ALL HAVING true", " GROUP BY industry, a, b, c, d"))
 def q_fisher(t):
     c = t.view(COMPANY)
     g = c.groupBy("industry").agg(F.count_if(F.col("y") == 1).alias("a"), F.count_if(F.col("y") == 0).alias("b")).crossJoin(F.broadcast(c.agg(F.count_if(F.col("y") == 1).alias("ta"), F.count_if(F.col("y") == 0).alias("tb"))))

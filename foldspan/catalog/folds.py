@@ -45,19 +45,23 @@ def q_split_fingerprint(t):
     return K.split_fingerprint(t.orders, "o_orderkey", 1024)
 
 
-@query("K7")
+@query("K7", f"""{S}, r AS (SELECT id, y, row_number() OVER (PARTITION BY y ORDER BY {_h("'pairs0'", "id")}, id) - 1 AS pos, count(*) OVER (PARTITION BY y) AS n FROM s),
+m AS (SELECT min(n) AS fewest FROM r), z AS (SELECT DISTINCT y AS ty, n AS tn FROM r),
+w AS (SELECT id, y, ty, CASE WHEN ty = y THEN (pos + 1 + {_h("'same0'", "id")} % greatest(tn - 1, 1)) % tn ELSE {_h("'other0'", "id")} % tn END AS place FROM r CROSS JOIN m CROSS JOIN z WHERE pos < fewest)
+SELECT w.id AS anchor, r.id AS partner, CAST(w.y = r.y AS INT) AS same FROM w JOIN r ON r.y = ty AND r.pos = place WHERE w.id <> r.id""")
 def q_balanced_pairs(t):
     return K.balanced_pairs(t.view(SCORES), "id", "y")
 
 
-@query("K8 K9")
+@query("K8 K9", f"""{S}, r AS (SELECT id, y, CAST(floor((row_number() OVER (PARTITION BY y ORDER BY {_h("'batch0'", "id")}, id) - 1) / 16) AS BIGINT) AS batch, count(*) OVER (PARTITION BY y) AS n FROM s)
+SELECT batch, id, y, batch = 0 OR {_h("'cand0'", "id")} / 4294967296e0 < 0.3e0 AS is_candidate FROM r WHERE batch < (SELECT min(floor(n / 16)) FROM r)""")
 def q_balanced_batches(t):
     s = t.view(SCORES)
     batches = K.balanced_batches(s, "id", "y", 16)
     return batches.join(K.candidate_sample(s, batches.where("batch = 0"), "id", 0.3).select(F.col("id").alias("c")), F.col("id") == F.col("c"), "left").withColumn("is_candidate", F.col("c").isNotNull()).drop("c")
 
 
-@query("P14")
+@query("P14", f"{S} SELECT id, sqrt(-2 * ln(1 - {_h(chr(39) + 'n1-0' + chr(39), 'id')} / 4294967296e0)) * cos(6.283185307179586e0 * ({_h(chr(39) + 'n2-0' + chr(39), 'id')} / 4294967296e0)) AS noise FROM s")
 def q_noise(t):
     return K.noise_column(t.view(SCORES), "id").select("id", "noise")
 

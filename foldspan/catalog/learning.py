@@ -1,4 +1,4 @@
-"""Queries on models, blends that are fitted, resampling and stores; checked by properties, not by SQL."""
+"""Queries on models, blends that are fitted, resampling and stores; SQL where it can say the same."""
 
 from __future__ import annotations
 
@@ -7,15 +7,17 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from foldspan.catalog import COMPANY, LABELLED, SCORES, SEEDED, query
-from foldspan.functions.text import word_ngrams
+from foldspan.catalog import COMPANY, LABELLED, PREDS, SCORES, SEEDED, plain, query
+from foldspan.catalog.folds import S, _h
+from foldspan.functions.text import char_ngrams, word_ngrams
 from foldspan.operators import blends as B
 from foldspan.operators import models as M
 from foldspan.operators import resample as R
 from foldspan.operators.encoders import crossed, quantile_bins
-from foldspan.operators.folds import stratified_folds
+from foldspan.operators.folds import POISSON_STEPS, stratified_folds
 from foldspan.plans import experiments as P
 from foldspan.plans.lineage import ensure_checkpoint_dir
+from foldspan.sources import store
 from foldspan.sources.store import stored
 
 _NUM = ["employees", "sales", "op_profit", "assets"]
@@ -29,14 +31,77 @@ def _docs(t):
 
 @query("F2 F3")
 def q_text_stack(t):
-    words = M.text_expert(word_ngrams(F.col("text"), 1, 1), 3, 0.9, 256)
+    words = M.text_expert(word_ngrams(F.col("text"), 1, 1), 3, 0.9)
     return M.stacked_text(_docs(t), {"words": words}, 2, 2)
 
 
-@query("M-A M-B M-C M-D M-F M-I S4 S5")
+@query("F4")
+def q_text_series(t):
+    half = F.floor(F.length("text") / 2).cast("int")
+    series = {"whole": M.text_expert(word_ngrams(F.col("text"), 1, 1), 3), "last": M.text_expert(word_ngrams(F.substring("text", half + 1, F.length("text")), 1, 1), 3)}
+    return M.stacked_text(_docs(t), series, 2, 2)
+
+
+@query("J24")
+def q_text_lab(t):
+    settings = {"words-lower": word_ngrams(F.lower("text"), 1, 1), "chars": char_ngrams(F.col("text"), 2, 2)}
+    return P.setting_lab(t.view(LABELLED), {k: M.text_expert(v, 3) for k, v in settings.items()}, [0, 1], 2)
+
+
+@query("M-A M-B M-C M-D M-F M-I")
 def q_expert_preds(t):
-    experts = {"linear": M.linear_expert(_NUM, ["industry", "listing"]), "trees": M.tree_expert(_NUM, rounds=8), "forest": M.forest_expert(_NUM, trees=8), "spline": M.spline_expert(["sales", "assets"])}
-    return M.out_of_fold(t.view(COMPANY), experts, 5)
+    experts = {"linear": M.linear_expert(_NUM, ["industry", "listing"]), "trees": M.tree_expert(_NUM, rounds=8), "forest": M.forest_expert(_NUM, trees=8), "spline": M.spline_expert(["sales", "assets"]), "vector": M.vector_expert()}
+    needs = {"linear": [*_NUM, "industry", "listing"], "trees": _NUM, "forest": _NUM, "spline": ["sales", "assets"], "vector": ["vec"]}
+    df = t.view(COMPANY)
+    return M.out_of_fold(df, {k: experts[k] for k in M.available(df.columns, needs)}, 5)
+
+
+def _scratch(t) -> str:
+    return f"{ensure_checkpoint_dir(t.spark)}/store-{uuid.uuid4().hex}"
+
+
+_ENTITY = "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING"
+
+
+@query("S1 S9", "SELECT c_custkey, c_name, c_nationkey, CASE WHEN c_custkey % 7 > 0 THEN c_acctbal END AS c_acctbal, c_mktsegment FROM customer")
+def q_load_entities(t):
+    path = _scratch(t)
+    spoilt = F.when(F.col("c_custkey") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("c_acctbal"))
+    rows = t.customer.select("c_custkey", "c_name", "c_nationkey", spoilt.alias("c_acctbal"), "c_mktsegment")
+    rows.where("c_custkey % 3 = 0").write.parquet(f"{path}/parquet")
+    rows.where("c_custkey % 3 = 1").write.option("header", True).csv(f"{path}/csv")
+    rows.where("c_custkey % 3 = 2").write.option("header", False).csv(f"{path}/bare")
+    schema = t.spark.createDataFrame([], _ENTITY).schema
+    bare = store.nan_to_null(store.load_headerless(t.spark, f"{path}/bare", schema))
+    return store.load_entities(t.spark, f"{path}/parquet", schema).unionByName(store.load_entities(t.spark, f"{path}/csv", schema, "csv")).unionByName(bare)
+
+
+@query("S5", f"SELECT seed, model, id, p, 'base' AS config, '5' AS folds FROM ({plain(PREDS)}) x")
+def q_saved_run(t):
+    path = _scratch(t)
+    store.save_run(t.view(PREDS).withColumn("config", F.lit("base")), {"folds": 5}, path)
+    preds, settings = store.load_run(t.spark, path)
+    return preds.select("seed", "model", "id", "p", "config", F.lit(settings["folds"]).alias("folds"))
+
+
+@query("S8 S10 S11 S12", f"""{S}, m AS (SELECT fold, count(*) AS n, sum(y) AS pos, avg(p1) AS mean_p FROM s GROUP BY 1)
+SELECT fold, n, CAST(pos AS BIGINT) AS pos, mean_p, true AS refused, 'PARK' AS verdict, CAST(2 AS BIGINT) AS decisions FROM m""")
+def q_result_sinks(t):
+    path = _scratch(t)
+    s = t.view(SCORES).groupBy("fold").agg(F.count("*").alias("n"), F.sum("y").alias("pos"), F.avg("p1").alias("mean_p"))
+    store.write_scores(s.select("fold", "mean_p"), f"{path}/scores")
+    try:
+        store.write_scores(s.select("fold", "mean_p"), f"{path}/scores")
+        refused = False
+    except Exception as e:  # noqa: BLE001
+        refused = "ALREADY_EXISTS" in str(e)
+    store.write_records(s.select("fold", F.struct("n", "pos").alias("counts")), f"{path}/records")
+    for verdict in ("REJECT", "PARK"):
+        store.append_decision(t.spark, f"{path}/log", "base", verdict, "by fold")
+    log = t.spark.read.parquet(f"{path}/log").agg(F.max_by("verdict", "at").alias("verdict"), F.count("*").alias("decisions"))
+    records = t.spark.read.schema("fold int, counts struct<n:bigint,pos:bigint>").json(f"{path}/records").select("fold", "counts.*")
+    rows = records.join(t.spark.read.parquet(f"{path}/scores"), "fold").withColumn("refused", F.lit(refused))
+    return rows.crossJoin(F.broadcast(log))  # one row
 
 
 @query("M-E")
@@ -56,6 +121,12 @@ def q_error_probability(t):
     return M.error_probability(s, "l", ["p1", "p2"])
 
 
+@query("J17")
+def q_shuffled_errors(t):
+    s = t.view(SCORES).withColumns({"l": (F.col("p1") >= 0.6).cast("int"), "fold": F.col("fold") % 3})
+    return M.shuffled_error_auc(s, "l", ["p1", "p2"], 4, 3)
+
+
 @query("M-K")
 def q_ridge_residual(t):
     s = t.view(SCORES).withColumns({"residual": F.col("y") - F.col("p1"), "fold": F.col("fold") % 3})
@@ -74,6 +145,11 @@ def q_meta_blend(t):
     return out.select("id", "p")
 
 
+@query("J23")
+def q_fixed_alpha(t):
+    return B.fixed_alphas(t.view(SCORES).withColumn("fold", F.col("fold") % 3), ["p1", "p2", "p3"], (0.001, 0.1))
+
+
 @query("B5")
 def q_meta_spread(t):
     m = B.fit_meta_spread(t.view(SCORES), ["p1", "p2"], alpha=0.05, steps=15)
@@ -105,17 +181,35 @@ def q_select_crosses(t):
     return c.select("id", *[F.col(n) for n in names], F.lit(",".join(chosen)).alias("chosen"))
 
 
-@query("K10 M9")
+_WEIGHT = "(" + " + ".join(f"CAST(u >= {c!r} AS INT)" for c in POISSON_STEPS) + ")"
+_BOOT = f"b AS (SELECT *, {_WEIGHT} AS w FROM (SELECT s.*, rep, {_h("'boot0'", 'rep', 'id')} / 4294967296e0 AS u FROM s CROSS JOIN range(0, 20) r(rep)))"
+_STEPS = "0.02e0 + k * 0.01e0"
+
+
+@query("K10 M9", f"""{S}, {_BOOT}, g AS (SELECT rep, p1 AS p, sum(w) AS n, sum(w * y) AS pos FROM b GROUP BY 1, 2), a AS (SELECT rep, sum(pos) AS positives FROM g GROUP BY 1),
+c AS (SELECT g.rep, k, sum(CASE WHEN p >= {_STEPS} THEN pos ELSE 0 END) AS tp, sum(CASE WHEN p >= {_STEPS} THEN n ELSE 0 END) AS predicted FROM g CROSS JOIN range(0, 97) t(k) GROUP BY 1, 2),
+f AS (SELECT rep, k, coalesce(2e0 * tp / nullif(predicted + positives, 0), 0) AS f1 FROM c JOIN a USING (rep))
+SELECT CAST(rep AS INT) AS rep, f1 AS best_f1, {_STEPS} AS best_t FROM f QUALIFY row_number() OVER (PARTITION BY rep ORDER BY f1 DESC, k) = 1""")
 def q_bootstrap(t):
     return R.bootstrap_threshold(t.view(SCORES).withColumn("p", F.col("p1")), replicates=20)
 
 
-@query("K11 J16")
+_AUC = """(SELECT {by} sum((w_n - w_pos) * (above + w_pos / 2e0)) / (any_value(tp) * (any_value(tn) - any_value(tp))) AS auc FROM (
+SELECT *, coalesce(sum(w_pos) OVER ({part} ORDER BY p DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above, sum(w_pos) OVER ({part}) AS tp, sum(w_n) OVER ({part}) AS tn
+FROM (SELECT {by} p, CAST(sum(w) AS DOUBLE) AS w_n, CAST(sum(w * y) AS DOUBLE) AS w_pos FROM {rows} GROUP BY {by} p)) {group})"""
+
+
+@query("K11 J16", f"""{S}, z AS (SELECT id, y, p1 AS p, 1 AS w, rep FROM s CROSS JOIN range(0, 20) r(rep) WHERE p1 BETWEEN 0.5 AND 0.7),
+a AS (SELECT *, row_number() OVER (PARTITION BY rep ORDER BY {_h("'permA0'", 'rep', 'id')}, id) AS pos FROM z), b AS (SELECT rep, y, row_number() OVER (PARTITION BY rep ORDER BY {_h("'permB0'", 'rep', 'id')}, id) AS pos FROM z),
+m AS (SELECT a.rep, p, w, b.y FROM a JOIN b USING (rep, pos)), n AS {_AUC.format(by="rep,", part="PARTITION BY rep", rows="m", group="GROUP BY rep")}, real AS {_AUC.format(by="", part="", rows="(SELECT * FROM z WHERE rep = 0)", group="")}
+SELECT any_value(real.auc) AS auc, avg(n.auc) AS null_mean, stddev_samp(n.auc) AS null_sd, (count(*) FILTER (n.auc >= real.auc) + 1) / (count(*) + 1e0) AS p_value FROM n CROSS JOIN real""")
 def q_perm_auc(t):
     return R.permutation_auc(t.view(SCORES).where("p1 between 0.5 and 0.7"), p="p1", replicates=20)
 
 
-@query("X16")
+@query("X16", f"""{S}, {_BOOT}, l AS (SELECT rep, w, y, p1 AS p, 'a' AS model FROM b UNION ALL SELECT rep, w, y, p2 AS p, 'b' AS model FROM b), n AS {_AUC.format(by="rep, model,", part="PARTITION BY rep, model", rows="(SELECT * FROM l WHERE w > 0)", group="GROUP BY rep, model")},
+d AS (SELECT rep, max(auc) FILTER (model = 'b') - max(auc) FILTER (model = 'a') AS d FROM n GROUP BY rep)
+SELECT quantile_cont(d, 0.025) AS lo, quantile_cont(d, 0.5) AS mid, quantile_cont(d, 0.975) AS hi, avg(CAST(d > 0 AS DOUBLE)) AS share_positive FROM d""")
 def q_bootstrap_delta(t):
     return R.bootstrap_auc_delta(t.view(SCORES), "p1", "p2", replicates=20)
 
@@ -164,7 +258,7 @@ def q_determinism(t):
     return drift(fit(), fit())
 
 
-@query("S4 S6")
+@query("S4 S6", f"{S} SELECT id, p1 AS p, 'base' AS config, 'f1' AS fingerprint FROM s")
 def q_stored_preds(t):
     path = f"{ensure_checkpoint_dir(t.spark)}/preds-{uuid.uuid4().hex}"
     make = lambda: t.view(SCORES).select("id", F.col("p1").alias("p"))

@@ -132,6 +132,25 @@ def select_alpha(df: DataFrame, models: Sequence[str], y: str = "y", fold: str =
     return max(grid, key=lambda a: (ap[a] or 0.0, -grid.index(a)))
 
 
+def fixed_alphas(df: DataFrame, models: Sequence[str], alphas: Sequence[float], y: str = "y", fold: str = "fold", k: int = 3) -> DataFrame:
+    """``(alpha, model, weight, auc, ap)``: out-of-fold quality of the blend at each fixed penalty, and its mean weights."""
+    df = cut(df)
+
+    def one(job):
+        alpha, f = job
+        meta = fit_meta(df.where(F.col(fold) != f), models, y, alpha)
+        return alpha, meta.weights, meta.apply(df.where(F.col(fold) == f), "p").select(F.lit(alpha).alias("alpha"), y, "p")
+
+    with ThreadPoolExecutor(4) as pool:
+        fitted = list(pool.map(one, [(a, f) for a in alphas for f in range(k)]))
+    rows = fitted[0][2]
+    for _, _, r in fitted[1:]:
+        rows = rows.unionByName(r)
+    mean = [(float(a), m, float(np.mean([w[i] for b, w, _ in fitted if b == a]))) for a in alphas for i, m in enumerate(models)]
+    weights = df.sparkSession.createDataFrame(mean, "alpha double, model string, weight double")
+    return weights.join(auc_ap(cut(rows), ["alpha"], y, "p").select("alpha", "auc", "ap"), "alpha")
+
+
 def cross_fitted_meta(df: DataFrame, models: Sequence[str], y: str = "y", fold: str = "fold", k: int = 5, grid: Sequence[float] = (0.001, 0.01, 0.1), inner: int = 3) -> tuple[DataFrame, list[Meta]]:
     """Out-of-fold blend: for each fold a penalty and weights from the other folds; and the fitted blends."""
     metas, parts = [], []
@@ -152,28 +171,29 @@ def subsets(preds: DataFrame, drop: Sequence[str]) -> DataFrame:
 
 
 def greedy_ensemble(preds: DataFrame, labels: DataFrame, base: str, rounds: int = 10, f1_drop: float = 0.002, min_gain: float = 0.0) -> list[str]:
-    """Members, with repetition, that raise the mean AP one at a time; only ``base`` if the result isn't better than it.
+    """Members, with repetition, of the best bag; only ``base`` if none is better than it.
 
-    Every round scores all candidates by one job, the candidate being part of the key. A candidate may not lose more
-    than ``f1_drop`` of the best F1 of the current blend.
+    The bag starts empty and takes in every round the model that gives it the highest mean AP, gain or not, of equal
+    ones the first by name. Of its beginnings that have more AP than the base alone, by more than ``min_gain``, and lose no
+    more than ``f1_drop`` of the base's best F1, the one with the highest AP is taken, the shortest of equal ones.
+    Every round scores all candidates by one job, the candidate being part of the key.
     """
     models = sorted(r[0] for r in preds.select("model").distinct().collect())
-    rows = preds.join(labels, "id").cache()
+    rows = cut(preds.join(labels, "id").select("seed", "model", "id", "y", "p"))
     mean = lambda d, keys: auc_ap(d, keys).join(best_threshold(f1_curve(d, keys), keys), keys)
-    start = mean(rows.where(F.col("model") == base), ["seed"]).agg(F.avg("ap"), F.avg("best_f1")).first()
-    members, ap, best = [base], start[0], start[1]
-    for _ in range(rounds):
-        held = F.create_map(*[F.lit(x) for m in models for x in (m, members.count(m))])[F.col("model")]
-        now = rows.groupBy("seed", "id", "y").agg(F.sum(held * F.col("p")).alias("held"))
-        tried = rows.join(now, ["seed", "id", "y"]).withColumn("p", (F.col("held") + F.col("p")) / float(len(members) + 1))
+    base_ap, base_f1 = mean(rows.where(F.col("model") == base), ["seed"]).agg(F.avg("ap"), F.avg("best_f1")).first()
+    bag: list[str] = []
+    good: list[tuple[float, int]] = []
+    for n in range(1, rounds + 1):
+        held = F.create_map(*[F.lit(x) for m in models for x in (m, bag.count(m))])[F.col("model")]
+        now = rows.groupBy("seed", "id").agg(F.sum(held * F.col("p")).alias("held"))
+        tried = rows.join(now, ["seed", "id"]).withColumn("p", (F.col("held") + F.col("p")) / float(n))
         table = mean(tried.select("seed", "model", "y", "p"), ["model", "seed"]).groupBy("model").agg(F.avg("ap").alias("ap"), F.avg("best_f1").alias("f1")).collect()
-        ok = sorted(((r["ap"], r["model"], r["f1"]) for r in table if r["f1"] >= best - f1_drop), key=lambda x: (-x[0], x[1]))
-        if not ok or ok[0][0] <= ap + 1e-12:
-            break
-        ap, best = ok[0][0], ok[0][2]
-        members.append(ok[0][1])
-    rows.unpersist()
-    return members if ap - start[0] > min_gain else [base]
+        best = min(table, key=lambda r: (-round(r["ap"], 14), r["model"]))
+        bag.append(best["model"])
+        if best["f1"] >= base_f1 - f1_drop and best["ap"] > base_ap + min_gain:
+            good.append((round(best["ap"], 14), -n))
+    return bag[: -max(good)[1]] if good else [base]
 
 
 def anchored_lambda(df: DataFrame, a: str, b: str, y: str = "y", fold: str = "fold", grid: Sequence[float] = (0.0, 0.1, 0.2, 0.3, 0.5), ap_tolerance: float = 0.002) -> float:

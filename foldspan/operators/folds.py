@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -70,12 +71,19 @@ def split_fingerprint(df: DataFrame, id_col: str, width: int = 1 << 20) -> DataF
 
 
 def balanced_pairs(df: DataFrame, id_col: str, y: str, seed: int = 0) -> DataFrame:
-    """``(anchor, partner, same)``: for each row one partner of its class and one of the other, by shifted places."""
+    """``(anchor, partner, same)``: for each anchor one partner of each class, any of its rows but the anchor itself.
+
+    Of each class as many rows are anchors as the smallest class has, so that no class rules. Anchors are the first
+    by a hash, partners are at the places that other hashes of the anchor name.
+    """
     rows = class_positions(df.select(F.col(id_col).alias("id"), F.col(y).alias("y")), "id", ["y"], F.lit(f"pairs{seed}")).select("id", "y", "pos", "size")
     other = rows.select(F.col("id").alias("partner"), F.col("y").alias("py"), F.col("pos").alias("ppos"))
-    sizes = rows.groupBy("y").agg(F.first("size").alias("n"))
-    want = rows.crossJoin(F.broadcast(sizes.select(F.col("y").alias("ty"), "n")))  # two classes
-    want = want.withColumn("place", F.when(F.col("ty") == F.col("y"), F.pmod(F.col("pos") + 1, F.col("n"))).otherwise(F.pmod(F.col("pos"), F.col("n"))))
+    sizes = rows.groupBy("y").agg(F.first("size").alias("n"))  # one row a class
+    fewest = sizes.agg(F.min("n").alias("fewest"))
+    want = rows.crossJoin(F.broadcast(fewest)).where("pos < fewest").crossJoin(F.broadcast(sizes.select(F.col("y").alias("ty"), "n")))
+    inside = F.pmod(F.col("pos") + 1 + F.pmod(_hash32(F.lit(f"same{seed}"), F.col("id")), F.greatest(F.col("n") - 1, F.lit(1))), F.col("n"))
+    outside = F.pmod(_hash32(F.lit(f"other{seed}"), F.col("id")), F.col("n"))
+    want = want.withColumn("place", F.when(F.col("ty") == F.col("y"), inside).otherwise(outside))
     pairs = want.join(other, (F.col("ty") == F.col("py")) & (F.col("place") == F.col("ppos")))
     return pairs.where(F.col("id") != F.col("partner")).select(F.col("id").alias("anchor"), "partner", (F.col("y") == F.col("py")).cast("int").alias("same"))
 
@@ -94,14 +102,16 @@ def candidate_sample(df: DataFrame, batch: DataFrame, id_col: str, share: float,
     return chosen.unionByName(rest.where(hash_unit(F.lit(f"cand{seed}"), F.col(id_col)) < share))
 
 
+#: The distribution function of Poisson(1) at 0, 1, ... 10.
+POISSON_STEPS = tuple(sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(11))
+
+
 def poisson_weights(df: DataFrame, id_col: str, replicates: int, seed: int = 0) -> DataFrame:
     """``df`` for every replicate with ``w``: a Poisson(1) number from a hash of replicate and id; rows of weight 0 go."""
     u = hash_unit(F.lit(f"boot{seed}"), F.col("rep"), F.col(id_col))
-    total, term, w = 0.0, 0.36787944117144233, F.lit(0)
-    for k in range(1, 12):
-        total += term
-        term /= k
-        w = w + (u >= total).cast("int")
+    w = F.lit(0)
+    for step in POISSON_STEPS:
+        w = w + (u >= step).cast("int")
     return df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("w", w).where("w > 0")
 
 

@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 
 from foldspan.functions.rows import MISSING, logit, sigmoid
 from foldspan.operators.encoders import spline_basis
-from foldspan.operators.folds import hash_unit, nested_folds
+from foldspan.operators.folds import hash_unit, nested_folds, permuted_labels
 from foldspan.operators.metrics import auc_ap
-from foldspan.operators.tfidf import hashed_vectors, term_counts, tfidf, vocabulary, weights
+from foldspan.operators.tfidf import hashed_vectors, numbered, term_counts, term_vectors, tfidf, vocabulary, weights
 from foldspan.plans.lineage import cut
 
 Expert = Callable[[DataFrame, DataFrame], DataFrame]
@@ -90,12 +90,13 @@ def vector_expert(vec: str = "vec", c: float = 1.0) -> Expert:
     return fit
 
 
-def text_expert(terms: Column, min_df: int = 3, max_share: float = 0.9, size: int = 1 << 10, c: float = 1.0) -> Expert:
-    """Logistic regression on TF-IDF of the training vocabulary, hashed to a fixed size."""
+def text_expert(terms: Column, min_df: int = 3, max_share: float = 0.9, c: float = 1.0) -> Expert:
+    """Logistic regression on TF-IDF of the training vocabulary; a text without a term of it is scored on zeros."""
 
     def fit(train: DataFrame, valid: DataFrame) -> DataFrame:
-        vocab = cut(vocabulary(term_counts(train, "id", terms), train.agg(F.count("*").cast("double").alias("n")), min_df, max_share))
-        vec = lambda df: cut(df.select("id", "y").join(hashed_vectors(weights(term_counts(df, "id", terms), vocab), size), "id"))
+        vocab = cut(numbered(vocabulary(term_counts(train, "id", terms), train.agg(F.count("*").cast("double").alias("n")), min_df, max_share)))
+        size = max(1, vocab.count())
+        vec = lambda df: cut(df.select("id", "y").join(term_vectors(df, weights(term_counts(df, "id", terms), vocab), vocab, size), "id"))
         a = vec(train)
         lr = LogisticRegression(labelCol="y", regParam=1.0 / (c * max(1, a.count())), standardization=False, maxIter=50).fit(a)
         return _p(lr.transform(vec(valid)))
@@ -123,7 +124,7 @@ REGISTRY: dict[str, Callable[..., Expert]] = {"linear": linear_expert, "trees":
 
 def available(columns: Sequence[str], needs: Mapping[str, Sequence[str]]) -> list[str]:
     """Names of the experts whose columns are all there."""
-    return [k for k, v in needs.items() if k in needs and set(v) <= set(columns)]
+    return [k for k, v in needs.items() if set(v) <= set(columns)]
 
 
 def out_of_fold(df: DataFrame, experts: Mapping[str, Expert], k: int = 5, seed: int = 0, config: str = "base", test: DataFrame | None = None, threads: int = 4) -> DataFrame:
@@ -215,6 +216,30 @@ def error_probability(df: DataFrame, label: str, features: Sequence[str], k: int
     return out
 
 
+def shuffled_error_auc(df: DataFrame, label: str, features: Sequence[str], replicates: int = 10, k: int = 3, seed: int = 0) -> DataFrame:
+    """``(rep, auc)``: the AUC of the error classifier, fitted again for every replicate, when errors are permuted.
+
+    Replicate -1 is the real one. A baseline of what the classifier finds where there is nothing to find.
+    """
+    rows = cut(df.withColumn("__wrong", (F.col(label) != F.col("y")).cast("int")))
+    mixed = cut(permuted_labels(rows.select("id", "__wrong"), "id", "__wrong", replicates, seed).select("rep", F.col("id").alias("__id"), F.col("__wrong").alias("__new")))
+
+    def one(rep):
+        here = rows
+        if rep >= 0:
+            here = rows.drop("__wrong").join(mixed.where(F.col("rep") == rep), F.col("id") == F.col("__id")).withColumn("__wrong", F.col("__new")).drop("rep", "__id", "__new")
+        real = here.withColumns({"y": F.lit(0), "__label": F.col("__wrong")})
+        scores = error_probability(real, "__label", features, k)
+        return auc_ap(cut(scores.join(here.select("id", F.col("__wrong").alias("y")), "id"))).select(F.lit(rep).alias("rep"), "auc")
+
+    with ThreadPoolExecutor(4) as pool:
+        parts = list(pool.map(one, range(-1, replicates)))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def ridge_residual(df: DataFrame, residual: str, features: Sequence[str], alpha: float = 10.0, k: int = 3) -> DataFrame:
     """``(id, guess)``: out-of-fold ridge regression of a signed residual."""
     parts = []
@@ -289,7 +314,7 @@ def topic_table(df: DataFrame, terms: Column, k: int = 5, y: str = "y", seed: in
     from foldspan.operators.explore import group_rates
 
     counts = term_counts(df, "id", terms).select("id", "term", F.col("tf").cast("double").alias("weight"))
-    m = LDA(k=k, maxIter=10, seed=seed, optimizer="online").fit(vec := hashed_vectors(counts, size))
+    m = LDA(k=k, maxIter=10, seed=seed, optimizer="online").fit(vec := cut(hashed_vectors(df, counts, size)))
     t = vector_to_array("topicDistribution")
     topic = m.transform(vec).select("id", (F.array_position(t, F.array_max(t)) - 1).cast("int").alias("topic"))
     return group_rates(topic.join(df.select("id", y), "id"), "topic", y)
@@ -302,7 +327,7 @@ def cluster_table(df: DataFrame, terms: Column, k: int = 8, dims: int = 10, y: s
 
     from foldspan.operators.explore import group_rates
 
-    vec = hashed_vectors(tfidf(df, df, "id", terms, 2, 0.9), size).cache()
+    vec = cut(hashed_vectors(df, tfidf(df, df, "id", terms, 2, 0.9), size))
     low = PCA(k=dims, inputCol="features", outputCol="low").fit(vec).transform(vec)
     out = KMeans(k=k, seed=seed, featuresCol="low", predictionCol="cluster").fit(low).transform(low).select("id", "cluster")
     return group_rates(out.join(df.select("id", y), "id"), "cluster", y)

@@ -69,10 +69,14 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int, id_col: str = "id
 
 
 def smoothed_vote(near: DataFrame, prior: float, sharpness: float = 8.0, strength: float = 20.0, k: int = 40) -> DataFrame:
-    """``(query, score)``: (k local + strength prior) / (k + strength), local weighted by exp(-sharpness distance)."""
+    """``(query, score)``: (k local + strength prior) / (k + strength), local weighted by exp(-sharpness distance).
+
+    A query with fewer than ``k`` neighbours counts as many as it has.
+    """
     w = F.exp(-sharpness * F.col("distance"))
     local = F.sum(w * F.col("y")) / F.sum(w)
-    return near.groupBy("query").agg(((k * local + strength * prior) / (k + strength)).alias("score"))
+    n = F.least(F.count("*"), F.lit(k))
+    return near.groupBy("query").agg(((n * local + strength * prior) / (n + strength)).alias("score"))
 
 
 def top1_purity(near: DataFrame, labels: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldspan.functions.vectors import let
+from foldspan.operators.folds import class_positions
 
 
 def term_counts(df: DataFrame, id_col: str, terms: Column) -> DataFrame:
@@ -43,11 +43,25 @@ def tfidf(train: DataFrame, other: DataFrame, id_col: str, terms: Column, min_df
     return weights(term_counts(other, id_col, terms), vocabulary(term_counts(train, id_col, terms), n, min_df, max_share), sublinear)
 
 
-def hashed_vectors(w: DataFrame, size: int = 1 << 12) -> DataFrame:
-    """``(id, features)``: sparse vectors of a fixed size for MLlib; terms that share a place add up."""
-    from pyspark.ml.functions import array_to_vector
+def sparse_vectors(ids: DataFrame, cells: DataFrame, size: int) -> DataFrame:
+    """``(id, features)`` of every id for MLlib: sparse vectors of ``(id, k, v)``; an id without cells has zeros."""
+    from pyspark.ml.linalg import SparseVector, VectorUDT
 
-    cells = w.groupBy("id", F.pmod(F.xxhash64("term"), F.lit(size)).cast("int").alias("k")).agg(F.sum("weight").alias("v"))
-    rows = cells.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m"))
-    dense = let(F.col("m"), lambda m: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at(m, i), F.lit(0.0))))
-    return rows.select("id", array_to_vector(dense).alias("features"))
+    build = F.udf(lambda found: SparseVector(size, [c[0] for c in found or ()], [c[1] for c in found or ()]), VectorUDT())
+    lists = cells.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("__cells"))
+    return ids.select("id").join(lists, "id", "left").select("id", build("__cells").alias("features"))
+
+
+def numbered(vocab: DataFrame) -> DataFrame:
+    """``vocab`` with ``k``, numbers of its terms from 0 on without gaps, by hash buckets and not in one task."""
+    return class_positions(vocab, "term", [], F.lit("term")).withColumn("k", F.col("pos").cast("int")).drop("pos", "size")
+
+
+def term_vectors(ids: DataFrame, w: DataFrame, vocab: DataFrame, size: int) -> DataFrame:
+    """``(id, features)``: a column for each of the ``size`` terms of a numbered vocabulary."""
+    return sparse_vectors(ids, w.join(vocab.select("term", "k"), "term").select("id", "k", F.col("weight").alias("v")), size)
+
+
+def hashed_vectors(ids: DataFrame, w: DataFrame, size: int = 1 << 12) -> DataFrame:
+    """``(id, features)``: vectors of a fixed size; terms that share a place add up."""
+    return sparse_vectors(ids, w.groupBy("id", F.pmod(F.xxhash64("term"), F.lit(size)).cast("int").alias("k")).agg(F.sum("weight").alias("v")), size)

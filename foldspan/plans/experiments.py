@@ -51,6 +51,12 @@ def repeated_scores(df: DataFrame, expert: Expert, seeds: Sequence[int], config:
     return m.select(F.lit(config).alias("config"), "seed", cells.alias("x")).select("config", "seed", "x.*")
 
 
+def setting_lab(df: DataFrame, settings: Mapping[str, Expert], seeds: Sequence[int], k: int = 3) -> DataFrame:
+    """``(config, metric, mean, sd)``: every text setting by repeated cross-validation, over its seeds."""
+    parts = [repeated_scores(df, expert, seeds, name, k) for name, expert in settings.items()]
+    return reduce(DataFrame.unionByName, parts).groupBy("config", "metric").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
+
+
 def judge(base: DataFrame, cand: DataFrame, base_name: str, cand_name: str) -> DataFrame:
     return verdict(paired_deltas(base.unionByName(cand), base_name, cand_name))
 
