@@ -162,7 +162,7 @@ def q_cross(t):
     return crossed(t.view(COMPANY), [("industry", "listing")]).select("id", "industryxlisting")
 
 
-@query("S1 S2", "SELECT CAST(0 AS BIGINT) AS n_repeated, CAST(0 AS BIGINT) AS n_null_key, CAST((SELECT count(*) FROM customer WHERE c_acctbal IS NULL) AS BIGINT) AS null_c_acctbal, CAST((SELECT count(*) FROM customer WHERE c_mktsegment IS NULL) AS BIGINT) AS null_c_mktsegment")
+@query("S2", "SELECT CAST(0 AS BIGINT) AS n_repeated, CAST(0 AS BIGINT) AS n_null_key, CAST((SELECT count(*) FROM customer WHERE c_acctbal IS NULL) AS BIGINT) AS null_c_acctbal, CAST((SELECT count(*) FROM customer WHERE c_mktsegment IS NULL) AS BIGINT) AS null_c_mktsegment")
 def q_key_check(t):
     c = nan_to_null(checked(t.customer, "c_custkey", ["c_acctbal", "c_mktsegment"]))
     return key_faults(c, "c_custkey", ["c_acctbal", "c_mktsegment"])
