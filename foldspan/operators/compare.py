@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldspan.operators.metrics import auc_ap
-from foldspan.operators.ranks import average_ranks
+from foldspan.operators.ranks import average_ranks, column_percentiles, exact_percentiles
 
 #: Shares of seeds that must gain, least mean gain of AP, largest mean loss of F1 (fixed values).
 AUC_SHARE, AP_SHARE, AP_GAIN, F1_LOSS = 0.70, 0.75, 0.005, -0.002
@@ -83,7 +83,7 @@ def max_rank_correlation(df: DataFrame, new: Sequence[str], old: Sequence[str],
 
 def quadrants(df: DataFrame, a: str, b: str, y: str = "y") -> DataFrame:
     """One row: rates of the four median-split cells, and the excess of the last over what the other three add up to."""
-    m = df.agg(F.percentile(a, 0.5).alias("ma"), F.percentile(b, 0.5).alias("mb"))
+    m = column_percentiles(df, [a, b], [0.5]).select(F.col("q0")[0].alias("ma"), F.col("q1")[0].alias("mb"))
     ha, hb = (F.col(a) > F.col("ma")).cast("int"), (F.col(b) > F.col("mb")).cast("int")
     rate = lambda i, k: F.avg(F.when((ha == i) & (hb == k), F.col(y).cast("double"))).alias(f"r{i}{k}")
     out = df.crossJoin(F.broadcast(m)).agg(*[rate(i, k) for i in (0, 1) for k in (0, 1)])
@@ -92,8 +92,10 @@ def quadrants(df: DataFrame, a: str, b: str, y: str = "y") -> DataFrame:
 
 def stability(df: DataFrame, cols: Sequence[str], part: str) -> DataFrame:
     """By column and part: share missing, mean, and the 10th, 50th and 90th percentile."""
-    q = F.percentile("v", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    out = unpivoted(df, cols, [part]).groupBy("column", part).agg(F.avg(F.col("v").isNull().cast("double")).alias("missing"), F.avg("v").alias("mean"), q.alias("q"))
+    long = unpivoted(df, cols, [part])
+    q = exact_percentiles(long, ["column", part], "v", [0.1, 0.5, 0.9], "q").select(F.col("column").alias("__c"), F.col(part).alias("__p"), "q")
+    out = long.groupBy("column", part).agg(F.avg(F.col("v").isNull().cast("double")).alias("missing"), F.avg("v").alias("mean"))
+    out = out.join(q, (F.col("column") == F.col("__c")) & F.col(part).eqNullSafe(F.col("__p")), "left")
     return out.select("column", part, "missing", "mean", F.col("q")[0].alias("p10"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p90"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldspan.operators.ranks import top_k
+from foldspan.operators.ranks import exact_percentiles, top_k
 
 
 def at_threshold(p: Column, t) -> Column:
@@ -14,7 +14,7 @@ def at_threshold(p: Column, t) -> Column:
 
 def rate_cut(df: DataFrame, p: str, rate: float) -> DataFrame:
     """One row: the score above which a share of ``rate`` lies, between scores by linear interpolation."""
-    return df.agg(F.percentile(p, F.lit(1 - rate)).alias("cut"))
+    return exact_percentiles(df, [], p, [1 - rate]).select(F.col("edges")[0].alias("cut"))
 
 
 def resolve_threshold(df: DataFrame, p: str, count: int | None = None, value: float | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldspan.functions.rows import MISSING
+from foldspan.operators.ranks import exact_percentiles
 
 
 def target_encoding(df: DataFrame, cat: str, y: str, fold: str = "fold", m: float = 10.0, out_of_fold: bool = True) -> DataFrame:
@@ -47,7 +48,7 @@ def training_rows(df: DataFrame, fold: str = "fold", k: int = 5) -> DataFrame:
 def fold_percentiles(df: DataFrame, cols: Sequence[str], shares: Sequence[float], fold: str = "fold", k: int = 5, where: Column | None = None) -> DataFrame:
     """``(outer, column, edges)``: exact percentiles of each column over the training rows of each fold."""
     rows = training_rows(df if where is None else df.where(where), fold, k).select("outer", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in cols])).alias("x"))
-    return rows.groupBy("outer", F.col("x.column").alias("column")).agg(F.percentile("x.v", F.array(*[F.lit(s) for s in shares])).alias("edges"))
+    return exact_percentiles(rows.select("outer", "x.*"), ["outer", "column"], "v", shares)
 
 
 def median_filled(df: DataFrame, cols: Sequence[str], fold: str = "fold", k: int = 5, second: float = 0.0, where: Column | None = None) -> DataFrame:

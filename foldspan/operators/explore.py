@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldspan.operators.metrics import score_steps
-from foldspan.operators.ranks import prefix_sums, value_range
+from foldspan.operators.ranks import column_percentiles, prefix_sums, value_range
 
 
 def profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -55,9 +55,13 @@ def wilson(hits: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     return (mid - half) / (1 + z * z / n), (mid + half) / (1 + z * z / n)
 
 
+def _medians(df: DataFrame, axes: Sequence[str]) -> DataFrame:
+    return column_percentiles(df, axes, [0.5]).select(*[F.col(f"q{i}")[0].alias(f"__m{i}") for i in range(len(axes))])
+
+
 def segment_table(df: DataFrame, axes: Sequence[str], y: str = "y") -> DataFrame:
     """Cells of median-split axes: n, hits, rate, Wilson interval, lift over all rows."""
-    m = df.agg(*[F.percentile(a, 0.5).alias(f"__m{i}") for i, a in enumerate(axes)], F.avg(F.col(y).cast("double")).alias("__rate"))
+    m = _medians(df, axes).crossJoin(df.agg(F.avg(F.col(y).cast("double")).alias("__rate")))  # one row each
     cells = df.crossJoin(F.broadcast(m)).groupBy(*[(F.col(a) > F.col(f"__m{i}")).cast("int").alias(f"{a}_high") for i, a in enumerate(axes)])
     g = cells.agg(F.count("*").alias("n"), F.sum(y).cast("bigint").alias("hits"), F.first("__rate").alias("__rate"))
     lo, hi = wilson(F.col("hits"), F.col("n"))
@@ -66,7 +70,7 @@ def segment_table(df: DataFrame, axes: Sequence[str], y: str = "y") -> DataFrame
 
 def readiness_table(df: DataFrame, axes: Sequence[str], third: str, y: str = "y") -> DataFrame:
     """Target rate by the number of high axes and by a third axis, all split at their medians."""
-    m = df.agg(*[F.percentile(a, 0.5).alias(f"__m{i}") for i, a in enumerate([*axes, third])])
+    m = _medians(df, [*axes, third])
     high = [(F.col(a) > F.col(f"__m{i}")).cast("int") for i, a in enumerate([*axes, third])]
     g = df.crossJoin(F.broadcast(m)).groupBy(sum(high[1:-1], high[0]).alias("n_high"), high[-1].alias("third_high"))
     return g.agg(F.count("*").alias("n"), F.avg(F.col(y).cast("double")).alias("rate"))

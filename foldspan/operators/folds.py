@@ -22,9 +22,9 @@ def _hash32(*parts: Column) -> Column:
 def class_positions(df: DataFrame, id_col: str, by: Sequence[str], *salt: Column) -> DataFrame:
     """``df`` with ``pos``: the 0-based place of each row in its class by (hash, id), and ``size`` of the class.
 
-    Hash buckets (the top eight bits) are counted first, so that a class, however large, is never one task.
+    Hash buckets (the top twelve bits) are counted first, so that a class, however large, is never one task.
     """
-    rows = df.withColumn("__h", _hash32(*salt, F.col(id_col))).withColumn("__b", F.shiftright("__h", 24).cast("int"))
+    rows = df.withColumn("__h", _hash32(*salt, F.col(id_col))).withColumn("__b", F.shiftright("__h", 20).cast("int"))
     counts = rows.groupBy(*by, "__b").agg(F.count("*").alias("__n"))
     before = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(*[F.col(b).alias(f"__k_{b}") for b in by], F.col("__b").alias("__c"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"), F.sum("__n").over(Window.partitionBy(*by)).alias("size"))

@@ -18,6 +18,7 @@ from foldspan.functions.rows import MISSING, logit, sigmoid
 from foldspan.operators.encoders import spline_basis
 from foldspan.operators.folds import hash_unit, nested_folds, permuted_labels
 from foldspan.operators.metrics import auc_ap
+from foldspan.operators.ranks import column_percentiles
 from foldspan.operators.tfidf import hashed_vectors, numbered, term_counts, term_vectors, tfidf, vocabulary, weights
 from foldspan.plans.lineage import cut
 
@@ -27,8 +28,8 @@ Expert = Callable[[DataFrame, DataFrame], DataFrame]
 def _assembled(train: DataFrame, valid: DataFrame, numeric: Sequence[str], categorical: Sequence[str], scale: bool) -> tuple[DataFrame, DataFrame]:
     """Both tables with ``x``: numbers imputed by the median of ``train`` and standardised by its population figures."""
     if numeric:
-        q = train.agg(*[F.percentile(F.col(c).cast("double"), 0.5).alias(c) for c in numeric]).first()
-        fill = {c: F.coalesce(F.col(c).cast("double"), F.lit(float(q[c] or 0.0))) for c in numeric}
+        q = column_percentiles(train, numeric, [0.5]).first()
+        fill = {c: F.coalesce(F.col(c).cast("double"), F.lit(float(m[0] if m else 0.0))) for c, m in zip(numeric, q, strict=True)}
         train, valid = train.withColumns(fill), valid.withColumns(fill)
         if scale:
             s = train.agg(*[F.avg(c).alias(f"m_{c}") for c in numeric], *[F.stddev_pop(c).alias(f"d_{c}") for c in numeric]).first()
@@ -108,10 +109,10 @@ def spline_expert(numeric: Sequence[str], categorical: Sequence[str] = (), knots
     """An additive model of few degrees of freedom: quadratic splines at training quantiles, and one-hot levels."""
 
     def fit(train: DataFrame, valid: DataFrame) -> DataFrame:
-        q = train.agg(*[F.percentile(F.col(n).cast("double"), F.array(*[F.lit((k + 1) / (knots + 1)) for k in range(knots)])).alias(n) for n in numeric]).first()
+        q = column_percentiles(train, numeric, [(k + 1) / (knots + 1) for k in range(knots)]).first()
         cols = []
-        for n in numeric:
-            at = sorted(set(q[n] or []))
+        for n, edges in zip(numeric, q, strict=True):
+            at = sorted(set(edges or []))
             train, valid = spline_basis(train, n, at), spline_basis(valid, n, at)
             cols += [f"{n}_s1", f"{n}_s2", *[f"{n}_k{i}" for i in range(len(at))]]
         return linear_expert(cols, categorical, c)(train, valid)

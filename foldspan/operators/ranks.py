@@ -7,23 +7,37 @@ scanned over as many rows as there are ranges, and a window works inside each ra
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 32
+#: Rows that a range is worth, and the most ranges that one sketch gives.
+RANGE_ROWS, MOST_RANGES = 1 << 16, 1024
 
 
-def value_range(df: DataFrame, col: str, ranges: int = RANGES) -> Column:
-    """The number of range bounds at or below a value."""
-    bounds = sorted(set(df.stat.approxQuantile(col, [k / ranges for k in range(1, ranges)], 0.25 / ranges)))
+def value_range(df: DataFrame, col: str, ranges: int | None = None) -> Column:
+    """The number of range bounds at or below a value; unless ``ranges`` is given, the row count decides how many."""
+    shares = [k / MOST_RANGES for k in range(1, MOST_RANGES)]
+    n, found = df.agg(F.count(col), F.percentile_approx(col, shares, 10 * MOST_RANGES)).first()
+    if ranges is None:
+        ranges = n // RANGE_ROWS
+    step = -(-MOST_RANGES // min(MOST_RANGES, max(1, ranges)))
+    bounds = sorted({float(b) for b in (found or [])[step - 1 :: step]})
     if not bounds:
         return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(float(b)) for b in bounds]), lambda b: b <= F.col(col)))
+    below = lambda a: F.size(F.filter(a, lambda b: b <= F.col(col)))
+    literal = lambda values: F.array(*[F.lit(b) for b in values])
+    width = math.isqrt(len(bounds)) + 1
+    parts = [bounds[at : at + width] for at in range(0, len(bounds), width)]
+    if len(parts) == 1:
+        return below(literal(bounds))
+    part = F.greatest(below(literal([p[0] for p in parts])) - 1, F.lit(0))  # the bounds themselves in two steps
+    return part * width + below(F.get(F.array(*map(literal, parts)), part))
 
 
-def prefix_sums(groups: DataFrame, by: Sequence[str], col: str, values: Sequence[str], descending: bool = False, ranges: int = RANGES) -> DataFrame:
+def prefix_sums(groups: DataFrame, by: Sequence[str], col: str, values: Sequence[str], descending: bool = False, ranges: int | None = None) -> DataFrame:
     """``groups`` with ``cum_<value>``: sums over the rows of the same ``by`` up to and including the row.
 
     ``groups`` has one row for each ``by`` and ``col``; null values of ``col`` must be gone.
@@ -41,7 +55,7 @@ def prefix_sums(groups: DataFrame, by: Sequence[str], col: str, values: Sequence
     return out.withColumns({f"cum_{v}": F.col(f"cum_{v}") + F.col(f"__s_{v}") for v in values}).drop("__range", "__r", *[f"__k_{b}" for b in by], *[f"__s_{v}" for v in values])
 
 
-def average_ranks(df: DataFrame, by: Sequence[str], col: str, out: str = "rank", ranges: int = RANGES) -> DataFrame:
+def average_ranks(df: DataFrame, by: Sequence[str], col: str, out: str = "rank", ranges: int | None = None) -> DataFrame:
     """``df`` with the 1-based average rank of ``col`` inside ``by``; a null value has a null rank."""
     g = df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count("*").alias("__n"))
     g = prefix_sums(g, by, col, ["__n"], ranges=ranges)
@@ -52,6 +66,40 @@ def average_ranks(df: DataFrame, by: Sequence[str], col: str, out: str = "rank",
     return df.join(g, same, "left").drop("__v", *[f"__b_{b}" for b in by])
 
 
+def exact_percentiles(df: DataFrame, by: Sequence[str], col: str, shares: Sequence[float], out: str = "edges") -> DataFrame:
+    """``by`` and ``out``: the exact percentiles of ``col``, between two values by linear interpolation.
+
+    Equal values are counted first and places come from prefix sums, so that no task holds all values of a column.
+    Nulls don't count. A group without a value has no row; without ``by`` there is one row, of nulls if need be.
+    """
+    g = df.where(F.col(col).isNotNull()).groupBy(*by, F.col(col).cast("double").alias("__v")).agg(F.count("*").alias("__n"))
+    upto = prefix_sums(g, by, "__v", ["__n"])
+    size = g.groupBy(*[F.col(b).alias(f"__g_{b}") for b in by]).agg(F.sum("__n").alias("__size"))
+    if by:
+        same = F.lit(True)
+        for b in by:
+            same &= F.col(b).eqNullSafe(F.col(f"__g_{b}"))
+        upto = upto.join(size, same)
+    else:
+        upto = upto.crossJoin(F.broadcast(size))  # one row
+    at = [(F.col("__size") - 1) * F.lit(float(s)) for s in shares]
+    ends = [[F.min(F.when(F.col("cum___n") > f(p), F.col("__v"))).alias(f"__{name}{i}") for name, f in (("lo", F.floor), ("hi", F.ceil))] for i, p in enumerate(at)]
+    found = upto.groupBy(*by).agg(F.max("__size").alias("__size"), *[e for pair in ends for e in pair])
+
+    def between(i: int, p: Column) -> Column:
+        lo, hi = F.col(f"__lo{i}"), F.col(f"__hi{i}")
+        return F.when(lo == hi, lo).otherwise((F.ceil(p) - p) * lo + (p - F.floor(p)) * hi)
+
+    return found.select(*by, F.array(*[between(i, p) for i, p in enumerate(at)]).alias(out))
+
+
+def column_percentiles(df: DataFrame, cols: Sequence[str], shares: Sequence[float]) -> DataFrame:
+    """One row: for each column an array of its exact percentiles, null for a column without a value."""
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("v")) for i, c in enumerate(cols)])).alias("x")).select("x.*")
+    found = exact_percentiles(long, ["i"], "v", shares)
+    return found.agg(*[F.max(F.when(F.col("i") == i, F.col("edges"))).alias(f"q{i}") for i in range(len(cols))])
+
+
 def rank_normalised(df: DataFrame, by: Sequence[str], col: str, out: str = "rank_norm", plus: int = 1) -> DataFrame:
     """Average rank over n + ``plus``: 1 keeps the ends off 0 and 1, 0 is the percentile rank."""
     n = df.groupBy(*by).agg(F.count(col).alias("__size")) if by else df.agg(F.count(col).alias("__size"))
