@@ -184,8 +184,10 @@ def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     root = connected_components(similar_links(docs, signed, shingle, similar))
     rows = signed.select("id", "hash", "node").join(root, "node", "left").select("id", "hash", F.coalesce("root", "node").alias("of"))
     order = F.struct(F.col("id").isNull(), "id", "hash")
-    first = rows.groupBy("of").agg(F.min(order).alias("first"))
-    decided = cut(rows.groupBy("of", "id", "hash").count().join(first, "of").select("id", "hash", "count", (order == F.col("first")).alias("stays")))
+    first = rows.groupBy("of").agg(F.min(order).alias("first")).select(F.col("first.id").alias("__i"), F.col("first.hash").alias("__h"))
+    # joined by row, not by component, of which one may hold a third of all rows
+    stays = F.col("id").eqNullSafe(F.col("__i")) & (F.col("hash") == F.col("__h"))
+    decided = cut(rows.groupBy("id", "hash").count().join(first, stays, "left").select("id", "hash", "count", F.col("__h").isNotNull().alias("stays")))
     gone = decided.where("not stays").select(F.col("id").alias("__id"), F.col("hash").alias("__hash"))
     repeated = decided.where("stays and count > 1").select(F.col("id").alias("__id"), F.col("hash").alias("__hash"), F.lit(True).alias("__twice"))
     hashed = df.withColumn("__text", F.xxhash64(F.col(text_col).cast("string")))
