@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from foldspan.llm.langid import fit_languages, ftrl, identified, softmax, temperature
 from foldspan.llm.quality import fit_quality, scored, train_vectors
 from foldspan.llm.sharding import shard_digests
-from foldspan.llm.wrappers import aligned, blocks, extract_pages, matches
+from foldspan.llm.wrappers import aligned, blocks, extract_pages, folded, matches
 
 SCHEMA = "doc_id long, text string, lang string, score string"
 GOOD = "der Hund und die Katze sehen ein Haus"
@@ -139,8 +139,11 @@ def test_alignments_fit_both_sides():
             a, b = ([f"k{x}" for x in rng.integers(0, 6, rng.integers(0, 12))] for _ in range(2))
             found = matches(a, b, cells)
             assert all(a[i] == b[j] for i, j in found) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(found, found[1:], strict=False))
-    for _ in range(40):
-        a, b = ([f"k{x}" for x in rng.integers(0, 5, rng.integers(1, 9))] for _ in range(2))
-        both = re.compile(expression(aligned(a, b)))
-        assert both.fullmatch("".join(f"{t};" for t in a)) and both.fullmatch("".join(f"{t};" for t in b))
+    for n in (2, 3, 5):
+        for _ in range(40):
+            first, *rest = streams = [[f"k{x}" for x in rng.integers(0, 5, rng.integers(1, 9))] for _ in range(n)]
+            wrapper = folded(first)
+            for s in rest:
+                wrapper = aligned(wrapper, folded(s))
+            assert all(re.fullmatch(expression(wrapper), "".join(f"{t};" for t in s)) for s in streams)
     assert list(blocks("<p a=\"x>y\" b='q>r' c=it's>t</p>")) == [("p", "t", 0)]
