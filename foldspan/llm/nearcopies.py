@@ -2,9 +2,11 @@
 
 Equal sets meet in one aggregate. Candidates are the links of the binary tries of SimHash fingerprints over the
 shingles and, as copies near 0.8 differ in up to 17 of 64 bits, far beyond what tries can be joined at, those of a
-second signature: MinHash bands, in whose buckets a maximum spanning forest over the estimated similarity, fewer edges
-than members, connects whatever all pairs would. Every link is verified by the exact similarity of the two shingle
-sets before components are formed.
+second signature: MinHash bands, in whose buckets a maximum spanning forest over the estimated similarity has fewer
+edges than members. Every edge is verified by the exact similarity of the two shingle sets. Where an edge fails and
+its ends stay apart, the buckets that hold both get further forests without the edges tried so far, until no pair
+is left that is estimated near enough, not tried and not connected. A crowded bucket is dealt into blocks and each
+pair of blocks compared in a cell of its own, so that no task holds more than two blocks.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +31,10 @@ SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 20, 4
 #: Estimates, of 80 hashes, from which an edge is verified: four and a half deviations below 0.8.
 LEAST_ESTIMATE = 0.6
+#: Members of a block of a crowded bucket.
+CROWD = 4096
+#: Forests of a bucket in a round of verification: this to the number of rounds before, at most the second.
+MORE, MOST = 4, 64
 _RNG = np.random.default_rng(42)
 _MUL, _ADD = (_RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)), _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 
@@ -56,66 +63,91 @@ def digest(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes())).astype(np.int64))
 
 
+def band_buckets(signs: np.ndarray) -> np.ndarray:
+    """The bucket of each band of the signatures, one row a signature."""
+    x = signs.reshape(len(signs), BANDS, ROWS)
+    bucket = np.zeros(x.shape[:2], np.uint64)
+    for j in range(ROWS):
+        bucket = mix64(bucket * np.uint64(0x9E3779B97F4A7C15) + x[:, :, j])
+    return mix64(bucket + np.arange(BANDS, dtype=np.uint64))
+
+
 def _signed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Of each text with a word: its set, the buckets of its bands, its signature by 16 bits a hash, its fingerprint."""
     for batch in pieces(batches):
         rows, sets, signs, bits = [], [], [], []
         for i, s in _shingles(batch, k):
             rows.append(i)
             sets.append(digest(s))
-            signs.append(mix64(signature(s)).tobytes())
+            signs.append(mix64(signature(s)))
             bits.append(majority_bits(s))
         at = pa.array(rows, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("hash").take(at), pa.array(sets, pa.int64()), pa.array(signs, pa.binary()), pa.array(bits, pa.int64())], names=["id", "hash", "node", "signs", "bits"])
+        signs = np.array(signs, np.uint64).reshape(len(rows), BANDS * ROWS)
+        buckets = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * BANDS), pa.array(band_buckets(signs).view(np.int64).ravel()))
+        short = pa.array([r.tobytes() for r in signs.astype(np.uint16)], pa.binary())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("id").take(at), batch.column("hash").take(at), pa.array(sets, pa.int64()), buckets, short, pa.array(bits, pa.int64())], names=["id", "hash", "node", "buckets", "short", "bits"]
+        )
 
 
-def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each band of a signature: its bucket, and the signature by 16 bits a hash."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        x = np.frombuffer(b"".join(batch.column("signs").to_pylist()), np.uint64).reshape(batch.num_rows, BANDS, ROWS)
-        short = [r.tobytes() for r in x.reshape(batch.num_rows, -1).astype(np.uint16)]
-        bucket = np.zeros(x.shape[:2], np.uint64)
-        for j in range(ROWS):
-            bucket = mix64(bucket * np.uint64(0x9E3779B97F4A7C15) + x[:, :, j])
-        bucket = mix64(bucket + np.arange(BANDS, dtype=np.uint64))
-        for b in range(BANDS):
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[:, b].view(np.int64)), batch.column("node"), pa.array(short, pa.binary())], names=["bucket", "node", "short"])
-
-
-def spanning(signs: np.ndarray, least: float = LEAST_ESTIMATE) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a maximum spanning forest over the share of equal hashes, those of at least ``least`` (Prim)."""
+def spanning(signs: np.ndarray, root: np.ndarray, tried: dict[int, set[int]], least: float = LEAST_ESTIMATE) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a maximum spanning forest (Prim) over the share of equal hashes, those of at least ``least``.
+
+    Members of one root count as connected, and pairs in ``tried`` (both ways) as not alike.
+    """
+
+    def weights(at: int, rest: np.ndarray) -> np.ndarray:
+        w = (signs[rest] == signs[at]).mean(axis=1)
+        if at in tried:
+            w[np.isin(rest, list(tried[at]))] = 0
+        w[root[rest] == root[at]] = 2
+        return w
+
     n = len(signs)
-    nearest, best, left = np.zeros(n, np.int64), (signs == signs[0]).mean(axis=1), np.ones(n, bool)
+    nearest, best, left = np.zeros(n, np.int64), weights(0, np.arange(n)), np.ones(n, bool)
     left[0], a, b = False, [], []
     for _ in range(n - 1):
         rest = np.flatnonzero(left)
         at = rest[best[rest].argmax()]
-        if best[at] >= least:
+        if least <= best[at] <= 1:
             a.append(at)
             b.append(nearest[at])
         left[at] = False
         rest = np.flatnonzero(left)
-        share = (signs[rest] == signs[at]).mean(axis=1)
+        share = weights(at, rest)
         closer = rest[share > best[rest]]
         best[closer], nearest[closer] = share[share > best[rest]], at
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges ``(a, b)``, a < b, of each bucket; the rows come sorted by bucket."""
+def _edges(batches: Iterator[pa.RecordBatch], forests: int) -> Iterator[pa.RecordBatch]:
+    """Edges ``(a, b)``, a < b, of up to ``forests`` forests of each cell; the rows come sorted by cell.
+
+    A row is a member with its short signature and its root, or a tried edge: one end, and the other.
+    """
 
     def of(t: pa.Table) -> pa.RecordBatch:
-        bucket, node = t.column("bucket").to_numpy(), t.column("node").to_numpy()
-        first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-        ends = np.append(first[1:], len(bucket))
-        some = ends - first > 1
-        short, a, b = t.column("short"), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for lo, hi in zip(first[some], ends[some], strict=True):
-            signs = np.frombuffer(b"".join(short.slice(lo, hi - lo).to_pylist()), np.uint16).reshape(hi - lo, -1)
-            i, j = spanning(signs)
-            a.append(node[lo + i])
-            b.append(node[lo + j])
+        cell = t.column("cell").to_numpy()
+        first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for lo, hi in zip(first, np.append(first[1:], len(cell)), strict=True):
+            rows = t.slice(lo, hi - lo)
+            members, known = rows.filter(pc.is_null(rows.column("other"))), rows.filter(pc.is_valid(rows.column("other")))
+            node = members.column("node").to_numpy()
+            if len(node) < 2:
+                continue
+            signs = np.frombuffer(b"".join(members.column("short").to_pylist()), np.uint16).reshape(len(node), -1)
+            place, tried = {x: i for i, x in enumerate(node.tolist())}, {}
+            i, j = ([place[x] for x in known.column(c).to_pylist()] for c in ("node", "other"))
+            for _ in range(forests):
+                for x, y in zip(i, j, strict=True):
+                    tried.setdefault(int(x), set()).add(int(y))
+                    tried.setdefault(int(y), set()).add(int(x))
+                i, j = spanning(signs, members.column("root").to_numpy(), tried)
+                if not len(i):
+                    break
+                a.append(node[i])
+                b.append(node[j])
         a, b = np.concatenate(a), np.concatenate(b)
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
@@ -123,10 +155,10 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        bucket = batch.column("bucket").to_numpy()
-        new = np.flatnonzero(bucket != bucket[-1])
-        cut_at = int(new[-1]) + 1 if len(new) else 0  # the last bucket may go on in the next batch
-        if held and held[-1].column("bucket")[-1].as_py() != bucket[0]:
+        cell = batch.column("cell").to_numpy()
+        new = np.flatnonzero(cell != cell[-1])
+        cut_at = int(new[-1]) + 1 if len(new) else 0  # the last cell may go on in the next batch
+        if held and held[-1].column("cell")[-1].as_py() != cell[0]:
             yield of(pa.Table.from_batches(held).combine_chunks())
             held = []
         if cut_at:
@@ -153,25 +185,59 @@ def _jaccard(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(out, pa.float64())
 
 
-def similar_links(docs: DataFrame, signed: DataFrame, shingle: int = SHINGLE, similar: float = SIMILAR) -> DataFrame:
-    """``(a, b)``: pairs of distinct shingle sets (nodes) of at least ``similar`` that connect all such pairs."""
-    nodes = signed.groupBy("node").agg(F.first("signs").alias("signs"))
-    prints = cut(signed.select("node", "bits").distinct())
-    first = prints.groupBy("bits").agg(F.min("node").alias("least"))
-    alike = prints.join(first, "bits").where("node <> least").select(F.least("node", "least").alias("a"), F.greatest("node", "least").alias("b"))
-    near = hamming_links(cut(first), "least", "bits", BUDGET).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    dealt = nodes.select("node", "signs").mapInArrow(_banded, "bucket bigint, node bigint, short binary")
-    second = dealt.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_edges, "a bigint, b bigint")
-    edges = cut(second.unionByName(near).unionByName(alike).distinct())
+def shared_cells(nodes: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """``(cell, node)``: the buckets that two or more nodes share, a crowded one as the pairs of its blocks."""
+    dealt = nodes.select(F.explode("buckets").alias("bucket"), "node")
+    shared = dealt.groupBy("bucket").agg(F.ceil(F.count("*") / crowd).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
+    block = F.pmod(F.xxhash64("node"), "blocks").cast("int")
+    rows = dealt.join(shared, "bucket").select("*", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return rows.select(F.when(F.col("blocks") == 1, F.col("bucket")).otherwise(F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other"))).alias("cell"), "node").distinct()
+
+
+def forest_edges(members: DataFrame, forests: int, tried: DataFrame | None = None) -> DataFrame:
+    """``(a, b)`` of the forests of ``members`` (cell, node, short, root), without the edges ``tried`` (cell, a, b)."""
+    rows = members.select("cell", "node", "short", "root", F.lit(None).cast("long").alias("other"))
+    if tried is not None:
+        rows = rows.unionByName(tried.select("cell", F.col("a").alias("node"), F.lit(None).cast("binary").alias("short"), F.lit(None).cast("long").alias("root"), F.col("b").alias("other")))
+    return rows.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(lambda it: _edges(it, forests), "a bigint, b bigint").distinct()
+
+
+def similar_roots(docs: DataFrame, signed: DataFrame, shingle: int = SHINGLE, similar: float = SIMILAR, crowd: int = CROWD) -> DataFrame:
+    """``(node, root)`` of the shingle sets (nodes) that pairs of at least ``similar`` connect to a smaller one."""
+    nodes = cut(signed.groupBy("node").agg(*[F.first(c).alias(c) for c in ("buckets", "short", "bits")], F.min("hash").alias("of")))
+    first = cut(nodes.groupBy("bits").agg(F.min("node").alias("least")))
+    alike = nodes.select("node", "bits").join(first, "bits").where("node <> least").select(F.least("node", "least").alias("a"), F.greatest("node", "least").alias("b"))
+    near = hamming_links(first, "least", "bits", BUDGET).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    cells = cut(shared_cells(nodes, crowd))
+    short = nodes.select("node", "short")
+    edges = cut(forest_edges(cells.join(short, "node").withColumn("root", F.col("node")), 1).unionByName(near).unionByName(alike).distinct())
     ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = signed.groupBy("node").agg(F.min("hash").alias("of")).join(ends, "node", "left_semi")
-    texts = docs.select("hash", "text").join(wanted, F.col("hash") == F.col("of")).select("node", "text").groupBy("node").agg(F.first("text").alias("text"))
-    sets = cut(texts.mapInArrow(lambda it: _sets(it, shingle), "node bigint, shingles binary"))
-    pairs = edges.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    return pairs.where(F.arrow_udf(_jaccard, "double")(F.col("x"), F.col("y")) >= similar).select("a", "b")
+    texts = docs.select("hash", "text").join(nodes.select("node", "of").join(ends, "node", "left_semi"), F.col("hash") == F.col("of")).select("node", "text")
+    sets = cut(texts.groupBy("node").agg(F.first("text").alias("text")).mapInArrow(lambda it: _sets(it, shingle), "node bigint, shingles binary"))
+    checked, rounds = None, 1
+    while True:
+        x, y = (sets.select(F.col("node").alias(end), F.col("shingles").alias(of)) for end, of in (("a", "x"), ("b", "y")))
+        now = edges.join(x, "a").join(y, "b").select("a", "b", (F.arrow_udf(_jaccard, "double")(F.col("x"), F.col("y")) >= similar).alias("ok"))
+        checked = cut(now if checked is None else checked.unionByName(now))
+        root = connected_components(checked.where("ok"))
+        failed = checked.where("not ok").select("a", "b")
+        ra, rb = (root.select(F.col("node").alias(end), F.col("root").alias(of)) for end, of in (("a", "ra"), ("b", "rb")))
+        apart = failed.join(ra, "a", "left").join(rb, "b", "left").where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")
+        ina, inb = (cells.withColumnRenamed("node", end) for end in ("a", "b"))
+        again = cut(apart.join(ina, "a").join(inb, ["cell", "b"]).select("cell").distinct())
+        if again.isEmpty():
+            return root
+        mine = cut(cells.join(again, "cell", "left_semi"))
+        ina, inb = (mine.withColumnRenamed("node", end) for end in ("a", "b"))
+        tried = failed.join(ina, "a").join(inb, ["cell", "b"]).select("cell", "a", "b")
+        members = mine.join(short, "node").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        edges = cut(forest_edges(members, min(MORE**rounds, MOST), tried))
+        if edges.isEmpty():
+            return root
+        rounds += 1
 
 
-def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similar: float = SIMILAR) -> DataFrame:
+def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similar: float = SIMILAR, crowd: int = CROWD) -> DataFrame:
     """``df`` with one row of each component of near copies: the one with the smallest id, null ids last.
 
     Rows are decided one by one, by id and text, so that rows without an id or with a repeated one go too if they are
@@ -180,8 +246,8 @@ def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     empty table stays empty; other columns are passed on.
     """
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("hash"), F.col(text_col).cast("string").alias("text"))
-    signed = cut(docs.mapInArrow(lambda it: _signed(it, shingle), "id bigint, hash bigint, node bigint, signs binary, bits bigint"))
-    root = connected_components(similar_links(docs, signed, shingle, similar))
+    signed = cut(docs.mapInArrow(lambda it: _signed(it, shingle), "id bigint, hash bigint, node bigint, buckets array<bigint>, short binary, bits bigint"))
+    root = similar_roots(docs, signed, shingle, similar, crowd)
     rows = signed.select("id", "hash", "node").join(root, "node", "left").select("id", "hash", F.coalesce("root", "node").alias("of"))
     order = F.struct(F.col("id").isNull(), "id", "hash")
     first = rows.groupBy("of").agg(F.min(order).alias("first")).select(F.col("first.id").alias("__i"), F.col("first.hash").alias("__h"))
