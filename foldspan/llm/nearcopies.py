@@ -33,8 +33,8 @@ BANDS, ROWS = 20, 4
 LEAST_ESTIMATE = 0.6
 #: Members of a block of a crowded bucket.
 CROWD = 4096
-#: Forests of a bucket in a round of verification: this to the number of rounds before, at most the second.
-MORE, MOST = 4, 64
+#: Forests of a cell in each round after the first; a cell of at most twice as many members has no more pairs than these hold.
+FORESTS = 64
 _RNG = np.random.default_rng(42)
 _MUL, _ADD = (_RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)), _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 
@@ -120,6 +120,13 @@ def spanning(signs: np.ndarray, root: np.ndarray, tried: dict[int, set[int]], le
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
+def candidates(signs: np.ndarray, root: np.ndarray, i: list[int], j: list[int], least: float = LEAST_ESTIMATE) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of a small cell that its forests would give: of different roots, without the tried pairs ``(i, j)``."""
+    open_ = np.triu(np.array([(signs == s).mean(axis=1) for s in signs]) >= least, 1) & (root[:, None] != root)
+    open_[i, j] = open_[j, i] = False
+    return np.nonzero(open_)
+
+
 def _edges(batches: Iterator[pa.RecordBatch], forests: int) -> Iterator[pa.RecordBatch]:
     """Edges ``(a, b)``, a < b, of up to ``forests`` forests of each cell; the rows come sorted by cell.
 
@@ -139,6 +146,11 @@ def _edges(batches: Iterator[pa.RecordBatch], forests: int) -> Iterator[pa.Recor
             signs = np.frombuffer(b"".join(members.column("short").to_pylist()), np.uint16).reshape(len(node), -1)
             place, tried = {x: i for i, x in enumerate(node.tolist())}, {}
             i, j = ([place[x] for x in known.column(c).to_pylist()] for c in ("node", "other"))
+            if 1 < forests and len(node) <= 2 * forests:
+                i, j = candidates(signs, members.column("root").to_numpy(), i, j)
+                a.append(node[i])
+                b.append(node[j])
+                continue
             for _ in range(forests):
                 for x, y in zip(i, j, strict=True):
                     tried.setdefault(int(x), set()).add(int(y))
@@ -224,14 +236,17 @@ def similar_roots(docs: DataFrame, signed: DataFrame, shingle: int = SHINGLE, si
         ra, rb = (root.select(F.col("node").alias(end), F.col("root").alias(of)) for end, of in (("a", "ra"), ("b", "rb")))
         apart = failed.join(ra, "a", "left").join(rb, "b", "left").where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")
         ina, inb = (cells.withColumnRenamed("node", end) for end in ("a", "b"))
-        again = cut(apart.join(ina, "a").join(inb, ["cell", "b"]).select("cell").distinct())
-        if again.isEmpty():
+        again = apart.join(ina, "a").join(inb, ["cell", "b"]).select("cell").distinct()
+        mine = cells.join(again, "cell", "left_semi")
+        if rounds > 1:  # smaller cells have had all their pairs
+            mine = mine.join(mine.groupBy("cell").count().where(F.col("count") > 2 * FORESTS), "cell", "left_semi")
+        mine = cut(mine)
+        if mine.isEmpty():
             return root
-        mine = cut(cells.join(again, "cell", "left_semi"))
         ina, inb = (mine.withColumnRenamed("node", end) for end in ("a", "b"))
         tried = failed.join(ina, "a").join(inb, ["cell", "b"]).select("cell", "a", "b")
         members = mine.join(short, "node").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        edges = cut(forest_edges(members, min(MORE**rounds, MOST), tried))
+        edges = cut(forest_edges(members, FORESTS, tried))
         if edges.isEmpty():
             return root
         rounds += 1

@@ -14,7 +14,7 @@ from foldspan.llm import queries as Q
 from foldspan.llm.compression import compression_bands
 from foldspan.llm.containment import contained_items
 from foldspan.llm.mixing import capped_targets, min_cost_flow, mix_sources
-from foldspan.llm.nearcopies import drop_similar, spanning
+from foldspan.llm.nearcopies import candidates, drop_similar, spanning
 from foldspan.llm.sharding import communication_matrix, shuffled_shards
 from foldspan.llm.simhash import fingerprint, hamming_links, simhash_components
 from foldspan.llm.urlrules import judged_urls
@@ -150,6 +150,8 @@ def test_forests_leave_no_candidate():
             found.add((min(a, b), max(a, b)))
     left = [(a, b) for a, b in itertools.combinations(range(12), 2) if root[a] != root[b] and (signs[a] == signs[b]).mean() >= 0.6 and (a, b) not in found]
     assert found and not left
+    i, j = candidates(signs, root, [], [])
+    assert {*zip(i.tolist(), j.tolist(), strict=True)} == found and not len(candidates(signs, root, i.tolist(), j.tolist())[0])
 
 
 def test_compression(spark, odd, sf_dir):
