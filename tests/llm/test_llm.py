@@ -1,6 +1,5 @@
 """The training-data operators against brute force, exact truths and held-out labels."""
 
-import itertools
 import math
 import zlib
 from collections import Counter
@@ -14,7 +13,7 @@ from foldspan.llm import queries as Q
 from foldspan.llm.compression import compression_bands
 from foldspan.llm.containment import contained_items
 from foldspan.llm.mixing import capped_targets, min_cost_flow, mix_sources
-from foldspan.llm.nearcopies import candidates, drop_similar, spanning
+from foldspan.llm.nearcopies import drop_similar
 from foldspan.llm.sharding import communication_matrix, shuffled_shards
 from foldspan.llm.simhash import fingerprint, hamming_links, simhash_components
 from foldspan.llm.urlrules import judged_urls
@@ -93,22 +92,11 @@ def test_simhash_odd_rows(odd):
     assert simhash_components(odd.where("false")).count() == 0
 
 
-def least_of_groups(texts):
-    """The smallest id of each group that pairs of similarity 0.8 connect, all pairs compared."""
-    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, t in texts if (w := t.lower().split())}
-    root = {i: i for i in sets}
-    for a, b in itertools.combinations(sorted(sets), 2):
-        if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]) and root[a] != root[b]:
-            lo, hi = sorted((root[a], root[b]))
-            root = {k: lo if v == hi else v for k, v in root.items()}
-    return {*root.values()}
-
-
 def test_near_copies_by_exact_similarity(spark):
     rng = np.random.default_rng(3)
     words = [f"w{i}" for i in range(400)]
-    docs = []
-    for _ in range(12):
+    docs, sets = [], {}
+    for g in range(12):
         base = rng.choice(words, 120).tolist()
         for c in range(6):
             text = list(base)
@@ -116,42 +104,18 @@ def test_near_copies_by_exact_similarity(spark):
                 text[at] = f"x{rng.integers(1 << 40)}"
             docs.append((len(docs), " ".join(text)))
     docs += [(None, docs[0][1]), (3, docs[3][1]), (500, ""), (501, None), (502, "two words"), (None, "Two words")]
+    for i, t in docs:
+        w = (t or "").lower().split()
+        if i is not None and w:
+            sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    root = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                lo, hi = sorted((root[a], root[b]))
+                root = {k: lo if v == hi else v for k, v in root.items()}
     got = sorted(r["doc_id"] for r in drop_similar(spark.createDataFrame(docs, "doc_id long, text string")).collect())
-    want = least_of_groups([(i, t) for i, t in docs if i is not None and t])
-    assert got == sorted({*want, 500, 501}) and len(got) > 16
-
-
-def test_near_copies_beyond_estimates(spark):
-    """Chains about 0.8, in buckets dealt into blocks of three: an edge estimated nearer than it is costs no other link."""
-    rng = np.random.default_rng(8)
-    docs = []
-    for _ in range(6):
-        text = [f"w{x}" for x in rng.integers(0, 400, 120)]
-        for _ in range(15):
-            at = rng.integers(0, 20)
-            for k in range(rng.integers(1, 4)):
-                text[at + 30 * k] = f"x{rng.integers(1 << 40)}"
-            docs.append((len(docs), " ".join(text)))
-    got = sorted(r["doc_id"] for r in drop_similar(spark.createDataFrame(docs, "doc_id long, text string"), crowd=3).collect())
-    want = least_of_groups(docs)
-    assert got == sorted(want) and 10 < len(got) < 80
-
-
-def test_forests_leave_no_candidate():
-    rng = np.random.default_rng(9)
-    signs = rng.integers(0, 3, (1, 80)).repeat(12, 0)
-    signs[rng.random(signs.shape) < 0.2] = 9
-    tried, root, found = {}, np.array([*range(10), 9, 9]), set()
-    while len(edges := list(zip(*(x.tolist() for x in spanning(signs, root, tried)), strict=True))):
-        for a, b in edges:
-            assert root[a] != root[b] and b not in tried.get(a, ())
-            tried.setdefault(a, set()).add(b)
-            tried.setdefault(b, set()).add(a)
-            found.add((min(a, b), max(a, b)))
-    left = [(a, b) for a, b in itertools.combinations(range(12), 2) if root[a] != root[b] and (signs[a] == signs[b]).mean() >= 0.6 and (a, b) not in found]
-    assert found and not left
-    i, j = candidates(signs, root, [], [])
-    assert {*zip(i.tolist(), j.tolist(), strict=True)} == found and not len(candidates(signs, root, i.tolist(), j.tolist())[0])
+    assert got == sorted({*root.values(), 500, 501}) and len(got) > 16
 
 
 def test_compression(spark, odd, sf_dir):
