@@ -11,6 +11,7 @@ from foldspan.llm.containment import contained_items
 from foldspan.llm.langid import fit_languages, held_out, identified
 from foldspan.llm.mixing import mix_sources
 from foldspan.llm.quality import fit_quality, scored
+from foldspan.llm.runindex import remove_repeats
 from foldspan.llm.sharding import shard_digests
 from foldspan.llm.simhash import simhash_components
 from foldspan.llm.urlrules import judged_urls, url_host
@@ -66,9 +67,14 @@ def op10_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.withColumn("held_out", held_out(F.col("doc_id"), 7)).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the bytes that strings of 400 bytes cover which start twice or more; digests of what is left."""
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_compression_bands, op2_url_rules, op3_mixing, op4_simhash_tries, op5_contained_items, op6_wrappers, op7_shuffled_shards, op8_language, op9_quality, op10_class_lm)
+    for f in (op1_compression_bands, op2_url_rules, op3_mixing, op4_simhash_tries, op5_contained_items, op6_wrappers, op7_shuffled_shards, op8_language, op9_quality, op10_class_lm, op11_run_index)
 }
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
