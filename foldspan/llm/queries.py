@@ -9,6 +9,7 @@ from foldspan.llm.classlm import class_model_scores
 from foldspan.llm.compression import compression_bands, fit_bands, labelled_good
 from foldspan.llm.containment import contained_items
 from foldspan.llm.langid import fit_languages, held_out, identified
+from foldspan.llm.merkle import verified_rows
 from foldspan.llm.mixing import mix_sources
 from foldspan.llm.quality import fit_quality, scored
 from foldspan.llm.runindex import remove_repeats
@@ -72,9 +73,14 @@ def op11_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's leaf, its proof in the manifest of all documents, and whether it still leads to the root."""
+    return verified_rows(table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], "source", "doc_id")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_compression_bands, op2_url_rules, op3_mixing, op4_simhash_tries, op5_contained_items, op6_wrappers, op7_shuffled_shards, op8_language, op9_quality, op10_class_lm, op11_run_index)
+    for f in (op1_compression_bands, op2_url_rules, op3_mixing, op4_simhash_tries, op5_contained_items, op6_wrappers, op7_shuffled_shards, op8_language, op9_quality, op10_class_lm, op11_run_index, op12_merkle)
 }
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -115,4 +121,53 @@ SELECT doc_id, item_id, CAST(n AS BIGINT) AS n_shingles, CAST(k AS BIGINT) AS n_
 FROM hits JOIN n ON item_id = id WHERE k >= 0.8 * n
 """
 
-ORACLE_SQL = {"op3_mixing": MIXING_SQL, "op5_contained_items": CONTAINED_SQL}
+_FIELD = "coalesce(strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR), '-')"
+_CHANGED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+#: CRC-32 of the decimal id: its bytes, each followed by eight steps of one bit.
+_CRC = """xor(list_reduce(list_concat([4294967295::UBIGINT], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+  lambda c: list_concat([ascii(c)::UBIGINT], [256::UBIGINT for _ in range(8)])))),
+  lambda a, x: CASE WHEN x < 256 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384::UBIGINT) ELSE a // 2 END), 4294967295::UBIGINT)"""
+
+
+def _climb(name: str, levels: int) -> str:
+    """Tables ``name``1 and on above ``name``0 (tree, i, h, n), and the siblings of each level's nodes as ``name``0_way and on."""
+    out = []
+    for k in range(levels):
+        run = "PARTITION BY tree, i // 16 ORDER BY i"
+        out.append(f"""{name}{k}_way AS (SELECT tree, i, coalesce(string_agg(h, '') OVER ({run} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+  coalesce(string_agg(h, '') OVER ({run} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after FROM {name}{k} WHERE n > {16**k}),
+{name}{k + 1} AS (SELECT tree, i // 16 AS i, sha256(string_agg(h, '' ORDER BY i)) AS h, any_value(n) AS n FROM {name}{k} WHERE n > {16**k} GROUP BY 1, 2)""")
+    return ",\n".join(out)
+
+
+def _fold(source: str, name: str, levels: int, at: str) -> str:
+    """The rows of ``source`` with proof and folded root carried up the levels of ``name``, one subquery a level."""
+    sql = source
+    for k in range(levels):
+        sql = f"""(SELECT x.* EXCLUDE (proof, f), proof || coalesce(w.before || w.after, '') AS proof, CASE WHEN w.before IS NULL THEN f ELSE sha256(w.before || f || w.after) END AS f
+  FROM {sql} x LEFT JOIN {name}{k}_way w ON x.{at} // {16**k} = w.i AND {'x.source IS NOT DISTINCT FROM w.tree' if name == 't' else 'true'})"""
+    return sql
+
+
+#: Trees of up to 16 ** 5 leaves a source and 16 ** 3 sources.
+MERKLE_SQL = f"""
+WITH d AS (SELECT doc_id, source, {_leaf('text')} AS leaf, CASE WHEN {_CRC} % 5 = 0 THEN {_leaf(_CHANGED)} END AS changed FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS rank, count(*) OVER (PARTITION BY source) AS n FROM d),
+t0 AS (SELECT source AS tree, rank AS i, leaf AS h, n FROM r),
+{_climb('t', 5)},
+last AS ({' UNION ALL '.join(f'SELECT tree, h FROM t{k} WHERE n {"= 1" if not k else f"> {16 ** (k - 1)} AND n <= {16**k}"}' for k in range(6))}),
+g0 AS (SELECT NULL AS tree, tree AS source, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS i, h, count(*) OVER () AS n FROM last),
+{_climb('g', 3)},
+root AS ({' UNION ALL '.join(f'SELECT h AS root FROM g{k} WHERE n {"= 1" if not k else f"> {16 ** (k - 1)} AND n <= {16**k}"}' for k in range(4))}),
+asked AS (SELECT r.*, g0.i AS g, g0.h AS subroot, '' AS proof, coalesce(changed, leaf) AS f FROM r JOIN g0 ON r.source IS NOT DISTINCT FROM g0.source)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, f AS folded_root, f = root AS verified
+FROM {_fold(_fold('asked', 't', 5, 'rank'), 'g', 3, 'g')} z CROSS JOIN root
+"""
+
+ORACLE_SQL = {"op3_mixing": MIXING_SQL, "op5_contained_items": CONTAINED_SQL, "op12_merkle": MERKLE_SQL}
