@@ -16,6 +16,7 @@ from foldspan.llm.runindex import remove_repeats
 from foldspan.llm.sharding import shard_digests
 from foldspan.llm.simhash import simhash_components
 from foldspan.llm.urlrules import judged_urls, url_host
+from foldspan.llm.whitening import whitened
 from foldspan.llm.wrappers import extract_pages
 from foldspan.session import table
 
@@ -78,9 +79,14 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verified_rows(table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], "source", "doc_id")
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first four whitened components of each embedding."""
+    return whitened(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_compression_bands, op2_url_rules, op3_mixing, op4_simhash_tries, op5_contained_items, op6_wrappers, op7_shuffled_shards, op8_language, op9_quality, op10_class_lm, op11_run_index, op12_merkle)
+    for f in (op1_compression_bands, op2_url_rules, op3_mixing, op4_simhash_tries, op5_contained_items, op6_wrappers, op7_shuffled_shards, op8_language, op9_quality, op10_class_lm, op11_run_index, op12_merkle, op13_whitening)
 }
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
