@@ -258,6 +258,15 @@ def q_knn_smooth(t):
     return N.smoothed_vote(N.nearest(v.where("id % 20 = 0"), v, 40), 0.24)
 
 
+@query("E10")
+def q_knn_codes(t):
+    """The approximate search: its scores, and its recall against the exact one."""
+    v = _vecs(t)
+    q = v.where("id % 20 = 0")
+    near = N.nearest_by_codes(q, v, 40, tables=12, bits=3, probes=1)
+    return N.smoothed_vote(near, 0.24).crossJoin(F.broadcast(N.recall(near, N.nearest(q, v, 40))))  # one row
+
+
 @query("E11", f"WITH v AS (SELECT vec_id AS id, {_D.format('embedding')} AS v, CAST(label < 3 AS INT) AS y FROM embeddings), e AS (SELECT q.id AS query, c.y, exp(-list_distance(q.v, c.v) / 0.1e0) AS w FROM v q JOIN v c ON q.id <> c.id WHERE q.id % 20 = 0) SELECT query, ln(greatest(sum(w * y) / sum(w), 1e-300)) AS log_p FROM e GROUP BY query")
 def q_soft_vote(t):
     v = _vecs(t)
