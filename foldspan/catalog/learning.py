@@ -12,6 +12,7 @@ from foldspan.catalog.folds import S, _h
 from foldspan.functions.text import char_ngrams, word_ngrams
 from foldspan.operators import blends as B
 from foldspan.operators import models as M
+from foldspan.operators import replicates as X
 from foldspan.operators import resample as R
 from foldspan.operators.encoders import crossed, quantile_bins
 from foldspan.operators.folds import POISSON_STEPS, stratified_folds
@@ -214,9 +215,24 @@ def q_bootstrap_delta(t):
     return R.bootstrap_auc_delta(t.view(SCORES), "p1", "p2", replicates=20)
 
 
+@query("K10 M9")
+def q_bootstrap_groups(t):
+    return X.threshold_replicates(t.view(SCORES), p="p1", replicates=1000)
+
+
+@query("K11 J16")
+def q_perm_auc_groups(t):
+    return X.permutation_test(t.view(SCORES).where("p1 between 0.5 and 0.7"), p="p1", replicates=2000)
+
+
+@query("X16")
+def q_bootstrap_delta_groups(t):
+    return X.auc_delta_interval(t.view(SCORES), "p1", "p2", replicates=1000)
+
+
 @query("X24")
 def q_adjusted_effect(t):
-    return R.adjusted_effect(t.view(SCORES), "p1", ["p2", "p3"])
+    return X.adjusted_effect(t.view(SCORES), "p1", ["p2", "p3"], replicates=1000)
 
 
 @query("X15")

@@ -42,6 +42,14 @@ def f1(tp: Column, predicted: Column, positives: Column) -> Column:
     return F.coalesce(F.try_divide(2.0 * tp, (predicted + positives).cast("double")), F.lit(0.0))
 
 
+def grid_step(p: Column, grid=GRID) -> Column:
+    """The step of the highest threshold that a score reaches, -1 below the first."""
+    near = F.floor((p - grid[0]) / grid[1]).cast("int")
+    # the division may be off by one step; the comparison with the threshold decides
+    step = F.when(p >= threshold(near + 1, grid), near + 1).when(p < threshold(near, grid), near - 1).otherwise(near)
+    return F.least(F.greatest(step, F.lit(-1)), F.lit(grid[2] - 1))
+
+
 def f1_curve(df: DataFrame, by: Sequence[str] = (), y: str = "y", p: str = "p", weight: str | None = None, grid=GRID) -> DataFrame:
     """``(by, step, t, f1)`` for every threshold of the grid.
 
@@ -49,10 +57,7 @@ def f1_curve(df: DataFrame, by: Sequence[str] = (), y: str = "y", p: str = "p",
     steps, of which there are as many as thresholds.
     """
     w = F.col(weight) if weight else F.lit(1)
-    near = F.floor((F.col(p) - grid[0]) / grid[1]).cast("int")
-    # the division may be off by one step; the comparison with the threshold decides
-    step = F.when(F.col(p) >= threshold(near + 1, grid), near + 1).when(F.col(p) < threshold(near, grid), near - 1).otherwise(near)
-    step = F.least(F.greatest(step, F.lit(-1)), F.lit(grid[2] - 1))
+    step = grid_step(F.col(p), grid)
     g = df.where(F.col(p).isNotNull() & F.col(y).isNotNull()).groupBy(*by, step.alias("step")).agg(F.sum(w).alias("n"), F.sum(w * F.col(y)).alias("pos"))
     totals = g.groupBy(*by).agg(F.sum("pos").alias("positives"))
     every = totals.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(grid[2] - 1))))

@@ -19,10 +19,12 @@ RANGE_ROWS, MOST_RANGES = 1 << 16, 1024
 
 def value_range(df: DataFrame, col: str, ranges: int | None = None) -> Column:
     """The number of range bounds at or below a value; unless ``ranges`` is given, the row count decides how many."""
-    shares = [k / MOST_RANGES for k in range(1, MOST_RANGES)]
-    n, found = df.agg(F.count(col), F.percentile_approx(col, shares, 10 * MOST_RANGES)).first()
     if ranges is None:
-        ranges = n // RANGE_ROWS
+        ranges = df.agg(F.count(col)).first()[0] // RANGE_ROWS
+    if ranges < 2:
+        return F.lit(0)  # no sketch for what one task sorts
+    shares = [k / MOST_RANGES for k in range(1, MOST_RANGES)]
+    found = df.agg(F.percentile_approx(col, shares, 10 * MOST_RANGES)).first()[0]
     step = -(-MOST_RANGES // min(MOST_RANGES, max(1, ranges)))
     bounds = sorted({float(b) for b in (found or [])[step - 1 :: step]})
     if not bounds:

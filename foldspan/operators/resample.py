@@ -31,18 +31,3 @@ def permutation_auc(df: DataFrame, id_col: str = "id", y: str = "y", p: str = "p
     null = auc_ap(permuted_labels(df.select(id_col, y, p), id_col, y, replicates, seed), ["rep"], y, p)
     real = auc_ap(df, [], y, p).select(F.col("auc").alias("real"))
     return null.crossJoin(F.broadcast(real)).agg(F.first("real").alias("auc"), F.avg("auc").alias("null_mean"), F.stddev_samp("auc").alias("null_sd"), ((F.count_if(F.col("auc") >= F.col("real")) + 1) / (F.count("*") + 1.0)).alias("p_value"))
-
-
-def adjusted_effect(df: DataFrame, column: str, covariates: Sequence[str], id_col: str = "id", y: str = "y", replicates: int = 3, seed: int = 0) -> DataFrame:
-    """One row: the odds ratio of a column given covariates, and the share of weighted replicates with a positive effect."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-
-    x = VectorAssembler(inputCols=[column, *covariates], outputCol="x", handleInvalid="skip")
-    rows = x.transform(df.select(id_col, F.col(y).cast("double").alias("y"), *[F.col(c).cast("double").alias(c) for c in (column, *covariates)]))
-    lr = LogisticRegression(featuresCol="x", labelCol="y", regParam=1e-6)
-    full = lr.fit(rows).coefficients[0]
-    boot = poisson_weights(rows, id_col, replicates, seed).cache()
-    positive = [float(lr.setWeightCol("w").fit(boot.where(F.col("rep") == r)).coefficients[0] > 0) for r in range(replicates)]
-    boot.unpersist()
-    return df.sparkSession.range(1).select(F.exp(F.lit(float(full))).alias("odds_ratio"), F.lit(sum(positive) / len(positive)).alias("share_positive"))
