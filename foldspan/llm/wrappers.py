@@ -10,12 +10,10 @@ menus, notices, comments and the like.
 
 from __future__ import annotations
 
-import bisect
 import functools
 import html as entities
 import json
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -43,6 +41,8 @@ NAMED = frozenset(
     "advertising banner sponsor sponsored promo promotion notice notices cookie cookies consent gdpr alert popup modal overlay newsletter subscribe subscription signup login share sharing social "
     "related recommended recommendations comment comments disqus reply replies respond responses discussion search form pagination pager toolbar copyright skip legal tags meta complementary contentinfo".split()
 )
+#: Words that say nothing of their own beside those: only a name of marking and such words marks a part.
+NEUTRAL = frozenset("site page main global top bottom left right box block list section container wrapper wrap inner outer item items bar area panel link links button buttons row col column slot unit zone body text content post posts article articles story stories primary secondary bg js".split())
 #: Quotes delimit a value only right after its equals sign; elsewhere, as in ``x=it's``, they are characters like others.
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^\s"'>][^\s>]*)|[^>])*)(?:>|\Z)""",
@@ -50,22 +50,23 @@ TOKEN = re.compile(
 )
 NAMES = re.compile(r"""(?:^|[\s"'/])(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""", re.I)
 LINKED, HIDDEN = "a", re.compile(r"""(?:^|[\s"'/])(hidden|aria-hidden\s*=\s*["']?true)(?=[\s"'/=]|$)|display\s*:\s*none""", re.I)
-#: A slot's share of link text from which it is a list of links.
+#: A block's share of link text from which it is a link.
 LINK_SHARE = 0.6
 #: Names that say a part is no main text are overruled if less than this share of the varying text is outside such parts.
 OVERRULED = 0.1
 #: Characters of all wrappers up to which they are broadcast.
 BROADCAST_CHARS = 64 << 20
-#: Cells of one alignment table, and groups in which the wrappers of a host are aligned before its last alignment.
-CELLS, SALTS = 1 << 20, 32
+#: Groups in which the wrappers of a host are aligned before its last alignment.
+SALTS = 32
 
 
 def label(tag: str, attributes: str) -> str:
     """A token of an opening tag: its name and the words of its names, marked by ``!`` if they say it's not main text."""
     names = [re.findall(r"[a-z]+", n) for _, v in NAMES.findall(attributes) for n in v.strip("\"'").lower().split()] if attributes else []
     words = {w for n in names for w in n}
+    # share-price and related-work name parts of a text, share-buttons and related-posts do not
     # no-sidebar and has-menu say something of the part's layout, as do all names of the whole page
-    named = tag not in ("html", "body") and any(n and n[0] not in ("no", "non", "not", "without", "has", "with") and NAMED.intersection(n) for n in names)
+    named = tag not in ("html", "body") and any(NAMED.intersection(n) and all(w in NAMED or w in NEUTRAL for w in n) for n in names)
     bad = tag in ASIDE or named or bool(attributes and HIDDEN.search(attributes))
     if "main" in words and not bad and tag not in MAIN:
         words.add("main")
@@ -151,57 +152,47 @@ def key(node) -> str:
     return node
 
 
-def matches(a: list[str], b: list[str], cells: int = CELLS) -> list[tuple[int, int]]:
-    """Pairs of places with equal keys, both rising: a longest common subsequence where its table has few enough cells.
+def matches(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Pairs of places with equal keys, both rising: a longest common subsequence, in memory linear in the lists.
 
-    Longer lists are split at the longest rising sequence of keys that both have just once. A stretch that is still
-    too long matches nothing in between: the wrapper then has both stretches as optional groups and fits as before.
+    Keys that only one list has match nothing and are left out first. A stretch is halved at the middle of a shortest
+    way from its start to its end (found from both sides at once), each half likewise.
     """
-    lo, found = 0, []
-    while lo < min(len(a), len(b)) and a[lo] == b[lo]:
-        found.append((lo, lo))
-        lo += 1
-    end = 0
-    while end < min(len(a), len(b)) - lo and a[-1 - end] == b[-1 - end]:
-        end += 1
-    x, y = a[lo : len(a) - end], b[lo : len(b) - end]
-    tail = [(len(a) - k, len(b) - k) for k in range(end, 0, -1)]
-    if len(x) * len(y) <= cells:
-        table = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-        for i in range(len(x) - 1, -1, -1):
-            for j in range(len(y) - 1, -1, -1):
-                table[i][j] = table[i + 1][j + 1] + 1 if x[i] == y[j] else max(table[i + 1][j], table[i][j + 1])
-        i = j = 0
-        while i < len(x) and j < len(y):
-            if x[i] == y[j]:
-                found.append((lo + i, lo + j))
-                i, j = i + 1, j + 1
-            elif table[i + 1][j] >= table[i][j + 1]:
-                i += 1
-            else:
-                j += 1
-        return found + tail
-    here, there = Counter(x), Counter(y)
-    place = {k: j for j, k in enumerate(y) if there[k] == 1}
-    once = [(i, place[k]) for i, k in enumerate(x) if here[k] == 1 and k in place]
-    tops, back, ends = [], [-1] * len(once), []  # patience piles: the least last place of each length
-    for n, (_, j) in enumerate(once):
-        at = bisect.bisect_left(tops, j)
-        back[n] = ends[at - 1] if at else -1
-        tops[at : at + 1], ends[at : at + 1] = [j], [n]
-    chain, n = [], ends[-1] if ends else -1
-    while n >= 0:
-        chain.append(once[n])
-        n = back[n]
-    if not chain:
-        return found + tail
-    i0 = j0 = 0
-    for i, j in [*chain[::-1], (len(x), len(y))]:
-        found += [(lo + i0 + p, lo + j0 + q) for p, q in matches(x[i0:i], y[j0:j], cells)]
-        if i < len(x):
-            found.append((lo + i, lo + j))
-        i0, j0 = i + 1, j + 1
-    return found + tail
+    common = set(a) & set(b)
+    left, right = ([i for i, k in enumerate(x) if k in common] for x in (a, b))
+    x, y = [a[i] for i in left], [b[j] for j in right]
+    found, open_ = [], [(0, len(x), 0, len(y))]
+    while open_:
+        lo, hi, at, to = open_.pop()
+        while lo < hi and at < to and x[lo] == y[at]:
+            found.append((left[lo], right[at]))
+            lo, at = lo + 1, at + 1
+        while lo < hi and at < to and x[hi - 1] == y[to - 1]:
+            hi, to = hi - 1, to - 1
+            found.append((left[hi], right[to]))
+        if lo < hi and at < to:
+            p, q = middle(x[lo:hi], y[at:to])
+            open_ += [(lo, lo + p, at, at + q), (lo + p, hi, at + q, to)]
+    return sorted(found)
+
+
+def middle(x: list[str], y: list[str]) -> tuple[int, int]:
+    """A place in both lists that a shortest edit of one into the other passes; neither their start nor their end."""
+    n, m = len(x), len(y)
+    delta, ahead, behind = n - m, {1: 0}, {1: 0}
+    for d in range((n + m + 1) // 2 + 1):
+        for mine, other, forward in ((ahead, behind, True), (behind, ahead, False)):
+            for k in range(-d, d + 1, 2):
+                i = mine.get(k + 1, -1) if k == -d or (k != d and mine.get(k - 1, -1) < mine.get(k + 1, -1)) else mine.get(k - 1, -1) + 1
+                j = i - k
+                if i < 0 or i > n or j < 0 or j > m:
+                    continue
+                while i < n and j < m and (x[i] == y[j] if forward else x[n - 1 - i] == y[m - 1 - j]):
+                    i, j = i + 1, j + 1
+                mine[k] = i
+                if i + other.get(delta - k, -n - 1) >= n and (delta % 2 == 1) == forward:
+                    return (i, j) if forward else (n - i, m - j)
+    raise AssertionError("two ways always meet")
 
 
 def peeled(node) -> tuple[list, set]:
@@ -350,33 +341,46 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield emit()
 
 
+FIGURES = "host string, slot string, path string, plain bigint, blocks bigint, linked bigint, lo bigint, hi bigint, page_lo bigint, page_hi bigint"
+
+
 def _figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Figures of the slots of each host of a partition: pages, characters, those in links, extremes of the texts' hashes."""
+    """Figures of the slots of each host of a partition: characters of blocks that are no links, blocks, those that are
+    links, extremes of the hashes of the texts and of the pages that have the slot."""
+    names = [x.split()[0] for x in FIGURES.split(", ")]
 
     def emit():
-        out = pa.RecordBatch.from_pandas(pd.DataFrame([(*k, *v) for k, v in slots.items()], columns=["host", "slot", "path", "pages", "chars", "links", "lo", "hi"]), preserve_index=False)
+        out = pa.RecordBatch.from_pandas(pd.DataFrame([(*k, *v) for k, v in slots.items()], columns=names), preserve_index=False)
         slots.clear()
         return out
 
+    hashed = lambda t: xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) >> 1
     slots: dict = {}
     for batch in batches:
         for host, page, wrapper in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "wrapper")), strict=True):
             found = list(blocks(page))
             of_page: dict = {}
             for slot, (path, t, n) in zip(compiled(wrapper).match([p for p, _, _ in found]), found, strict=True):
-                texts = of_page.setdefault((host, slot, path), [[], 0])
+                texts = of_page.setdefault((host, slot, path), [[], 0, 0])
                 texts[0].append(t)
-                texts[1] += n
-            for k, (texts, n) in of_page.items():
-                digest = xxhash.xxh64_intdigest("\n".join(texts).encode("utf-8", "surrogatepass")) >> 1
-                old = slots.get(k, (0, 0, 0, digest, digest))
-                slots[k] = (old[0] + 1, old[1] + sum(map(len, texts)), old[2] + n, min(old[3], digest), max(old[4], digest))
+                texts[1] += len(t) * (not is_link(t, n))
+                texts[2] += is_link(t, n)
+            whole = hashed("\n".join(f"{path}\t{t}" for path, t, _ in found))
+            for k, (texts, plain, linked) in of_page.items():
+                digest = hashed("\n".join(texts))
+                old = slots.get(k, (0, 0, 0, digest, digest, whole, whole))
+                slots[k] = (old[0] + plain, old[1] + len(texts), old[2] + linked, min(old[3], digest), max(old[4], digest), min(old[5], whole), max(old[6], whole))
             if len(slots) >= 50_000:
                 yield emit()
     if slots:
         yield emit()
 
 
+def is_link(text: str, linked: int) -> bool:
+    """A block of text that is mostly in links."""
+    return linked >= LINK_SHARE * len(text)
+
+
 def is_main(path: str) -> bool:
     return any(p.split(".")[0] in MAIN or ".main" in p for p in path.split("/"))
 
@@ -391,37 +395,47 @@ def is_marked(path: str) -> bool:
     return False
 
 
-def content_slots(slots: list[tuple]) -> list[str]:
-    """The slots of a host that hold main text, by (slot, path, pages, characters, characters in links, varies).
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+
 
-    A slot that one page of several has is nothing that pages share and counts as varying.
+def content_slots(slots: list[tuple]) -> tuple[list[str], list[str]]:
+    """The slots of a host that hold main text, and those of them of which links are left out.
+
+    ``slots`` are (slot, path, characters outside link blocks, link blocks are most, shared by different pages, varies).
+    What different pages share in a slot and never varies is template, but for headings inside an article or beside main
+    text; what only one page has, or copies of it, is nothing that pages share and counts as varying.
     """
     compared = any(s[5] for s in slots)
-    open_ = [s for s in slots if not compared or s[5] or s[2] == 1]
-    texts = [s for s in open_ if s[4] < LINK_SHARE * s[3]]
+    open_ = [s for s in slots if not compared or s[5] or not s[4]]
+    texts = [s for s in open_ if s[2]]
     free = [s for s in texts if not is_marked(s[1])]
-    total = sum(s[3] for s in texts)
-    if sum(s[3] for s in free) < OVERRULED * total or not free:
+    total = sum(s[2] for s in texts)
+    if sum(s[2] for s in free) < OVERRULED * total or not free:
         free = texts
     if not compared and (main := [s for s in free if is_main(s[1])]):
         free = main  # no page to compare with: only the names say something
-    total = sum(s[3] for s in free)
+    total = sum(s[2] for s in free)
     weigh: dict[str, int] = {}
     for s in free:
         steps = s[1].split("/")
         for k in range(1, len(steps) + 1):
             at = "/".join(steps[:k])
-            weigh[at] = weigh.get(at, 0) + s[3]
+            weigh[at] = weigh.get(at, 0) + s[2]
     # the deepest part of the page with most of the text that varies; all of an article that it lies in
     part = max((p for p, w in weigh.items() if 2 * w > total), key=lambda p: (p.count("/"), p), default="")
     steps = part.split("/")
     if (outer := next((k for k, p in enumerate(steps) if is_main(p)), None)) is not None:
         part = "/".join(steps[: outer + 1])
-    elif steps[-1].split(".")[0] in ("p", "li", "h1", "h2", "h3"):
+    elif steps[-1].split(".")[0] in ("p", "li", *HEADINGS):
         part = part.rpartition("/")[0]
-    inside = [s for s in (open_ if is_main(part) else texts) if not part or s[1] == part or s[1].startswith(part + "/")]
+    within = lambda s: not part or s[1] == part or s[1].startswith(part + "/")
+    above = lambda s: s[1].rpartition("/")[0]
+    inside = [s for s in (open_ if is_main(part) else texts) if within(s)]
+    beside = {above(s) for s in inside}
+    inside += [s for s in slots if s not in inside and within(s) and s[2] and (is_main(part) or above(s) in beside) and s[1].rpartition("/")[2].split(".")[0] in HEADINGS]
     below = [s for s in inside if not is_marked(s[1][len(part) :] if part and not is_main(part) else s[1])]
-    return sorted(s[0] for s in below or inside)
+    chosen = below or inside
+    return sorted(s[0] for s in chosen), sorted(s[0] for s in chosen if s[3] and not is_main(part))
 
 
 def _inferred(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -432,8 +446,8 @@ def _inferred(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _chosen(pdf: pd.DataFrame) -> pd.DataFrame:
-    chosen = content_slots([(r.slot, r.path, r.pages, r.chars, r.links, r.lo != r.hi) for r in pdf.itertuples()])
-    return pd.DataFrame({"host": [pdf["host"].iloc[0]], "slots": [chosen]})
+    slots, plain = content_slots([(r.slot, r.path, r.plain, 2 * r.linked > r.blocks, r.page_lo != r.page_hi, r.lo != r.hi) for r in pdf.itertuples()])
+    return pd.DataFrame({"host": [pdf["host"].iloc[0]], "slots": [slots], "plain": [plain]})
 
 
 def _beside(rows: DataFrame, hosts: DataFrame, how: str) -> DataFrame:
@@ -444,7 +458,7 @@ def _beside(rows: DataFrame, hosts: DataFrame, how: str) -> DataFrame:
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """``(host, wrapper, slots)`` from ``host`` and ``html`` of all pages.
+    """``(host, wrapper, slots, plain)`` from ``host`` and ``html`` of all pages; of the slots in ``plain`` links are left out.
 
     Each partition aligns its pages; the distinct wrappers of partitions, not pages, are aligned in ``SALTS`` groups a
     host, and the wrappers of those groups last. Pages are then matched against the wrapper of their host, and the
@@ -453,25 +467,28 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
     rows = pages.select(F.coalesce(F.col("host"), F.lit("")).alias("host"), F.col("html").cast("string").alias("html")).where("html is not null")
     parts = rows.mapInArrow(_sketch, "host string, wrapper string").distinct().groupBy("host", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)))
     wrappers = cut(parts.applyInPandas(_inferred, "host string, wrapper string").groupBy("host").applyInPandas(_inferred, "host string, wrapper string"))
-    figures = _beside(rows, wrappers, "inner").mapInArrow(_figures, "host string, slot string, path string, pages bigint, chars bigint, links bigint, lo bigint, hi bigint")
-    merged = figures.groupBy("host", "slot", "path").agg(*[F.sum(c).alias(c) for c in ("pages", "chars", "links")], F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    return wrappers.join(merged.groupBy("host").applyInPandas(_chosen, "host string, slots array<string>"), "host")
+    figures = _beside(rows, wrappers, "inner").mapInArrow(_figures, FIGURES)
+    merged = figures.groupBy("host", "slot", "path").agg(*[F.sum(c).alias(c) for c in ("plain", "blocks", "linked")], *[f(c).alias(c) for f, c in ((F.min, "lo"), (F.max, "hi"), (F.min, "page_lo"), (F.max, "page_hi"))])
+    return wrappers.join(merged.groupBy("host").applyInPandas(_chosen, "host string, slots array<string>, plain array<string>"), "host")
 
 
-def extracted(page: str | None, wrapper: str | None, slots: list[str] | None) -> str:
-    """The blocks of a page in the chosen slots of its host's wrapper, by two newlines."""
+def extracted(page: str | None, wrapper: str | None, slots: list[str] | None, plain: list[str] | None = None) -> str:
+    """The blocks of a page in the chosen slots of its host's wrapper, by two newlines; of those in ``plain`` no links."""
     found = list(blocks(page))
     if not found or wrapper is None:
         return ""
-    chosen = set(slots or ())
-    return "\n\n".join(t for slot, (_, t, _) in zip(compiled(wrapper).match([p for p, _, _ in found]), found, strict=True) if slot in chosen)
+    chosen, unlinked = set(slots or ()), set(plain or ())
+    of = compiled(wrapper).match([p for p, _, _ in found])
+    return "\n\n".join(t for slot, (_, t, n) in zip(of, found, strict=True) if slot in chosen and not (slot in unlinked and is_link(t, n)))
+
 
+def main_text(html: Column, *host: Column) -> Column:
+    """The main text of pages by the wrapper, slots and plain slots of their hosts."""
 
-def main_text(html: Column, wrapper: Column, slots: Column) -> Column:
-    def run(page: pa.Array, known: pa.Array, chosen: pa.Array) -> pa.Array:
-        return pa.array([extracted(*x) for x in zip(page.to_pylist(), known.to_pylist(), chosen.to_pylist(), strict=True)], pa.string())
+    def run(page: pa.Array, known: pa.Array, chosen: pa.Array, plain: pa.Array) -> pa.Array:
+        return pa.array([extracted(*x) for x in zip(page.to_pylist(), known.to_pylist(), chosen.to_pylist(), plain.to_pylist(), strict=True)], pa.string())
 
-    return F.arrow_udf(run, "string")(html, wrapper, slots)
+    return F.arrow_udf(run, "string")(html, *host)
 
 
 def extract_pages(pages: DataFrame, host: Column, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -479,10 +496,10 @@ def extract_pages(pages: DataFrame, host: Column, id_col: str = "page_id", url_c
 
     A null or empty page has an empty text. Wrappers come to the pages by an equi-join on the host, broadcast where
     they are small. Repeated pages are extracted alike, and a host that has only those is a host of one page. A page of
-    any length is parsed whole; long streams are aligned in stretches. Of parts that hold equally much, the one with
+    any length is parsed whole and aligned in memory linear in it. Of parts that hold equally much, the one with
     the greater path is taken. No pages, no rows. Only the three columns and what ``host`` reads are used, so that
     other names cannot clash.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(host, F.lit("")).alias("host"), F.col(html_col).cast("string").alias("html"))
-    out = _beside(rows, cut(infer_wrappers(rows)), "left").withColumn("text", main_text(F.col("html"), F.col("wrapper"), F.col("slots")))
+    out = _beside(rows, cut(infer_wrappers(rows)), "left").withColumn("text", main_text(F.col("html"), F.col("wrapper"), F.col("slots"), F.col("plain")))
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
