@@ -25,8 +25,6 @@ URL_PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 #: The share of the bad labelled URLs that a mined rule covers at least, and its confidence: (bad + 1) / (all + 2).
 MIN_SHARE, MIN_CONFIDENCE = 0.1, 0.8
-#: Tokens of a URL: its last host labels, its first path segments and its first query keys.
-HOST_LABELS, SEGMENTS, KEYS = 6, 4, 6
 BAD, GOOD = "label:block", "label:allow"
 MINED = "antecedent array<string>, anchor string, size int, confidence double, support double"
 
@@ -40,13 +38,12 @@ def url_path(url: Column) -> Column:
 
 
 def url_tokens(url: Column) -> Column:
-    """Sorted distinct tokens: scheme, host labels, path segments with their depth, query keys; digits become 0."""
+    """Sorted distinct tokens: scheme, all host labels, all path segments with their depth, all query keys; digits become 0."""
     url = F.coalesce(url.cast("string"), F.lit(""))
     masked = lambda c: F.regexp_replace(c, "[0-9]+", "0")
-    labels = F.reverse(F.slice(F.reverse(F.split(url_host(url), r"\.")), 1, HOST_LABELS))
-    host = F.transform(labels, lambda x: F.concat(F.lit("host:"), masked(x)))
-    path = F.transform(F.slice(F.split(url_path(url), "/"), 1, SEGMENTS + 1), lambda x, i: F.concat(F.lit("path"), i.cast("string"), F.lit(":"), masked(x)))
-    keys = F.transform(F.slice(F.regexp_extract_all(url, F.lit(r"[?&]([^=&#]+)"), F.lit(1)), 1, KEYS), lambda x: F.concat(F.lit("query:"), x))
+    host = F.transform(F.split(url_host(url), r"\."), lambda x: F.concat(F.lit("host:"), masked(x)))
+    path = F.transform(F.split(url_path(url), "/"), lambda x, i: F.concat(F.lit("path"), i.cast("string"), F.lit(":"), masked(x)))
+    keys = F.transform(F.regexp_extract_all(url, F.lit(r"[?&]([^=&#]+)"), F.lit(1)), lambda x: F.concat(F.lit("query:"), x))
     scheme = F.array(F.concat(F.lit("scheme:"), F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1)))
     return F.array_sort(F.array_distinct(F.filter(F.concat(scheme, host, path, keys), lambda x: ~x.endswith(":"))))
 
@@ -63,12 +60,27 @@ def stated_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) ->
     return F.array_max(F.filter(known, lambda r: ((host == r["host"]) | host.endswith(F.concat(F.lit("."), r["host"]))) & path.startswith(r["path"])))
 
 
+def frequent_tokens(rows: DataFrame, least: float) -> dict[str, tuple[int, int]]:
+    """Tokens that ``least`` or more bad rows have, with the rows that have them and a sum of hashes of these rows.
+
+    They are found among the bad rows first, so that there are at most as many as bad rows have tokens on average, times
+    bad rows over ``least``, however many other rows there are; only those are then counted in all rows.
+    """
+    bad = rows.where("bad").select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    names = sorted(r["token"] for r in bad.where(F.col("n") >= least).collect())
+    if not names:
+        return {}
+    here = F.array_intersect("tokens", F.array(*[F.lit(t) for t in names]))
+    tokens = rows.select(F.explode(here).alias("token"), F.xxhash64("tokens").cast("decimal(38,0)").alias("h"))
+    return {r["token"]: (r["n"], r["h"]) for r in tokens.groupBy("token").agg(F.count("*").alias("n"), F.sum("h").alias("h")).collect()}
+
+
 def mine_rules(labelled: DataFrame, min_share: float = MIN_SHARE, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """``(antecedent, anchor, size, confidence, support)`` of the rules from ``tokens`` to a true ``bad``.
 
     Rows with null tokens or a null ``bad`` teach nothing. Of tokens that always come together only the first is an
-    item of FP-growth, and a rule that has it has them all; the frequent tokens, at most those of a URL over the least
-    support, are what reaches the driver. A rule is left out if a rule on a part of its tokens is at least as
+    item of FP-growth, and a rule that has it has them all; the tokens that are frequent in bad rows, at most those of a
+    bad URL over the least share, are what reaches the driver. A rule is left out if a rule on a part of its tokens is at least as
     confident. No bad rows, no rules.
     """
     spark = labelled.sparkSession
@@ -77,8 +89,7 @@ def mine_rules(labelled: DataFrame, min_share: float = MIN_SHARE, min_confidence
     if not bad:
         return spark.createDataFrame([], MINED)
     least = min_share * bad
-    tokens = rows.select(F.explode("tokens").alias("token"), F.xxhash64("tokens").cast("decimal(38,0)").alias("h"))
-    often = {r["token"]: (r["n"], r["h"]) for r in tokens.groupBy("token").agg(F.count("*").alias("n"), F.sum("h").alias("h")).where(F.col("n") >= least).collect()}
+    often = frequent_tokens(rows, least)
     together: dict[tuple, list[str]] = {}
     for t in sorted(often):
         together.setdefault(often[t], []).append(t)

@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from foldspan.llm.urlrules import RULES, judged_urls, match_rules, mine_rules
+from foldspan.llm.urlrules import RULES, frequent_tokens, judged_urls, match_rules, mine_rules, url_tokens
 
 SCHEMA = "page_id long, url string, host string, rule string"
 
@@ -82,3 +82,26 @@ def test_labels_from_elsewhere(spark):
 def test_mined_rules_decide_given_pages(spark):
     got = judged_urls(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
     assert got.where("rule is null and verdict = 'block'").count() > 0
+
+
+def test_signs_far_down_the_url_are_found(spark):
+    path = lambda i, x: f"http://h{i}.com/a{i % 7}/b{i % 5}/c{i % 3}/d{i % 2}/{x}/f{i}?" + "&".join(f"k{k}=1" for k in range(9)) + f"&{x}last=2"
+    rows = [(path(i, "pills"), True) for i in range(100)] + [(path(i, "news"), False) for i in range(100)]
+    hosts = [(f"http://sign.{'x.' * 8}h{i}.org/", True) for i in range(60)] + [(f"http://{'x.' * 8}h{i}.org/", False) for i in range(60)]
+    for taught in (rows, hosts):
+        labelled = spark.createDataFrame(taught, "url string, bad boolean")
+        got = judged_urls(labelled.select(F.lit(1).alias("page_id"), "url"), rules=(), labelled=labelled).where("verdict = 'block'").count()
+        assert got == sum(b for _, b in taught)
+
+
+def test_what_reaches_the_driver_is_bounded_by_bad_rows(spark):
+    rng = random.Random(4)
+    url = lambda n: "http://h.com/" + "/".join(f"{'abcdefgh'[rng.randrange(8)]}{'xyz'[rng.randrange(3)]}" for _ in range(n))
+    rows = [(url(30), False) for _ in range(3000)] + [(url(5), True) for _ in range(20)]
+    tokens = spark.createDataFrame(rows, "url string, bad boolean").select(url_tokens(F.col("url")).alias("tokens"), "bad")
+    bad = [r["tokens"] for r in tokens.where("bad").collect()]
+    found = frequent_tokens(tokens, 0.1 * 20)
+    assert 0 < len(found) <= sum(map(len, bad)) / 20 / 0.1
+    want = {t for t in set().union(*bad) if sum(t in b for b in bad) >= 2}
+    assert set(found) == want
+    assert all(n == tokens.where(F.array_contains("tokens", t)).count() for t, (n, _) in list(found.items())[:3])
