@@ -14,6 +14,7 @@ from foldspan.operators import blends as B
 from foldspan.operators import models as M
 from foldspan.operators import replicates as X
 from foldspan.operators import resample as R
+from foldspan.operators import stacking as K
 from foldspan.operators.encoders import crossed, quantile_bins
 from foldspan.operators.folds import POISSON_STEPS, stratified_folds
 from foldspan.plans import experiments as P
@@ -32,21 +33,20 @@ def _docs(t):
 
 @query("F2 F3")
 def q_text_stack(t):
-    words = M.text_expert(word_ngrams(F.col("text"), 1, 1), 3, 0.9)
-    return M.stacked_text(_docs(t), {"words": words}, 2, 2)
+    return K.stacked_series(_docs(t), {"words": K.TextSetting(word_ngrams(F.col("text"), 1, 1))}, 3, 3)
 
 
 @query("F4")
 def q_text_series(t):
     half = F.floor(F.length("text") / 2).cast("int")
-    series = {"whole": M.text_expert(word_ngrams(F.col("text"), 1, 1), 3), "last": M.text_expert(word_ngrams(F.substring("text", half + 1, F.length("text")), 1, 1), 3)}
-    return M.stacked_text(_docs(t), series, 2, 2)
+    texts = {"whole": F.col("text"), "first": F.substring("text", F.lit(1), half), "last": F.substring("text", half + 1, F.length("text"))}
+    return K.stacked_series(_docs(t), {n: K.TextSetting(word_ngrams(c, 1, 1)) for n, c in texts.items()}, 2, 2)
 
 
 @query("J24")
 def q_text_lab(t):
-    settings = {"words-lower": word_ngrams(F.lower("text"), 1, 1), "chars": char_ngrams(F.col("text"), 2, 2)}
-    return P.setting_lab(t.view(LABELLED), {k: M.text_expert(v, 3) for k, v in settings.items()}, [0, 1], 2)
+    terms = {"words": word_ngrams(F.col("text"), 1, 1), "words-lower": word_ngrams(F.lower("text"), 1, 1), "chars": char_ngrams(F.col("text"), 2, 2)}
+    return K.setting_table(t.view(LABELLED), {n: K.TextSetting(c) for n, c in terms.items()}, [0, 1], 2)
 
 
 @query("M-A M-B M-C M-D M-F M-I")
@@ -243,12 +243,12 @@ def q_adversarial(t):
 
 @query("X19")
 def q_topics(t):
-    return M.topic_table(t.view(LABELLED), word_ngrams(F.col("text"), 1, 1), 4, size=256)
+    return M.topic_table(t.view(LABELLED), word_ngrams(F.col("text"), 1, 1), 4)
 
 
 @query("X20")
 def q_clusters(t):
-    return M.cluster_table(t.view(LABELLED), word_ngrams(F.col("text"), 1, 1), 4, 4, size=128)
+    return M.cluster_table(t.view(LABELLED), word_ngrams(F.col("text"), 1, 1), 4, 4)
 
 
 @query("J6 J7")

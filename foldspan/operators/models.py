@@ -15,11 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldspan.functions.rows import MISSING, logit, sigmoid
+from foldspan.operators.decompose import main_factor, nonnegative_factors, singular_rows
 from foldspan.operators.encoders import spline_basis
 from foldspan.operators.folds import hash_unit, nested_folds, permuted_labels
 from foldspan.operators.metrics import auc_ap
 from foldspan.operators.ranks import column_percentiles
-from foldspan.operators.tfidf import hashed_vectors, numbered, term_counts, term_vectors, tfidf, vocabulary, weights
+from foldspan.operators.tfidf import numbered, term_counts, term_vectors, tfidf, vocabulary, weights
 from foldspan.plans.lineage import cut
 
 Expert = Callable[[DataFrame, DataFrame], DataFrame]
@@ -308,27 +309,21 @@ def adversarial_auc(df: DataFrame, part: str, numeric: Sequence[str], categorica
     return auc_ap(cut(out.join(rows.select("id", "y"), "id"))).select("auc")
 
 
-def topic_table(df: DataFrame, terms: Column, k: int = 5, y: str = "y", seed: int = 1, size: int = 1 << 10) -> DataFrame:
-    """Size and target rate of the main topics of latent Dirichlet allocation on hashed term counts."""
-    from pyspark.ml.clustering import LDA
-
+def topic_table(df: DataFrame, terms: Column, k: int = 5, y: str = "y", sweeps: int = 8, min_df: int = 2, max_share: float = 0.9) -> DataFrame:
+    """Size and target rate of the main topics: non-negative factors of TF-IDF on the whole vocabulary."""
     from foldspan.operators.explore import group_rates
 
-    counts = term_counts(df, "id", terms).select("id", "term", F.col("tf").cast("double").alias("weight"))
-    m = LDA(k=k, maxIter=10, seed=seed, optimizer="online").fit(vec := cut(hashed_vectors(df, counts, size)))
-    t = vector_to_array("topicDistribution")
-    topic = m.transform(vec).select("id", (F.array_position(t, F.array_max(t)) - 1).cast("int").alias("topic"))
-    return group_rates(topic.join(df.select("id", y), "id"), "topic", y)
+    left, right, _ = nonnegative_factors(tfidf(df, df, "id", terms, min_df, max_share), k, sweeps)
+    return group_rates(main_factor(left, right, k).join(df.select("id", y), "id"), "topic", y)
 
 
-def cluster_table(df: DataFrame, terms: Column, k: int = 8, dims: int = 10, y: str = "y", seed: int = 1, size: int = 1 << 9) -> DataFrame:
-    """Size, target rate and lift of k-means clusters of principal components of TF-IDF."""
+def cluster_table(df: DataFrame, terms: Column, k: int = 8, dims: int = 10, y: str = "y", seed: int = 1, min_df: int = 2, max_share: float = 0.9) -> DataFrame:
+    """Size, target rate and lift of k-means clusters of the leading singular vectors of TF-IDF, on the whole vocabulary."""
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import PCA
 
     from foldspan.operators.explore import group_rates
 
-    vec = cut(hashed_vectors(df, tfidf(df, df, "id", terms, 2, 0.9), size))
-    low = PCA(k=dims, inputCol="features", outputCol="low").fit(vec).transform(vec)
+    low, _ = singular_rows(df, tfidf(df, df, "id", terms, min_df, max_share), dims)
+    low = cut(low).withColumn("low", array_to_vector("low"))
     out = KMeans(k=k, seed=seed, featuresCol="low", predictionCol="cluster").fit(low).transform(low).select("id", "cluster")
     return group_rates(out.join(df.select("id", y), "id"), "cluster", y)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from foldspan.operators.folds import class_positions
 
@@ -43,13 +47,32 @@ def tfidf(train: DataFrame, other: DataFrame, id_col: str, terms: Column, min_df
     return weights(term_counts(other, id_col, terms), vocabulary(term_counts(train, id_col, terms), n, min_df, max_share), sublinear)
 
 
+def vector_struct(size: int, offsets: np.ndarray, indices: np.ndarray, values: np.ndarray) -> pa.StructArray:
+    """Sparse vectors of MLlib as their struct: row i has the cells ``offsets[i]`` to ``offsets[i + 1]``, indices rising."""
+    n, at = len(offsets) - 1, pa.array(offsets.astype(np.int32))
+    fields = [pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, size, np.int32)), pa.ListArray.from_arrays(at, pa.array(indices.astype(np.int32))), pa.ListArray.from_arrays(at, pa.array(values.astype(np.float64)))]
+    return pa.StructArray.from_arrays(fields, names=["type", "size", "indices", "values"])
+
+
+def list_bounds(column: pa.Array) -> np.ndarray:
+    """Where the items of each list begin in ``column.flatten()``, one bound more than lists; a null has none."""
+    return np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))])
+
+
 def sparse_vectors(ids: DataFrame, cells: DataFrame, size: int) -> DataFrame:
-    """``(id, features)`` of every id for MLlib: sparse vectors of ``(id, k, v)``; an id without cells has zeros."""
-    from pyspark.ml.linalg import SparseVector, VectorUDT
+    """``(id, features)`` of every id for MLlib: sparse vectors of ``(id, k, v)``, built by batches; an id without cells has zeros."""
+    from pyspark.ml.linalg import VectorUDT
 
-    build = F.udf(lambda found: SparseVector(size, [c[0] for c in found or ()], [c[1] for c in found or ()]), VectorUDT())
-    lists = cells.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("__cells"))
-    return ids.select("id").join(lists, "id", "left").select("id", build("__cells").alias("features"))
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("cells")
+            flat = lists.flatten()
+            k, v = (pc.struct_field(flat, i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), vector_struct(size, list_bounds(lists), k, v)], names=["id", "features"])
+
+    lists = cells.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("cells"))
+    rows = ids.select("id").join(lists, "id", "left").select("id", F.coalesce("cells", F.array().cast(lists.schema["cells"].dataType)).alias("cells"))
+    return rows.mapInArrow(build, StructType([rows.schema["id"], StructField("features", VectorUDT())]))
 
 
 def numbered(vocab: DataFrame) -> DataFrame:
@@ -60,8 +83,3 @@ def numbered(vocab: DataFrame) -> DataFrame:
 def term_vectors(ids: DataFrame, w: DataFrame, vocab: DataFrame, size: int) -> DataFrame:
     """``(id, features)``: a column for each of the ``size`` terms of a numbered vocabulary."""
     return sparse_vectors(ids, w.join(vocab.select("term", "k"), "term").select("id", "k", F.col("weight").alias("v")), size)
-
-
-def hashed_vectors(ids: DataFrame, w: DataFrame, size: int = 1 << 12) -> DataFrame:
-    """``(id, features)``: vectors of a fixed size; terms that share a place add up."""
-    return sparse_vectors(ids, w.groupBy("id", F.pmod(F.xxhash64("term"), F.lit(size)).cast("int").alias("k")).agg(F.sum("weight").alias("v")), size)
