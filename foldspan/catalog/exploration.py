@@ -116,7 +116,7 @@ a AS (SELECT term, count(*) AS df, CAST(sum(y) AS BIGINT) AS hits FROM g GROUP B
 SELECT term, df, hits, hits / df AS rate, CASE WHEN n > df THEN (hits / df - (pos - hits) / (n - df)) / sqrt(p * (1 - p) * (1.0 / df + 1.0 / (n - df))) END AS z FROM a, t""")
 def q_ngram_scan(t):
     p = t.part.select(F.col("p_partkey").alias("id"), "p_name", (F.col("p_size") < 15).cast("int").alias("y"))
-    return X.ngram_scan(p, "id", T.char_ngrams(F.col("p_name"), 3, 3)).drop("p_value", "q")
+    return X.char_ngram_scan(p, F.col("p_name"), 3, 3).drop("p_value", "q")
 
 
 @query("X18", f"{L} SELECT md5(text) AS digest, count(*) AS n, min(id) AS first_id, min(y) <> max(y) AS conflict FROM l GROUP BY md5(text) HAVING count(*) > 1")
@@ -128,7 +128,7 @@ def q_duplicates(t):
 
 def _outline(t):
     df = t.view(LABELLED).select("id", "y", F.replace(F.replace(F.col("text"), F.lit(", "), F.lit("\n  ")), F.lit(". "), F.lit("\n")).alias("text"))
-    return df, X.outline_nodes(df, "id", "text").cache()
+    return df, X.outline_nodes(df, "id", "text")
 
 
 _LINES = f"""{L}, r AS (SELECT id, y, unnest(s) AS raw, generate_subscripts(s, 1) AS line FROM (SELECT id, y, string_split(replace(replace(text, ', ', chr(10) || '  '), '. ', chr(10)), chr(10)) AS s FROM l)),

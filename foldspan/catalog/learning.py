@@ -57,6 +57,28 @@ def q_expert_preds(t):
     return M.out_of_fold(df, {k: experts[k] for k in M.available(df.columns, needs)}, 5)
 
 
+@query("M-A")
+def q_boosting_rounds(t):
+    """The loss after each boosted tree on the held-out fold, and the round that is kept."""
+    c = t.view(COMPANY)
+    return M.boosting_rounds(c.where("fold > 0"), c.where("fold = 0"), _NUM)
+
+
+_PAIRS = list(combinations(["industry", "listing", "channel"], 2))
+_CELLS = " UNION ALL ".join(f"SELECT fold, y, '{a}x{b}' AS \"cross\", coalesce({a}, '__MISSING__') || '||' || coalesce({b}, '__MISSING__') AS cell FROM c" for a, b in _PAIRS)
+
+
+@query("F7", f"""WITH c AS ({plain(COMPANY)}), l AS ({_CELLS}), g AS (SELECT "cross", cell, fold, count(*) AS n, sum(y) AS pos FROM l GROUP BY ALL),
+f AS (SELECT "cross", fold, sum(n) AS fn, sum(pos) AS fp FROM g GROUP BY ALL), r AS (SELECT "cross", fold, (sum(fp) OVER w - fp) / CAST(sum(fn) OVER w - fn AS DOUBLE) AS rate FROM f WINDOW w AS (PARTITION BY "cross")),
+o AS (SELECT g.*, sum(n) OVER w - n AS other_n, sum(pos) OVER w - pos AS other_pos FROM g WINDOW w AS (PARTITION BY "cross", cell)),
+p AS (SELECT o."cross", n, pos, (other_pos + 10e0 * rate) / (other_n + 10e0) AS p FROM o JOIN r ON o."cross" = r."cross" AND o.fold = r.fold),
+d AS (SELECT "cross", p, sum(n) AS n, sum(pos) AS pos FROM p GROUP BY ALL),
+u AS (SELECT "cross", pos, sum(pos) OVER w AS cum_pos, sum(n) OVER w AS cum_n FROM d WINDOW w AS (PARTITION BY "cross" ORDER BY p DESC))
+SELECT "cross", sum(pos * cum_pos / CAST(cum_n AS DOUBLE)) / sum(pos) AS ap FROM u GROUP BY "cross" """)
+def q_screened_crosses(t):
+    return M.screened_crosses(crossed(t.view(COMPANY), _PAIRS), [f"{a}x{b}" for a, b in _PAIRS], "fold")
+
+
 def _scratch(t) -> str:
     return f"{ensure_checkpoint_dir(t.spark)}/store-{uuid.uuid4().hex}"
 
@@ -178,7 +200,7 @@ def q_select_crosses(t):
     pairs = list(combinations(columns, 2))
     c = crossed(quantile_bins(t.view(COMPANY), ["sales", "assets"]), pairs).withColumn("inner", F.col("fold") % 2)
     names = [f"{a}x{b}" for a, b in pairs]
-    chosen = M.select_crosses(c, names, k=2, base_categorical=columns)
+    chosen = M.select_crosses(c, names, k=2, base_categorical=columns, screen=3)
     return c.select("id", *[F.col(n) for n in names], F.lit(",".join(chosen)).alias("chosen"))
 
 

@@ -89,20 +89,24 @@ def hash_encoder(dim: int = 32) -> Callable[[list[str]], np.ndarray]:
     return encode
 
 
+def _encoded(texts: list[str], encode: Callable[[list[str]], np.ndarray], batch: int, retries: int) -> Iterator[np.ndarray]:
+    """The vectors of texts, ``batch`` at a time; a batch that fails is tried again."""
+    for k in range(0, len(texts), batch):
+        for left in range(retries, -1, -1):
+            try:
+                yield encode(texts[k : k + batch])
+                break
+            except Exception:
+                if not left:
+                    raise
+
+
 def embed(df: DataFrame, id_col: str, text: Column, encode: Callable[[list[str]], np.ndarray], batch: int = 64, retries: int = 2) -> DataFrame:
     """``(id_col, vec)`` by a batch function of texts; a batch that fails is tried again. Null is the empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, vecs = b.column("text").to_pylist(), []
-            for k in range(0, len(texts), batch):
-                for left in range(retries, -1, -1):
-                    try:
-                        vecs += encode(texts[k : k + batch]).astype(np.float32).tolist()
-                        break
-                    except Exception:
-                        if not left:
-                            raise
+            vecs = [v for part in _encoded(b.column("text").to_pylist(), encode, batch, retries) for v in part.astype(np.float32).tolist()]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(vecs, pa.list_(pa.float32()))], names=["id", "vec"])
 
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(text, F.lit("")).alias("text"))
@@ -110,14 +114,41 @@ def embed(df: DataFrame, id_col: str, text: Column, encode: Callable[[list[str]]
     return rows.mapInArrow(run, f"id {kind}, vec array<float>").withColumnRenamed("id", id_col)
 
 
-def embed_chunked(df: DataFrame, id_col: str, tokens: Column, encode, width: int, stride: int) -> DataFrame:
-    """Vectors of long token lists: chunks, encoded one by one, averaged by their token counts, as unit vectors."""
+def embed_chunked(df: DataFrame, id_col: str, tokens: Column, encode: Callable[[list[str]], np.ndarray], width: int, stride: int, batch: int = 64, retries: int = 2) -> DataFrame:
+    """Vectors of long token lists: chunks, encoded in batches, averaged by their token counts, as unit vectors.
+
+    The chunks of a row follow one another in its task, so their weighted vectors are summed as they come, over batches
+    too, and nothing is shuffled. Each row has its own vector, rows of one id too; null tokens have no row, a
+    vector of zeros stays one.
+    """
     from foldspan.functions.text import chunks
 
-    parts = df.select(F.col(id_col).alias("id"), F.posexplode(chunks(tokens, width, stride)).alias("k", "part"))
-    parts = parts.select(F.struct("id", "k", F.size("part").alias("n")).alias("key"), F.array_join("part", " ").alias("t"))
-    vecs = embed(parts, "key", F.col("t"), encode)
-    cells = vecs.select("key.id", "key.n", F.posexplode("vec").alias("d", "x"))
-    means = cells.groupBy("id", "d").agg((F.sum(F.col("n") * F.col("x")) / F.sum("n")).alias("x"))
-    rows = means.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("d", "x"))).alias("v"))
-    return rows.select(F.col("id").alias(id_col), unit(F.transform("v", lambda s: s["x"])).alias("vec"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the row that the last batch ended in: key, id, sum
+
+        def told(ids: list, sums: list[np.ndarray]) -> pa.RecordBatch:
+            m = np.array(sums)
+            m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+            return pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(m.tolist(), pa.list_(pa.float64()))], names=["id", "vec"])
+
+        kind = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            kind = b.schema.field("id").type
+            key, ids = b.column("row").to_numpy(), b.column("id")
+            weighed = np.concatenate(list(_encoded(b.column("text").to_pylist(), encode, batch, retries))).astype(np.float64) * b.column("n").to_numpy()[:, None]
+            head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            rows = [(int(key[h]), ids[h].as_py(), v) for h, v in zip(head.tolist(), np.add.reduceat(weighed, head), strict=True)]
+            if held is not None:
+                rows = [(held[0], held[1], held[2] + rows[0][2]), *rows[1:]] if held[0] == rows[0][0] else [held, *rows]
+            held = rows.pop()
+            if rows:
+                yield told([r[1] for r in rows], [r[2] for r in rows])
+        if held is not None:
+            yield told([held[1]], [held[2]])
+
+    rows = df.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), chunks(tokens, width, stride).alias("parts"))
+    parts = rows.select("id", "row", F.explode("parts").alias("part"))
+    parts = parts.select("id", "row", F.size("part").cast("double").alias("n"), F.array_join("part", " ").alias("text"))
+    return parts.mapInArrow(run, f"id {parts.schema['id'].dataType.simpleString()}, vec array<double>").withColumnRenamed("id", id_col)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from foldspan.operators.metrics import score_steps
 from foldspan.operators.ranks import column_percentiles, prefix_sums, value_range
+from foldspan.plans.lineage import cut
 
 
 def profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -172,10 +174,61 @@ def terms_rates(df: DataFrame, id_col: str, terms: Column, y: str = "y", least:
     return g.where(F.col("df") >= least).withColumn("rate", F.col("hits") / F.col("df"))
 
 
+#: Bits of a bit map that tasks get; a power of two.
+MAP_BITS = 1 << 22
+
+
+def bit_map(numbers: DataFrame, col: str, bits: int = MAP_BITS) -> np.ndarray:
+    """Which of the buckets 0 to ``bits`` - 1 are among the numbers; the driver gets ``bits`` / 64 words at most."""
+    word = numbers.groupBy(F.shiftright(col, 6).cast("int").alias("w")).agg(F.expr(f"bit_or(shiftleft(1L, cast({col} & 63 AS INT)))").alias("b"))
+    out = np.zeros(bits // 64, np.uint64)
+    for r in word.collect():
+        out[r["w"]] = r["b"] & (1 << 64) - 1
+    return out
+
+
+def _has(words: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    return (words[bucket >> 6] >> (bucket & 63).astype(np.uint64)) & np.uint64(1) > 0
+
+
+def grown_ngrams(df: DataFrame, text: Column, low: int, high: int, y: str = "y", least: int = 5, bits: int = MAP_BITS) -> DataFrame:
+    """``(term, df, hits, rate)`` of the character n-grams of ``low`` to ``high`` characters that ``least`` texts hold.
+
+    Lengths grow one by one. An n-gram is shuffled and counted only if both its ends of n - 1 characters are frequent,
+    by a bit map of the hashes of those of the level before; a collision costs a count, never a result. So what is
+    shuffled grows with the frequent n-grams and not with the rare ones. A null text has none.
+    """
+    rows, out, known = df.select(F.col(y).cast("int").alias("y"), text.alias("text")).where("text is not null"), None, None
+    for n in range(1, high + 1):
+        every = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - (n - 1), F.lit(1))), lambda i: F.substring("text", i, F.lit(n))), lambda g: F.length(g) == n)
+        grams = rows.select("y", F.explode(F.array_distinct(every)).alias("term"))
+        if known is not None:
+            shared = known
+            ends = [F.pmod(F.xxhash64(F.substring("term", F.lit(at), F.lit(n - 1))), F.lit(bits)) for at in (1, 2)]
+            both = F.arrow_udf(lambda a, b, shared=shared: pa.array(_has(shared, a.to_numpy()) & _has(shared, b.to_numpy())), "boolean")
+            grams = grams.where(both(*ends))
+        g = grams.groupBy("term").agg(F.count("*").alias("df"), F.sum("y").cast("bigint").alias("hits")).where(F.col("df") >= least)
+        if n < high:
+            g = cut(g)
+            known = bit_map(g.select(F.pmod(F.xxhash64("term"), F.lit(bits)).alias("b")), "b", bits)
+        if n >= low:
+            out = g if out is None else out.unionByName(g)
+    return out.withColumn("rate", F.col("hits") / F.col("df"))
+
+
+def char_ngram_scan(df: DataFrame, text: Column, low: int, high: int, y: str = "y", least: int = 5) -> DataFrame:
+    """``grown_ngrams`` with a two-sided test of two shares and its FDR."""
+    return _tested(df, grown_ngrams(df, text, low, high, y, least), y)
+
+
 def ngram_scan(df: DataFrame, id_col: str, terms: Column, y: str = "y", least: int = 5) -> DataFrame:
     """``terms_rates`` with a two-sided test of two shares and its FDR."""
+    return _tested(df, terms_rates(df, id_col, terms, y, least), y)
+
+
+def _tested(df: DataFrame, rates: DataFrame, y: str) -> DataFrame:
     t = df.agg(F.count("*").cast("double").alias("n"), F.sum(y).cast("double").alias("pos"))
-    g = terms_rates(df, id_col, terms, y, least).crossJoin(F.broadcast(t))
+    g = rates.crossJoin(F.broadcast(t))  # one row
     n1, n0 = F.col("df").cast("double"), F.col("n") - F.col("df")
     p = F.col("pos") / F.col("n")
     z = F.try_divide(F.col("hits") / n1 - F.try_divide(F.col("pos") - F.col("hits"), n0), F.sqrt(p * (1 - p) * (1 / n1 + F.try_divide(F.lit(1.0), n0))))
@@ -206,12 +259,59 @@ def depth_rates(nodes: DataFrame, labels: DataFrame, keyword: str) -> DataFrame:
     return d.join(labels, "id").groupBy("depth_class").agg(F.count("*").alias("n"), F.avg(F.col("y").cast("double")).alias("rate"))
 
 
-def pair_support(nodes: DataFrame, labels: DataFrame, least: int) -> DataFrame:
-    """``(a, b, n, rate)`` of pairs of names in one outline; names rarer than ``least`` are dropped before pairing,
-    as no pair of them can reach it."""
+#: Names of one block of an outline, whose pairs one row of a task makes, and buckets of pairs.
+PAIR_BLOCK, PAIR_BUCKETS = 256, 1 << 20
+
+
+def _pair_buckets(left: np.ndarray, right: np.ndarray, buckets: int) -> np.ndarray:
+    """A bucket for each pair of hashes, (left, right)."""
+    x = (left.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)) ^ right.astype(np.uint64)[None, :]
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return ((x >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+
+
+def pair_support(nodes: DataFrame, labels: DataFrame, least: int, block: int = PAIR_BLOCK, buckets: int = PAIR_BUCKETS) -> DataFrame:
+    """``(a, b, n, rate)`` of pairs of names in one outline that ``least`` outlines have.
+
+    Names rarer than that are dropped before pairing, as no pair of them can reach it. Pairs are counted by hash bucket
+    first, inside tasks; only those of buckets that reach ``least`` are then made as rows and shuffled. An outline's
+    sorted names are cut into blocks, and its pairs of blocks are dealt over tasks.
+    """
     d = nodes.select("id", "node").distinct()
     often = d.groupBy("node").agg(F.count("*").alias("c")).where(F.col("c") >= least).select("node")
-    d = d.join(often, "node")
-    a, b = d.select("id", F.col("node").alias("a")), d.select(F.col("id").alias("i2"), F.col("node").alias("b"))
-    pairs = a.join(b, (F.col("id") == F.col("i2")) & (F.col("a") < F.col("b"))).drop("i2").join(labels, "id")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.avg(F.col("y").cast("double")).alias("rate")).where(F.col("n") >= least)
+    names = d.join(often, "node").groupBy("id").agg(F.array_sort(F.collect_list("node")).alias("names")).join(labels.select("id", "y"), "id")
+    last = F.floor((F.size("names") - 1) / block).cast("int")
+    part = lambda i: F.slice("names", i * block + 1, block)
+    pairs = names.select("id", "y", "names", F.explode(F.sequence(F.lit(0), last)).alias("i"), last.alias("last"))
+    pairs = pairs.select("id", "y", "names", "i", F.explode(F.sequence("i", "last")).alias("j"))
+    pairs = pairs.select("id", "i", "j", "y", part(F.col("i")).alias("l"), part(F.col("j")).alias("r"), (F.col("i") == F.col("j")).alias("same")).repartition("id", "i", "j")
+    pairs = cut(pairs.withColumns({k: F.transform(v, lambda x: F.xxhash64(x)) for k, v in (("lh", "l"), ("rh", "r"))}))
+
+    def made(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        for row, (lh, rh, same) in enumerate(zip(*(batch.column(c) for c in ("lh", "rh", "same")), strict=True)):
+            b = _pair_buckets(np.array(lh.as_py(), np.int64), np.array(rh.as_py(), np.int64), buckets)
+            yield row, b, np.triu(np.ones(b.shape, bool), 1) if same.as_py() else np.ones(b.shape, bool)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(buckets, np.int64)
+        for batch in batches:
+            for _, b, ok in made(batch):
+                np.add.at(total, b[ok], 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["b", "n"])
+
+    full = pairs.select("lh", "rh", "same").mapInArrow(count, "b bigint, n bigint").groupBy("b").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    shared = bit_map(full, "b", buckets)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            y, out = batch.column("y").to_pylist(), []
+            for row, b, ok in made(batch):
+                i, j = np.nonzero(ok & _has(shared, b))
+                l, r = batch.column("l")[row].as_py(), batch.column("r")[row].as_py()
+                out += [(l[p], r[q], y[row]) for p, q in zip(i.tolist(), j.tolist(), strict=True)]
+            a, b, label = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(label, pa.float64())], names=["a", "b", "y"])
+
+    found = pairs.withColumn("y", F.col("y").cast("double")).mapInArrow(rows, "a string, b string, y double")
+    return found.groupBy("a", "b").agg(F.count("*").alias("n"), F.avg("y").alias("rate")).where(F.col("n") >= least)

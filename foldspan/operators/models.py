@@ -11,7 +11,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldspan.functions.rows import MISSING, logit, sigmoid
@@ -73,6 +73,46 @@ def tree_expert(numeric: Sequence[str], categorical: Sequence[str] = (), rounds:
     return fit
 
 
+def staged_rounds(train: DataFrame, check: DataFrame, rounds: int = 2000, patience: int = 100, step: int = 64, depth: int = 3, seed: int = 7) -> tuple[int, list[float]]:
+    """The number of boosted trees with the least loss on ``check``, and the loss after each tree that was tried.
+
+    ``step`` trees are fitted, then twice as many and so on: the trees of a shorter fit are the first ones of a longer
+    one. It ends at ``rounds``, or once ``patience`` trees after the best one brought no gain. Of equal losses the first
+    counts. Both tables have ``x`` and y; ``check`` must not be empty.
+    """
+    n = min(step, rounds)
+    while True:
+        model = GBTClassifier(featuresCol="x", labelCol="y", maxIter=n, maxDepth=depth, stepSize=0.1, seed=seed).fit(train)
+        losses = list(model.evaluateEachIteration(check))
+        best = min(range(len(losses)), key=lambda i: (losses[i], i)) + 1
+        if n >= rounds or n - best >= patience:
+            return best, losses[: best + patience]
+        n = min(rounds, max(2 * n, best + patience))
+
+
+def boosting_rounds(train: DataFrame, check: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (), **more) -> DataFrame:
+    """``(round, loss, best_round)``: the loss on ``check`` after every tree that ``staged_rounds`` tried, and the one it keeps."""
+    a, b = (cut(d.select("x", F.col("y").cast("double").alias("y"))) for d in _assembled(train, check, numeric, categorical, False))
+    best, losses = staged_rounds(a, b, **more)
+    return train.sparkSession.createDataFrame([(i + 1, float(x), best) for i, x in enumerate(losses)], "round int, loss double, best_round int")
+
+
+def staged_tree_expert(numeric: Sequence[str], categorical: Sequence[str] = (), rounds: int = 2000, patience: int = 100, step: int = 64, depth: int = 3, check_share: float = 0.2, seed: int = 7) -> Expert:
+    """Boosted trees, as many as are best on a part of the training rows by hash, never on the rows that are scored.
+
+    Without rows in that part, or of both labels in the other, ``step`` trees are fitted.
+    """
+
+    def fit(train: DataFrame, valid: DataFrame) -> DataFrame:
+        a, b = _assembled(train, valid, numeric, categorical, False)
+        held = hash_unit(F.lit("check"), F.col("id")) < check_share
+        rest, check = cut(a.where(~held).select("x", F.col("y").cast("double").alias("y"))), cut(a.where(held).select("x", F.col("y").cast("double").alias("y")))
+        n = step if check.isEmpty() or rest.select("y").distinct().count() < 2 else staged_rounds(rest, check, rounds, patience, step, depth, seed)[0]
+        return _p(GBTClassifier(featuresCol="x", labelCol="y", maxIter=n, maxDepth=depth, stepSize=0.1, seed=seed).fit(rest).transform(b))
+
+    return fit
+
+
 def forest_expert(numeric: Sequence[str], categorical: Sequence[str] = (), trees: int = 20, depth: int = 5, seed: int = 7) -> Expert:
     def fit(train: DataFrame, valid: DataFrame) -> DataFrame:
         a, b = _assembled(train, valid, numeric, categorical, False)
@@ -121,7 +161,7 @@ def spline_expert(numeric: Sequence[str], categorical: Sequence[str] = (), knots
     return fit
 
 
-REGISTRY: dict[str, Callable[..., Expert]] = {"linear": linear_expert, "trees": tree_expert, "forest": forest_expert, "vector": vector_expert, "text": text_expert, "spline": spline_expert}
+REGISTRY: dict[str, Callable[..., Expert]] = {"linear": linear_expert, "trees": tree_expert, "staged": staged_tree_expert, "forest": forest_expert, "vector": vector_expert, "text": text_expert, "spline": spline_expert}
 
 
 def available(columns: Sequence[str], needs: Mapping[str, Sequence[str]]) -> list[str]:
@@ -266,11 +306,32 @@ def offset_correction(train: DataFrame, other: DataFrame, base: str, features: S
     return b.select("id", sigmoid(z).alias("p"))
 
 
+def screened_crosses(df: DataFrame, candidates: Sequence[str], fold: str = "inner", strength: float = 10.0) -> DataFrame:
+    """``(cross, ap)``: the average precision of each categorical column alone, by the target rates of its cells out of fold.
+
+    All candidates are screened in one job: rows collapse to counts by (column, cell, fold) before anything is shuffled,
+    a cell's rate comes from the other folds, drawn to the target rate of these by ``strength`` rows, and the precision
+    from the counts. A missing value is a cell. Rows without a label don't count.
+    """
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("cross"), F.coalesce(F.col(c).cast("string"), F.lit(MISSING)).alias("cell")) for c in candidates]))
+    long = df.where("y is not null").select(F.col(fold).alias("fold"), F.col("y").cast("long").alias("y"), cells.alias("x")).select("fold", "y", "x.*")
+    g = cut(long.groupBy("cross", "cell", "fold").agg(F.count("*").alias("n"), F.sum("y").alias("pos")))
+    cell, whole = Window.partitionBy("cross", "cell"), Window.partitionBy("cross")  # over counts, one row a fold
+    totals = g.groupBy("cross", "fold").agg(F.sum("n").alias("fn"), F.sum("pos").alias("fp"))
+    totals = totals.withColumns({"rn": F.sum("fn").over(whole) - F.col("fn"), "rp": F.sum("fp").over(whole) - F.col("fp")}).select("cross", "fold", "rn", "rp")
+    g = g.withColumns({"on": F.sum("n").over(cell) - F.col("n"), "op": F.sum("pos").over(cell) - F.col("pos")}).join(totals, ["cross", "fold"])
+    rate = F.coalesce(F.try_divide(F.col("rp").cast("double"), F.col("rn").cast("double")), F.lit(0.0))
+    scored = g.withColumn("p", (F.col("op") + strength * rate) / (F.col("on") + strength))
+    sides = F.explode(F.array(F.struct(F.lit(1).alias("y"), F.col("pos").alias("w")), F.struct(F.lit(0).alias("y"), (F.col("n") - F.col("pos")).alias("w"))))
+    return auc_ap(scored.select("cross", "p", sides.alias("s")).select("cross", "p", "s.*").where("w > 0"), ["cross"], weight="w").select("cross", "ap")
+
+
 def select_crosses(df: DataFrame, candidates: Sequence[str], most: int = 20, min_gain: float = 0.001, fold: str = "inner", k: int = 3, base: Sequence[str] = (), screen: int | None = None, base_categorical: Sequence[str] = ()) -> list[str]:
     """Crosses (categorical columns) that raise the inner AP of a one-hot model with the base columns.
 
-    All are screened alone; each round then tries every one that is left (of the ``screen`` best, if given) beside those
-    chosen and takes the best, until it gains less than ``min_gain``. Without base columns the start is the target rate.
+    All are tried alone, or only the ``screen`` best of ``screened_crosses``, if given; each round then tries every one
+    that is left beside those chosen and takes the best, until it gains less than ``min_gain``. Without base columns the
+    start is the target rate.
     """
 
     def ap(cols):
@@ -283,10 +344,12 @@ def select_crosses(df: DataFrame, candidates: Sequence[str], most: int = 20, min
         return auc_ap(cut(out.join(df.select("id", "y"), "id"))).first()["ap"] or 0.0
 
     df = cut(df)
+    if screen is not None and screen < len(candidates):
+        candidates = [r["cross"] for r in screened_crosses(df, candidates, fold).orderBy(F.col("ap").desc_nulls_last(), "cross").limit(screen).collect()]
     best, chosen = ap([]), []
     with ThreadPoolExecutor(4) as pool:
         tried = dict(zip(candidates, pool.map(lambda c: ap([c]), candidates), strict=True))
-        left = sorted(candidates, key=lambda c: (-tried[c], c))[:screen]
+        left = sorted(candidates, key=lambda c: (-tried[c], c))
         while left and len(chosen) < most:
             if chosen:
                 tried = dict(zip(left, pool.map(lambda c: ap([*chosen, c]), left), strict=True))
