@@ -18,7 +18,7 @@ from foldspan.operators import stacking as K
 from foldspan.operators.encoders import crossed, quantile_bins
 from foldspan.operators.folds import POISSON_STEPS, stratified_folds
 from foldspan.plans import experiments as P
-from foldspan.plans.lineage import ensure_checkpoint_dir
+from foldspan.plans.lineage import cut, ensure_checkpoint_dir
 from foldspan.sources import store
 from foldspan.sources.store import stored
 
@@ -302,3 +302,16 @@ def q_stored_preds(t):
     make = lambda: t.view(SCORES).select("id", F.col("p1").alias("p"))
     stored(t.spark, path, "base", make, "f1")
     return stored(t.spark, path, "base", make, "f1")
+
+
+@query("S6", f"{S} SELECT 'same split' AS asked, id, p1 AS p, 'f1' AS fingerprint FROM s UNION ALL SELECT 'other split', id, p2, 'f2' FROM s")
+def q_stored_other_split(t):
+    """What is stored is reused for its own split, whatever the new computation, and computed again for another one."""
+    path = f"{ensure_checkpoint_dir(t.spark)}/preds-{uuid.uuid4().hex}"
+    make = lambda p: lambda: t.view(SCORES).select("id", F.col(p).alias("p"))
+    stored(t.spark, path, "base", make("p1"), "f1")
+    # read before the second split overwrites it
+    same = cut(stored(t.spark, path, "base", make("p3"), "f1"))
+    other = stored(t.spark, path, "base", make("p2"), "f2")
+    asked = lambda df, name: df.select(F.lit(name).alias("asked"), "id", "p", "fingerprint")
+    return asked(same, "same split").unionByName(asked(other, "other split"))

@@ -60,7 +60,11 @@ def q_sentence_tense(t):
     return t.documents.select(F.col("doc_id").alias("id"), F.size(T.sentences(F.col("text"), END)).alias("n_sentences"), *[v.alias(k) for k, v in parts.items()])
 
 
-@query("T7")
+#: With the sentences ``s``: those about the future, and unmarked ones after the first of them.
+_CARRIED = f"array_to_string(list_filter(s, lambda x, i: {_any(FUTURE, 'x')} OR (i > coalesce(nullif(list_position(list_transform(s, lambda z: {_any(FUTURE, 'z')}), true), 0), len(s)) AND NOT {_any(CURRENT, 'x')})), ' ')"
+
+
+@query("T7", f"WITH s AS (SELECT doc_id AS id, {_SENT.format('text')} AS s FROM documents) SELECT id, {_CARRIED} AS future_text FROM s")
 def q_future_carried(t):
     return t.documents.select(F.col("doc_id").alias("id"), T.future_carried(F.col("text"), FUTURE, CURRENT, END).alias("future_text"))
 
@@ -75,7 +79,19 @@ def q_keyword_counts(t):
     return t.documents.select(F.col("doc_id").alias("id"), T.count_literals(F.col("text"), WORDS["expand"]).alias("n"), T.has_any(F.col("text"), WORDS["vendor"]).alias("has"))
 
 
-@query("T11")
+_COUNTED = {f"{k}_count": _count(WORDS[k], "text") for k in ("cautious", "expand", "education", "vendor")}
+_COUNTED |= {f"future_{k}_count": _count(WORDS[k], "ahead") for k in ("cautious", "expand", "education")}
+_COUNTED |= {f"edu_{k}_count": _count(WORDS[k], "learn") for k in ("cautious", "expand")}
+_SHARE = "coalesce(CAST({0} AS DOUBLE) / nullif(length(text), 0), 0)"
+
+
+@query("T11", f"""WITH d AS (SELECT doc_id AS id, coalesce(text, '') AS text, {_SENT.format("coalesce(text, '')")} AS s FROM documents),
+p AS (SELECT id, text, {_CARRIED} AS ahead, array_to_string(list_filter(s, lambda x: {_any(WORDS['education'], 'x')}), ' ') AS learn FROM d),
+n AS (SELECT *, {', '.join(f'{v} AS {k}' for k, v in _COUNTED.items())} FROM p)
+SELECT id, {', '.join(_COUNTED)}, {', '.join(f'CAST({k}_count > 0 AS INT) AS has_{k}' for k in ('cautious', 'future_cautious', 'education', 'future_education', 'vendor'))},
+{', '.join(f'CAST({a}_count > 0 AND {b}_count > 0 AS INT) AS {a}_x_{b}' for a, b in (('education', 'expand'), ('education', 'cautious'), ('vendor', 'education')))},
+expand_count - cautious_count AS expand_minus_cautious, future_expand_count - future_cautious_count AS future_expand_minus_cautious,
+{_SHARE.format('length(ahead)')} AS future_text_ratio, {_SHARE.format('length(learn)')} AS education_text_ratio, {_SHARE.format("len(regexp_extract_all(text, '[ァ-ヶー]'))")} AS katakana_ratio FROM n""")
 def q_outlook_block(t):
     docs = t.documents.select(F.col("doc_id").alias("id"), "text")
     return T.outlook_block(docs, "text", WORDS, FUTURE, CURRENT, END).drop("text")
