@@ -147,7 +147,7 @@ def q_error_probability(t):
 @query("J17")
 def q_shuffled_errors(t):
     s = t.view(SCORES).withColumns({"l": (F.col("p1") >= 0.6).cast("int"), "fold": F.col("fold") % 3})
-    return M.shuffled_error_auc(s, "l", ["p1", "p2"], 4, 3)
+    return X.error_replicates(s, "l", ["p1", "p2"], 20, 3)
 
 
 @query("M-K")

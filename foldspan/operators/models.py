@@ -286,11 +286,13 @@ def shuffled_error_auc(df: DataFrame, label: str, features: Sequence[str], repli
 
 
 def ridge_residual(df: DataFrame, residual: str, features: Sequence[str], alpha: float = 10.0, k: int = 3) -> DataFrame:
-    """``(id, guess)``: out-of-fold ridge regression of a signed residual."""
+    """``(id, guess)``: out-of-fold ridge regression of a signed residual: squares plus ``alpha`` times those of the coefficients."""
     parts = []
     for f in range(k):
         a, b = _assembled(df.where(F.col("fold") != f), df.where(F.col("fold") == f), features, (), True)
-        lr = LinearRegression(featuresCol="x", labelCol=residual, regParam=alpha / max(1, a.count()), elasticNetParam=0.0, standardization=False, solver="normal")
+        n, spread = a.agg(F.count("*"), F.stddev_pop(residual)).first()
+        # MLlib divides the penalty by the deviation of the label
+        lr = LinearRegression(featuresCol="x", labelCol=residual, regParam=alpha * float(spread or 0.0) / max(1, n), elasticNetParam=0.0, standardization=False, solver="normal")
         parts.append(lr.fit(a).transform(b).select("id", F.col("prediction").alias("guess")))
     out = parts[0]
     for p in parts[1:]:
