@@ -166,7 +166,9 @@ def fit_languages(train: DataFrame, text: str = "text", lang: str = "lang", per_
 def identified(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
     """``df`` with ``lang_pred`` and ``score``: a learned language and its calibrated probability.
 
-    ``und`` and 0 for a null text, one without a letter, or a model that learned nothing.
+    ``und`` and 0 for a null text, one without a letter, or a model that learned nothing. Texts of any length are read
+    whole. Of languages that are as likely the first by name is taken, so equal texts get equal results, and repeated
+    rows stay. Columns of ``df`` with these two names are replaced. An empty table stays empty.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
 

@@ -160,6 +160,7 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     those of the row's first source by code point. ``taken`` is the row's size times its passes, at most ``most``
     times its size. A null text has size 0 and nothing is taken of it; a null source is a source of its own; the
     order depends on the seed and the id only, so that reruns agree; rows with equal ids go by their size.
+    An empty table has no rows; a table without words has targets of 0 and takes nothing.
     Only sums by pattern and hash bucket reach the driver, never rows.
     """
     spark = df.sparkSession

@@ -166,7 +166,7 @@ def fit_quality(train: DataFrame, id_col: str = "doc_id", text: str = "text", la
 def scored(df: DataFrame, model: QualityModel, text: str = "text", accept: float = ACCEPT) -> DataFrame:
     """``df`` with ``score`` and ``predicted`` (1 from ``accept`` on); a null or empty text has the score of no feature.
 
-    Whole texts of any length; equal texts have equal scores. Columns of ``df`` with these names are replaced. An empty
+    Whole texts of any length; equal texts have equal scores, and a score of just ``accept`` is accepted. Columns of ``df`` with these names are replaced. An empty
     table stays empty.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)

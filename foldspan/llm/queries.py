@@ -22,48 +22,58 @@ from foldspan.session import table
 
 
 def op1_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word and repeat counts of every document, and whether its compression ratios lie inside the bands of its length, fitted on texts labelled good."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     bands = fit_bands(labelled_good(docs, table(spark, sf_dir, "labels")))
     return compression_bands(docs, bands=bands).drop("text")
 
 
 def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page with the stated rule that fits its URL, and the verdict: that of the rule, else of the mined rules."""
     return judged_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that the mix takes of every document, with the size and target of its source."""
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
 def op4_simhash_tries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its fingerprint and the smallest id that it reaches over fingerprints four bits apart or less."""
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
 def op5_contained_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a document and a benchmark item of which it holds 0.8 or more of the shingles."""
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op6_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page, by its host's wrapper; a null page has an empty one."""
     return extract_pages(table(spark, sf_dir, "pages"), url_host(F.col("url")))
 
 
 def op7_shuffled_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its shard and slot, without its text."""
     return shard_digests(table(spark, sf_dir, "documents"))
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of every document; the documents of the held-out quarter teach nothing."""
     docs = table(spark, sf_dir, "documents")
     model = fit_languages(docs.where(~held_out(F.col("doc_id"))))
     return identified(docs.select("doc_id", "text"), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document; labels of the held-out quarter teach nothing."""
     docs = table(spark, sf_dir, "documents")
     model = fit_quality(docs, labels=table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"))))
     return scored(docs.select("doc_id", "text"), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
 def op10_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log10 probability of every document by the class model and by the unigram base; those held out teach nothing."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scores = class_model_scores(docs, ~held_out(F.col("doc_id"), 7))
     return scores.withColumn("held_out", held_out(F.col("doc_id"), 7)).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
