@@ -20,7 +20,11 @@ SHARDS = 8
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts; it learns from the labels of those that are not held out."""
+    """Documents that the quality classifier accepts; it learns from the labels of those that are not held out.
+
+    A null or empty text is scored like any other, on no feature. Repeated rows are decided alike. Without labels of
+    both classes all texts have one score. An empty table stays empty.
+    """
     model = fit_quality(docs, labels=table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"))))
     return scored(docs, model).where("predicted = 1").select(*docs.columns)
 
@@ -31,7 +35,11 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; each row is decided by its own text.
+
+    Null and empty texts hold none and stay, as do all if there are no items. Repeated rows are decided alike. An empty
+    table stays empty.
+    """
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -46,7 +54,11 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their shard and their slot in it."""
+    """All documents with their shard and their slot in it.
+
+    Nulls in any column and empty texts are hashed like other values; rows alike in all columns are interchangeable. An
+    empty table stays empty.
+    """
     return shuffled_shards(docs, SHARDS)
 
 
@@ -57,7 +69,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after another, each written as Parquet in the shared folder and read again."""
+    """The stages one after another, each written as Parquet in the shared folder and read again.
+
+    What a stage leaves out is gone for the next one. Nulls, empty texts, repeated rows and an empty table are taken as
+    each stage says; ids need be neither unique nor there.
+    """
     docs = table(spark, sf_dir, "documents")
     folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
