@@ -152,8 +152,11 @@ def united(lo: np.ndarray, hi: np.ndarray, by: np.ndarray | None = None, slack:
 SEGMENT_ROW = "h bigint, k1 bigint, k2 bigint, start int, bytes binary"
 
 
-def segment_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """The pieces of candidate regions around each of their short anchors; rows have k1, k2, text and ``at`` (first, last)."""
+def segment_rows(batches: Iterator[pa.RecordBatch], length: int, sizes: bool = False) -> Iterator[pa.RecordBatch]:
+    """The pieces of candidate regions around each of their short anchors; rows have k1, k2, text and ``at`` (first, last).
+
+    With ``sizes`` only the anchors and the pieces' bytes.
+    """
     wide, narrow = (length - k for k in grams(length))
     for batch in pieces(batches):
         flat, bounds = flat_bytes(batch.column("text"))
@@ -174,6 +177,9 @@ def segment_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
         same = np.unique(np.stack([region.astype(np.uint64), h], 1), axis=0, return_inverse=True)[1].ravel()
         a, b, one = united(a, b, same)
         region, h = region[one], h[one]
+        if sizes:
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(b - a)], names=["h", "size"])
+            continue
         start = a - edge[region] + lo[region] - bounds[doc[region]]
         cut = [joined[x:y].tobytes() for x, y in zip(a.tolist(), b.tolist(), strict=True)]
         k1, k2 = (batch.column(c).to_numpy()[doc[region]] for c in ("k1", "k2"))
@@ -363,7 +369,7 @@ REMOVED_ROW = "k1 bigint, k2 bigint, a int, b int"
 
 
 def removed_rows(batches: Iterator[pa.RecordBatch], length: int, block: int) -> Iterator[pa.RecordBatch]:
-    """Spans to remove; the segments come sorted by anchor. Whole anchors fill a block; pieces of one text are united first."""
+    """Spans to remove; the segments come sorted by deal. Whole deals fill a block; pieces of one text are united first."""
 
     def told(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(held)
@@ -400,11 +406,11 @@ def removed_rows(batches: Iterator[pa.RecordBatch], length: int, block: int) ->
     for batch in batches:
         if not batch.num_rows:
             continue
-        h = batch.column("h").to_numpy()
+        h = batch.column("deal").to_numpy()
         grown = np.cumsum(pc.binary_length(batch.column("bytes")).to_numpy())
         begun, taken = 0, 0
         changes = np.flatnonzero(h[1:] != h[:-1]) + 1
-        if held and held[-1].column("h")[-1].as_py() != h[0]:
+        if held and held[-1].column("deal")[-1].as_py() != h[0]:
             changes = np.concatenate([[0], changes])
         for c in changes.tolist():
             now = size + int(grown[c - 1] if c else 0) - taken
@@ -435,6 +441,23 @@ def kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), pa.array(removed, pa.int64()), pa.array(n, pa.int64()), pa.array(kept, pa.binary()), pa.array(sha, pa.string())], names=["k1", "k2", "n_removed", "n_spans", "kept", "kept_sha256"])
 
 
+def dealt(candidates: DataFrame, segments: DataFrame, length: int, block: int, path: str) -> DataFrame:
+    """The segments by ``deal``, sorted: those of an anchor are one, those of a crowded one are dealt in pairs of parts.
+
+    An anchor with more than a block of bytes is cut into parts of about a block by a hash of text and place. Any two
+    segments meet where their two parts do, so that no task holds more of an anchor than two parts of it.
+    """
+    sizes = candidates.select("k1", "k2", "text", "at").mapInArrow(lambda it: segment_rows(it, length, True), "h bigint, size bigint")
+    parts = F.ceil(F.sum("size") / block).cast("int")
+    sizes.groupBy(F.col("h").alias("__h")).agg(parts.alias("parts")).where("parts > 1").write.parquet(path)
+    # read again, so that its size is known when the join is planned
+    rows = segments.join(segments.sparkSession.read.parquet(path), F.col("h") == F.col("__h"), "left").drop("__h")
+    own = F.pmod(F.xxhash64("k1", "k2", "start"), F.coalesce("parts", F.lit(1))).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1), lambda j: F.struct(F.least(own, j).alias("lo"), F.greatest(own, j).alias("hi")))
+    rows = rows.withColumn("pair", F.explode(pairs)).withColumn("deal", F.when(F.col("parts").isNull(), F.col("h")).otherwise(F.xxhash64("h", "pair.lo", "pair.hi")))
+    return rows.select("deal", "k1", "k2", "start", "bytes").repartition("deal").sortWithinPartitions("deal", "k1", "k2", "start")
+
+
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, block: int = BLOCK) -> DataFrame:
     """``(id_col, n_bytes, n_removed, n_spans, kept, kept_sha256)`` of every row of ``df``.
 
@@ -471,8 +494,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     candidates = spark.read.parquet(f"{folder}/candidates")
 
     segments = candidates.select("k1", "k2", "text", "at").mapInArrow(lambda it: segment_rows(it, length), SEGMENT_ROW)
-    spans = segments.repartition("h").sortWithinPartitions("h", "k1", "k2", "start").mapInArrow(lambda it: removed_rows(it, length, block), REMOVED_ROW)
-    spans = spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    spans = dealt(candidates, segments, length, block, f"{folder}/crowded").mapInArrow(lambda it: removed_rows(it, length, block), REMOVED_ROW)
+    spans = spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "b")).alias("spans"))  # of one text, which unites them
     less = candidates.where("copies = 1").select("k1", "k2", "text").join(spans.hint("shuffle_hash"), ["k1", "k2"])
     less = less.mapInArrow(kept_rows, "k1 bigint, k2 bigint, n_removed bigint, n_spans bigint, kept binary, kept_sha256 string")
     nothing = F.lit(b"")
