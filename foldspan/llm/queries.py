@@ -186,4 +186,18 @@ SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, f AS folded_r
 FROM {_fold(_fold('asked', 't', 5, 'rank'), 'g', 3, 'g')} z CROSS JOIN root
 """
 
-ORACLE_SQL = {"op3_mixing": MIXING_SQL, "op5_contained_items": CONTAINED_SQL, "op12_merkle": MERKLE_SQL}
+#: Hex digits of the bytes; each text is cut into stretches of 400 starts, so that taking a string out of it is short work.
+RUNS_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, '')) AS n FROM documents),
+c AS (SELECT r, n, j, substr(x, 800 * j + 1, 1598) AS c FROM (SELECT r, n, x, unnest(range(0, (n - 400) // 400 + 1)) AS j FROM d WHERE n >= 400)),
+s AS (SELECT r, 400 * j + k AS i, md5(substr(c, 2 * k + 1, 800)) AS m FROM (SELECT *, unnest(range(0, least(400, n - 399 - 400 * j))) AS k FROM c)),
+hit AS (SELECT r, i FROM s JOIN (SELECT m FROM s GROUP BY m HAVING count(*) > 1) USING (m)),
+g AS (SELECT r, i, sum(CASE WHEN i <= before + 400 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS k FROM (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM hit)),
+spans AS (SELECT r, min(i) AS a, max(i) + 400 AS b FROM g GROUP BY r, k),
+p AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS since FROM spans),
+kept AS (SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(x[2 * since + 1:2 * a], '' ORDER BY a) || any_value(x)[2 * max(b) + 1:] AS y FROM p JOIN d USING (r) GROUP BY r)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(y, x))) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
+ORACLE_SQL = {"op3_mixing": MIXING_SQL, "op5_contained_items": CONTAINED_SQL, "op11_run_index": RUNS_SQL, "op12_merkle": MERKLE_SQL}
