@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from foldspan.operators import ranks
 
@@ -47,3 +48,15 @@ def test_prefix_sums_are_those_of_one_pass(spark, ranges, descending):
             total += groups[g, v]
             want[g, v] = total
     assert {(r["g"], r["v"]): r["cum_n"] for r in ranks.prefix_sums(df, ["g"], "v", ["n"], descending).collect()} == want
+
+
+def test_groups_are_made_once_for_ranges_and_sums(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(x):
+        seen.add(1)
+        return x
+
+    groups = spark.range(200).repartition(2).select((F.col("id") * 1.0).alias("p"), F.udf(told, "bigint")("id").alias("n"))
+    assert ranks.prefix_sums(groups, [], "p", ["n"]).agg(F.max("cum_n")).first()[0] == 199 * 100
+    assert seen.value == 200
