@@ -108,11 +108,13 @@ POISSON_STEPS = tuple(sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)
 
 def poisson_weights(df: DataFrame, id_col: str, replicates: int, seed: int = 0) -> DataFrame:
     """``df`` for every replicate with ``w``: a Poisson(1) number from a hash of replicate and id; rows of weight 0 go."""
-    u = hash_unit(F.lit(f"boot{seed}"), F.col("rep"), F.col(id_col))
+    u = lambda rep: hash_unit(F.lit(f"boot{seed}"), rep, F.col(id_col))
+    # the hash is made inside the generator: a condition on what it gives cannot be moved below, to be computed again
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), lambda rep: F.struct(rep.alias("rep"), u(rep).alias("u")))
     w = F.lit(0)
     for step in POISSON_STEPS:
-        w = w + (u >= step).cast("int")
-    return df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("w", w).where("w > 0")
+        w = w + (F.col("__x.u") >= step).cast("int")
+    return df.withColumn("__x", F.explode(drawn)).where(F.col("__x.u") >= POISSON_STEPS[0]).withColumns({"rep": F.col("__x.rep"), "w": w}).drop("__x")
 
 
 def permuted_labels(df: DataFrame, id_col: str, y: str, replicates: int, seed: int = 0) -> DataFrame:
