@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldspan.llm.textops import SPACE, coded, mix64, segment_sums, split_words
+from foldspan.operators.ranks import exact_percentiles
+from foldspan.plans.lineage import cut
 
 #: (bytes from, lowest ratio, highest ratio) where nothing was learned; short texts compress less, as headers and first uses weigh more.
 BANDS = ((0, 0.0, 2.0), (64, 0.6, 2.0), (128, 0.9, 2.4), (512, 1.2, 2.8), (2048, 1.4, 3.2), (8192, 1.5, 3.6), (65536, 1.5, 4.5))
@@ -27,8 +29,6 @@ CHUNK_BYTES, LEVEL, WINDOW = 4096, 3, 5
 #: Bands of each doubling of the length, the share of good texts outside learned limits on each side, how far beyond
 #: those the limits are set, and the good texts that a band must have.
 OCTAVE, TAIL, MARGIN, FEWEST = 2, 0.005, 0.02, 40
-#: Good texts that the limits are learned from, about: those with the smallest hashes of their ids.
-SAMPLE = 20_000
 SYMBOLS = "#*$%&|<>"
 FIELDS = (
     "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_bytes bigint, "
@@ -99,17 +99,22 @@ def _sizes_and_ratios(text: pa.Array, chunk: int, level: int) -> pa.Array:
     return pa.array(out, pa.list_(pa.struct([("size", pa.int64()), ("ratio", pa.float64())])))
 
 
-def fit_bands(good: DataFrame, text_col: str = "text", stated: Sequence[tuple] = BANDS, chunk: int = CHUNK_BYTES, level: int = LEVEL) -> list[tuple[int, float, float]]:
+def fit_bands(good: DataFrame, text_col: str = "text", stated: Sequence[tuple] = BANDS, chunk: int = CHUNK_BYTES, level: int = LEVEL, labels: DataFrame | None = None, id_col: str = "doc_id", label: str = "quality") -> list[tuple[int, float, float]]:
     """Limits by length from texts that are known to be good, in the form of ``BANDS``.
 
     Wholes and chunks of one length share a band, as they share its limits. The limits are the outer percentiles of
     the band's ratios, set wider by a margin; where a band has too few texts the stated limits of its length hold. The
-    percentiles are partial aggregates, so that only one row a band reaches the driver.
+    percentiles are exact and of all texts; only one row a band reaches the driver. With ``labels`` all texts are
+    measured, and the figures of those labelled 1 are kept: figures meet labels, so that no text is shuffled.
     """
-    parts = good.select(F.explode(F.arrow_udf(lambda t: _sizes_and_ratios(t, chunk, level), "array<struct<size:bigint,ratio:double>>")(F.col(text_col).cast("string"))).alias("p")).select("p.*")
-    band = F.floor(OCTAVE * F.log2("size")).cast("int")
-    quantiles = F.percentile_approx("ratio", [TAIL, 1 - TAIL], 100_000)
-    learned = {r["band"]: r["q"] for r in parts.groupBy(band.alias("band")).agg(F.count("*").alias("n"), quantiles.alias("q")).where(F.col("n") >= FEWEST).collect()}
+    measured = F.arrow_udf(lambda t: _sizes_and_ratios(t, chunk, level), "array<struct<size:bigint,ratio:double>>")(F.col(text_col).cast("string"))
+    if labels is None:
+        parts = good.select(measured.alias("parts"))
+    else:
+        parts = good.select(F.col(id_col).alias("__id"), measured.alias("parts")).join(_good_ids(labels, id_col, label), F.col("__id") == F.col("__good"))
+    parts = cut(parts.select(F.explode("parts").alias("p")).select(F.floor(OCTAVE * F.log2("p.size")).cast("int").alias("band"), "p.ratio"))
+    enough = parts.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") >= FEWEST)
+    learned = {r["band"]: r["q"] for r in exact_percentiles(parts, ["band"], "ratio", [TAIL, 1 - TAIL], "q").join(enough, "band").collect()}
     starts = {int(np.ceil(2 ** (b / OCTAVE))): q for b, q in learned.items()}
     ends = {int(np.ceil(2 ** ((b + 1) / OCTAVE))) for b in learned}
     floors = sorted({b[0] for b in stated} | set(starts) | ends)
@@ -121,16 +126,17 @@ def fit_bands(good: DataFrame, text_col: str = "text", stated: Sequence[tuple] =
     return out
 
 
-def labelled_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", sample: int = SAMPLE) -> DataFrame:
-    """The texts of ``docs`` whose label is 1, at most about ``sample`` of them, those with the smallest hashes of their ids.
+def _good_ids(labels: DataFrame, id_col: str, label: str) -> DataFrame:
+    """``__good``: each id that is labelled 1, once; null ids and labels teach nothing."""
+    return labels.where(F.col(label) == 1).select(F.col(id_col).alias("__good")).where("__good is not null").distinct()
 
-    The ids, of which there are as many, come to the texts by a broadcast. Null ids and labels teach nothing.
-    """
-    good = labels.where(F.col(label) == 1).select(F.col(id_col).alias("__good")).where("__good is not null").distinct()
-    n = good.count()
-    if n > sample:
+
+def labelled_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", sample: int | None = None) -> DataFrame:
+    """The texts of ``docs`` whose label is 1; with ``sample`` at most about so many, those with the smallest hashes of their ids."""
+    good = _good_ids(labels, id_col, label)
+    if sample is not None and (n := good.count()) > sample:
         good = good.where(F.pmod(F.xxhash64("__good"), F.lit(1 << 40)) < int(sample / n * (1 << 40)))
-    return docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(good), F.col("__id") == F.col("__good"), "left_semi").select("text")
+    return docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(good, F.col("__id") == F.col("__good"), "left_semi").select("text")
 
 
 def compression_bands(df: DataFrame, text_col: str = "text", bands: Sequence[tuple] = BANDS, chunk: int = CHUNK_BYTES, level: int = LEVEL) -> DataFrame:

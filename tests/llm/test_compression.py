@@ -98,3 +98,26 @@ def test_learned_limits(spark):
     got = compression_bands(docs, bands=bands).where("doc_id is not null").collect()
     assert sum(r["kept"] for r in got if r["doc_id"] < 300) >= 297
     assert sum(r["kept"] for r in got if r["doc_id"] >= 300) < sum(r["kept"] for r in compression_bands(docs).where("doc_id >= 300").collect())
+
+
+def test_limits_come_from_all_good_texts(spark):
+    rng = random.Random(6)
+    texts = [words_of(rng, 400) for _ in range(120)]
+    docs = spark.createDataFrame([(i % 100, t) for i, t in enumerate(texts)] + [(None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 70)) for i in range(100)] + [(5, 1), (None, 1)], "doc_id long, quality int")
+    good = labelled_good(docs, labels)
+    assert good.count() == 90  # ids 0 to 69, of which 0 to 19 twice
+    assert fit_bands(docs, labels=labels) == fit_bands(good) != [tuple(b) for b in BANDS]
+    bands = [x[1:] for x in fit_bands(docs, labels=labels)]
+    for raw in (t.encode() for i, t in enumerate(texts) if i % 100 < 70):
+        assert any(lo <= ratio(raw) <= hi for lo, hi in bands)
+
+
+def test_the_query_samples_no_labels(spark, sf_dir, monkeypatch):
+    from foldspan.llm import queries as q
+
+    seen = []
+    fit = q.fit_bands
+    monkeypatch.setattr(q, "fit_bands", lambda *a, **k: (seen.append((a[0].count(), k["labels"].count())), fit(*a, **k))[1])
+    n = q.op1_compression_bands(spark, sf_dir).count()
+    assert seen == [(n, spark.read.parquet(f"{sf_dir}/labels.parquet").count())]
