@@ -66,15 +66,17 @@ def row_mean(cols: Sequence[str]) -> Column:
 
 def row_shape(cols: Sequence[str], middle: float = 3) -> dict[str, Column]:
     """Sample deviation, range, number of middle answers, distance from the middle."""
-    values = F.filter(F.array(*[num(c) for c in cols]), lambda x: x.isNotNull())
-    total = lambda f: F.aggregate(values, F.lit(0.0), lambda a, x: a + f(x))
-    mean = F.try_divide(total(lambda x: x), F.size(values))
-    spread = F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
+    # sums of columns, not of arrays: compiled, and the mean is made once a row
+    values = [num(c) for c in cols]
+    total = lambda parts: sum((F.coalesce(p, F.lit(0.0)) for p in parts), start=F.lit(0.0))
+    size = sum((v.isNotNull().cast("int") for v in values), start=F.lit(0))
+    mean = F.try_divide(total(values), size)
+    spread = total((v - mean) * (v - mean) for v in values)
     return {
-        "row_sd": F.sqrt(F.try_divide(spread, F.when(F.size(values) > 1, F.size(values) - 1))),
-        "row_range": F.array_max(values) - F.array_min(values),
-        "row_middle": F.size(F.filter(values, lambda x: x == middle)).cast("double"),
-        "row_off_middle": total(lambda x: F.abs(x - middle)),
+        "row_sd": F.sqrt(F.try_divide(spread, F.when(size > 1, size - 1))),
+        "row_range": F.greatest(*values) - F.least(*values) if len(values) > 1 else values[0] - values[0],
+        "row_middle": total((v == middle).cast("double") for v in values),
+        "row_off_middle": total(F.abs(v - middle) for v in values),
     }
 
 
