@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -193,6 +193,19 @@ def word_char_ngrams(c: Column, low: int, high: int) -> Column:
     return F.flatten(F.transform(words, lambda w: char_ngrams(F.concat(F.lit(" "), w, F.lit(" ")), low, high)))
 
 
+def term_table(df: DataFrame, id_col: str, col: str, terms: Callable[[Column], Column]) -> DataFrame:
+    """``(term, n, df)``: how often a term occurs, and the number of ids, nulls aside, that have it.
+
+    An id's texts come together first, and its terms count where they are: only terms are aggregated, not pairs of term
+    and id.
+    """
+    rows = df.groupBy(id_col).agg(F.collect_list(F.coalesce(col, F.lit(""))).alias("__t"))
+    rows = rows.select(F.col(id_col).isNotNull().cast("long").alias("__one"), F.flatten(F.transform("__t", terms)).alias("__t"))
+    each = lambda values, n, ids: F.transform(values, lambda x: F.struct(x.alias("term"), n.alias("n"), ids.alias("df")))
+    long = rows.select(F.explode(F.concat(each(F.col("__t"), F.lit(1).cast("long"), F.lit(0).cast("long")), each(F.array_distinct("__t"), F.lit(0).cast("long"), F.col("__one")))).alias("x"))
+    return long.groupBy("x.term").agg(F.sum("x.n").alias("n"), F.sum("x.df").alias("df"))
+
+
 def word_ngrams(c: Column, low: int = 1, high: int = 2, pattern: str = r"([\p{L}\p{N}]{2,})") -> Column:
     words = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(pattern), F.lit(1))
 
