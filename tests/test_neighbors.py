@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,3 +87,16 @@ def test_the_plan_takes_no_vector_to_the_driver(spark):
     import inspect
 
     assert "toLocalIterator" not in inspect.getsource(N) and "broadcast" not in inspect.getsource(N)
+
+
+def test_a_pair_of_blocks_has_few_distances_in_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    side = lambda n: pa.table({"id": np.arange(n), "vec": pa.array(list(rng.normal(size=(n, 8)))), "y": np.zeros(n), "cb": pa.array(np.zeros(n, np.int32))})
+    q, c = side(2048), side(4096)
+    tracemalloc.start()
+    found = N._best_of(3, "cb")(q, c)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.num_rows == 2048 and peak < 64 << 20
