@@ -179,15 +179,20 @@ def greedy_ensemble(preds: DataFrame, labels: DataFrame, base: str, rounds: int
     Every round scores all candidates by one job, the candidate being part of the key.
     """
     models = sorted(r[0] for r in preds.select("model").distinct().collect())
-    rows = cut(preds.join(labels, "id").select("seed", "model", "id", "y", "p"))
+    # a row has all its models' scores, so that no round shuffles or joins rows
+    each = [F.collect_list(F.when(F.col("model") == m, F.struct("p"))).alias(f"__{i}") for i, m in enumerate(models)]
+    wide = cut(preds.join(labels.select("id", "y"), "id").groupBy("id", "seed", "y").agg(*each))
+    one = lambda m: F.transform(f"__{models.index(m)}", lambda x: F.struct(F.lit(m).alias("model"), x["p"].alias("p")))
+    rows = wide.select("seed", "y", F.explode(F.concat(*map(one, models))).alias("x")).select("seed", "y", "x.*")
     mean = lambda d, keys: auc_ap(d, keys).join(best_threshold(f1_curve(d, keys), keys), keys)
     base_ap, base_f1 = mean(rows.where(F.col("model") == base), ["seed"]).agg(F.avg("ap"), F.avg("best_f1")).first()
     bag: list[str] = []
     good: list[tuple[float, int]] = []
     for n in range(1, rounds + 1):
-        held = F.create_map(*[F.lit(x) for m in models for x in (m, bag.count(m))])[F.col("model")]
-        now = rows.groupBy("seed", "id").agg(F.sum(held * F.col("p")).alias("held"))
-        tried = rows.join(now, ["seed", "id"]).withColumn("p", (F.col("held") + F.col("p")) / float(n))
+        times = lambda c: lambda x: c * x["p"]
+        parts = [F.transform(f"__{i}", times(float(bag.count(m)))) for i, m in enumerate(models)]
+        held = F.aggregate(F.filter(F.concat(*parts), lambda x: x.isNotNull()), F.lit(0.0), lambda a, x: a + x)
+        tried = wide.select("seed", "y", held.alias("held"), F.explode(F.concat(*map(one, models))).alias("x")).select("seed", "y", "x.model", ((F.col("held") + F.col("x.p")) / float(n)).alias("p"))
         table = mean(tried.select("seed", "model", "y", "p"), ["model", "seed"]).groupBy("model").agg(F.avg("ap").alias("ap"), F.avg("best_f1").alias("f1")).collect()
         best = min(table, key=lambda r: (-round(r["ap"], 14), r["model"]))
         bag.append(best["model"])

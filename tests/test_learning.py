@@ -122,3 +122,13 @@ def test_monitor_of_a_stream(spark, tmp_path):
     q.awaitTermination(60)
     got = sorted(map(tuple, spark.table("confusion").collect()))
     assert got == sorted(map(tuple, windowed_confusion(rows, "ts", "y", "p", 0.5).collect())) and sum(r[2] for r in got) == 40
+
+
+def test_rounds_of_the_ensemble_join_nothing(spark, monkeypatch):
+    rows = [(0, i, m, (i * k % 7) / 7 + i / 40) for i in range(20) for m, k in (("a", 3), ("b", 5)) if (i, m) != (4, "b")]
+    preds = spark.createDataFrame(rows, "seed int, id long, model string, p double")
+    labels = spark.createDataFrame([(i, int(i > 9)) for i in range(20)], "id long, y int")
+    plans, auc_ap = [], B.auc_ap
+    monkeypatch.setattr(B, "auc_ap", lambda d, keys: (plans.append(d._jdf.queryExecution().optimizedPlan().toString()), auc_ap(d, keys))[1])
+    assert set(B.greedy_ensemble(preds, labels, "a", 2)) <= {"a", "b"}
+    assert len(plans) == 3 and not any("Join" in p for p in plans)
