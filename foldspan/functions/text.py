@@ -207,16 +207,16 @@ def term_table(df: DataFrame, id_col: str, col: str, terms: Callable[[Column], C
 
 
 def word_ngrams(c: Column, low: int = 1, high: int = 2, pattern: str = r"([\p{L}\p{N}]{2,})") -> Column:
-    words = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(pattern), F.lit(1))
+    found = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(pattern), F.lit(1))
 
-    def some(n: int) -> Column:
-        # shifted lists side by side, so that the words of a text are found once for each shift
+    def some(words: Column, n: int) -> Column:
         out = words
         for k in range(1, n):
             out = F.zip_with(out, F.slice(words, k + 1, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
         return F.filter(out, lambda x: x.isNotNull())
 
-    return F.concat(*[some(n) for n in range(low, high + 1)])
+    # the words are the argument of a function, so that they are found once for all shifts
+    return F.flatten(F.transform(F.array(found), lambda words: F.concat(*[some(words, n) for n in range(low, high + 1)])))
 
 
 def clipped(c: Column, width: int, tail: bool = False) -> Column:

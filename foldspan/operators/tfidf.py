@@ -7,16 +7,18 @@ from collections.abc import Iterator, Mapping
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from foldspan.operators.folds import class_positions
+from foldspan.plans.lineage import cut
 
 
 def term_counts(df: DataFrame, id_col: str, terms: Column) -> DataFrame:
-    """``(id, term, tf)``."""
-    return df.select(F.col(id_col).alias("id"), F.explode(terms).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    """``(id, term, tf)``. Texts are dealt by id before they become terms, so that terms are counted where they are."""
+    rows = df.repartition(F.col(id_col))
+    return rows.select(F.col(id_col).alias("id"), F.explode(terms).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
 def fields_counts(df: DataFrame, id_col: str, fields: Mapping[str, Column]) -> DataFrame:
@@ -36,15 +38,18 @@ def vocabulary(counts: DataFrame, n_docs: DataFrame, min_df: int = 1, max_share:
 def weights(counts: DataFrame, vocab: DataFrame, sublinear: bool = True) -> DataFrame:
     """``(id, term, weight)``: unit rows of (1 + ln tf) idf. Terms that the vocabulary lacks are left out."""
     tf = 1 + F.log(F.col("tf").cast("double")) if sublinear else F.col("tf").cast("double")
-    raw = counts.join(vocab.select("term", "idf"), "term").withColumn("w", tf * F.col("idf"))
-    norm = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, "id").select("id", "term", (F.col("w") / F.col("norm")).alias("weight"))
+    raw = counts.join(vocab.select("term", "idf"), "term").select("id", "term", (tf * F.col("idf")).alias("w"))
+    # a window reads the cells once; sums per id joined to them would make them twice
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
+    return raw.select("id", "term", (F.col("w") / norm).alias("weight")).where("id is not null")
 
 
 def tfidf(train: DataFrame, other: DataFrame, id_col: str, terms: Column, min_df: int = 1, max_share: float = 1.0, sublinear: bool = True) -> DataFrame:
     """Weights of the rows of ``other`` by the vocabulary of ``train``."""
     n = train.agg(F.count("*").cast("double").alias("n"))
-    return weights(term_counts(other, id_col, terms), vocabulary(term_counts(train, id_col, terms), n, min_df, max_share), sublinear)
+    counts = cut(term_counts(other, id_col, terms))
+    learned = counts if train is other else term_counts(train, id_col, terms)
+    return weights(counts, vocabulary(learned, n, min_df, max_share), sublinear)
 
 
 def vector_struct(size: int, offsets: np.ndarray, indices: np.ndarray, values: np.ndarray) -> pa.StructArray:

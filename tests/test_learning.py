@@ -132,3 +132,17 @@ def test_rounds_of_the_ensemble_join_nothing(spark, monkeypatch):
     monkeypatch.setattr(B, "auc_ap", lambda d, keys: (plans.append(d._jdf.queryExecution().optimizedPlan().toString()), auc_ap(d, keys))[1])
     assert set(B.greedy_ensemble(preds, labels, "a", 2)) <= {"a", "b"}
     assert len(plans) == 3 and not any("Join" in p for p in plans)
+
+
+def test_words_are_found_once_and_cells_are_weighed_once(spark):
+    from foldspan.functions.text import word_ngrams
+    from foldspan.operators.tfidf import tfidf
+
+    df = spark.createDataFrame([(1, "Aa bb aa"), (2, "bb"), (3, None), (1, "cc")], "id long, text string")
+    terms = df.select("id", word_ngrams(F.col("text"), 1, 2).alias("t"))
+    assert terms._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    assert [r["t"] for r in terms.collect()] == [["aa", "bb", "aa", "aa bb", "bb aa"], ["bb"], [], ["cc"]]
+    w = tfidf(df, df, "id", word_ngrams(F.col("text"), 1, 2))
+    assert w._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 2  # the vocabulary and the number of rows
+    norms = w.groupBy("id").agg(F.sum(F.col("weight") * F.col("weight")).alias("n")).collect()
+    assert {r["id"]: round(r["n"], 9) for r in norms} == {1: 1.0, 2: 1.0}
