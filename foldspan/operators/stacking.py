@@ -3,7 +3,8 @@
 A plan deals the rows into groups; each group is scored by a model of the others, and rows without a group by a model of
 all that have one. Rows and documents of a term are counted once by (plan, group). What a training set has is the plan's
 total less its left-out group, so neither texts nor terms are read again for a fold. Vectors of all models share one
-numbering of the terms and are built in Arrow batches.
+numbering of the terms and are built in Arrow batches. Cells have a term's number and count; idf comes from an array for
+each model.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
@@ -28,6 +30,10 @@ from foldspan.operators.tfidf import list_bounds, numbered, term_counts, vector_
 from foldspan.plans.lineage import cut
 
 
+#: Terms of all models that are fitted at the same time: the driver holds about 300 bytes for each.
+WIDTH = 1 << 21
+
+
 @dataclass(frozen=True)
 class TextSetting:
     """How a text becomes terms, which of them count, and the inverse penalty of their logistic regression."""
@@ -51,35 +57,46 @@ class Plan:
         return [*range(self.groups), *([None] if self.rest else [])]
 
 
-def _fold_vectors(rows: DataFrame, job: int, size: int) -> DataFrame:
+def _fold_vectors(rows: DataFrame, idf: Broadcast) -> DataFrame:
     """``(id, y, features)`` with the weights of one training set: (1 + ln tf) idf of its vocabulary, in unit rows."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("cells")
-            flat = lists.flatten()
-            k, tf, idf = (pc.struct_field(flat, i).to_numpy(zero_copy_only=False) for i in range(3))
-            row = np.repeat(np.arange(batch.num_rows), np.diff(list_bounds(lists)))
-            known = ~np.isnan(idf)
-            k, row, v = k[known], row[known], (1 + np.log(tf[known])) * idf[known]
+            k, tf = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("k", "tf"))
+            row, w = np.repeat(np.arange(batch.num_rows), np.diff(list_bounds(batch.column("k")))), idf.value[k]
+            known = ~np.isnan(w)
+            k, row, v = k[known], row[known], (1 + np.log(tf[known])) * w[known]
             norm = np.sqrt(np.bincount(row, v * v, minlength=batch.num_rows))
             bounds = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=batch.num_rows))])
-            features = vector_struct(size, bounds, k, v / norm[row] if len(v) else v)
+            features = vector_struct(len(idf.value), bounds, k, v / norm[row] if len(v) else v)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), features], names=["id", "y", "features"])
 
-    one = F.transform("cells", lambda c: F.struct(c["k"].alias("k"), c["tf"].alias("tf"), F.coalesce(c["idf"][job], F.lit(float("nan"))).alias("idf")))
-    narrow = rows.select("id", F.col("y").cast("double").alias("y"), one.alias("cells"))
+    narrow = rows.select("id", F.col("y").cast("double").alias("y"), "k", "tf")
     return narrow.mapInArrow(build, StructType([narrow.schema["id"], narrow.schema["y"], StructField("features", VectorUDT())]))
 
 
-def complement_scores(df: DataFrame, series: Mapping[str, TextSetting], plans: Sequence[Plan], threads: int = 8) -> DataFrame:
+def _job_idf(vocab: DataFrame, at: int, size: int) -> Broadcast:
+    """The idf of a job's vocabulary by the number of the term, NaN where it lacks the term: as long as its model."""
+    known = vocab.select("k", F.col("idf")[at].alias("w")).where("w is not null").toArrow()
+    idf = np.full(size, np.nan)
+    idf[known["k"].to_numpy()] = known["w"].to_numpy()
+    return vocab.sparkSession.sparkContext.broadcast(idf)
+
+
+def complement_scores(df: DataFrame, series: Mapping[str, TextSetting], plans: Sequence[Plan], threads: int = 8, width: int = WIDTH) -> DataFrame:
     """``(series, plan, job, id, p)``: every plan's groups (job: their number; null for rows without one) scored by the other rows.
 
     ``df`` has id, y and what the settings and groups read; ids are unique. A text without a term of the vocabulary, a
-    null one too, is scored on zeros. A training set without both labels gives the share of ones it has.
+    null one too, is scored on zeros. A training set without both labels gives the share of ones it has. Models are
+    fitted from as many threads as their vocabularies leave in ``width`` terms, over one partition a core, as each
+    partition sends a gradient of the vocabulary for each step; their scores are kept, not they.
     """
-    df = cut(df)
+    # a number for the row's groups in all plans, which goes along with its terms
+    bases = [int(np.prod([q.groups + 1 for q in plans[:i]])) for i in range(len(plans))]
+    place = lambda p: F.when(p.group.cast("int").between(0, p.groups - 1), p.group.cast("int")).otherwise(p.groups)
+    df = cut(df.withColumn("__at", sum((place(p).cast("bigint") * b for p, b in zip(plans, bases, strict=True)), start=F.lit(0).cast("bigint"))))
     keys = cut(df.select("id", "y", F.array(*[p.group.cast("int") for p in plans]).alias("groups")))
+    cores = df.sparkSession.sparkContext.defaultParallelism
     jobs = [(i, p, g) for i, p in enumerate(plans) for g in p.jobs()]
     inside = lambda i, g: F.coalesce(F.col("groups")[i] == g, F.lit(False))
     has = lambda i: F.col("groups")[i].isNotNull()
@@ -91,33 +108,40 @@ def complement_scores(df: DataFrame, series: Mapping[str, TextSetting], plans: S
         """What a training set has: all groups of the plan but the one left out."""
         return sum((name(i, h) for h in range(p.groups) if h != g), start=name(i, 0) * 0)
 
-    def weigh(setting: TextSetting) -> tuple[DataFrame, int]:
-        counts = cut(term_counts(df, "id", setting.terms))
-        docs = counts.join(keys.select("id", "groups"), "id").groupBy("term").agg(*counted)
+    def weigh(setting: TextSetting) -> tuple[DataFrame, DataFrame, int]:
+        counts = cut(term_counts(df, "id", setting.terms, ["__at"]))
+        docs = counts.groupBy("term").agg(*[F.count_if(F.floor(F.col("__at") / bases[i]) % (plans[i].groups + 1) == g).alias(f"c{i}_{g}") for i, g in cells])
         idf = []
         for i, p, g in jobs:
             n, d = float(left(lambda i, h: sizes[f"c{i}_{h}"], i, p, g)), left(lambda i, h: F.col(f"c{i}_{h}"), i, p, g)
             idf.append(F.when((d >= setting.min_df) & (d <= setting.max_share * n), F.log((1.0 + n) / (1.0 + d)) + 1))
         vocab = cut(numbered(docs.select("term", F.array(*idf).alias("idf")).where(F.exists("idf", lambda x: x.isNotNull()))))
-        of_row = counts.join(vocab, "term").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("k", F.col("tf").cast("double").alias("tf"), "idf"))).alias("cells"))
-        rows = keys.join(of_row, "id", "left").withColumn("cells", F.coalesce("cells", F.array().cast(of_row.schema["cells"].dataType)))
-        return cut(rows), max(1, vocab.count())
+        numbers = counts.select("id", "term", F.col("tf").cast("int").alias("tf")).join(vocab.select("term", "k"), "term")
+        of_row = numbers.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("k", "tf"))).alias("cells"))
+        none = F.array().cast("array<int>")
+        rows = keys.join(of_row, "id", "left").select("id", "y", "groups", *[F.coalesce(F.col("cells")[c], none).alias(c) for c in ("k", "tf")])
+        return cut(rows), vocab, max(1, vocab.count())
 
     with ThreadPoolExecutor(threads) as pool:
         ready = dict(zip(series, pool.map(weigh, series.values()), strict=True))
 
-        def fit(job) -> DataFrame:
-            name, (at, (i, p, g)) = job
-            rows, size = ready[name]
-            scored = rows.where(~has(i) if g is None else inside(i, g))
-            n, ones = (left(lambda i, h, x=x: sizes[f"{x}{i}_{h}"], i, p, g) for x in "cy")
-            shape = [F.lit(name).alias("series"), F.lit(p.name).alias("plan"), F.lit(g).cast("int").alias("job"), "id"]
-            if not 0 < ones < n:
-                return scored.select(*shape, F.lit(ones / n if n else 0.0).alias("p"))
-            train = _fold_vectors(rows.where(has(i) & ~inside(i, g) if g is not None else has(i)), at, size)
-            lr = LogisticRegression(labelCol="y", regParam=1.0 / (series[name].c * n), standardization=False, maxIter=50)
-            return lr.fit(train).transform(_fold_vectors(scored, at, size)).select(*shape, vector_to_array("probability")[1].alias("p"))
-
+    def fit(job) -> DataFrame:
+        name, (at, (i, p, g)) = job
+        rows, vocab, size = ready[name]
+        scored = rows.where(~has(i) if g is None else inside(i, g))
+        n, ones = (left(lambda i, h, x=x: sizes[f"{x}{i}_{h}"], i, p, g) for x in "cy")
+        shape = [F.lit(name).alias("series"), F.lit(p.name).alias("plan"), F.lit(g).cast("int").alias("job"), "id"]
+        if not 0 < ones < n:
+            return scored.select(*shape, F.lit(ones / n if n else 0.0).alias("p"))
+        idf = _job_idf(vocab, at, size)
+        train = _fold_vectors(rows.where(has(i) & ~inside(i, g) if g is not None else has(i)).coalesce(cores), idf)
+        lr = LogisticRegression(labelCol="y", regParam=1.0 / (series[name].c * n), standardization=False, maxIter=50)
+        out = cut(lr.fit(train).transform(_fold_vectors(scored, idf)).select(*shape, vector_to_array("probability")[1].alias("p")))
+        idf.unpersist()
+        return out
+
+    together = max(1, min(threads, width // max(size for _, _, size in ready.values())))
+    with ThreadPoolExecutor(together) as pool:
         parts = list(pool.map(fit, [(name, j) for name in series for j in enumerate(jobs)]))
     out = parts[0]
     for part in parts[1:]:

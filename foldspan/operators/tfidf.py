@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -15,10 +15,10 @@ from foldspan.operators.folds import class_positions
 from foldspan.plans.lineage import cut
 
 
-def term_counts(df: DataFrame, id_col: str, terms: Column) -> DataFrame:
-    """``(id, term, tf)``. Texts are dealt by id before they become terms, so that terms are counted where they are."""
+def term_counts(df: DataFrame, id_col: str, terms: Column, keep: Sequence[str] = ()) -> DataFrame:
+    """``(id, <keep>..., term, tf)``. Texts are dealt by id before they become terms, so that terms are counted where they are."""
     rows = df.repartition(F.col(id_col))
-    return rows.select(F.col(id_col).alias("id"), F.explode(terms).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    return rows.select(F.col(id_col).alias("id"), *keep, F.explode(terms).alias("term")).groupBy("id", *keep, "term").agg(F.count("*").alias("tf"))
 
 
 def fields_counts(df: DataFrame, id_col: str, fields: Mapping[str, Column]) -> DataFrame:

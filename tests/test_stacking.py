@@ -84,3 +84,29 @@ def test_singular_values_agree_with_numpy(spark):
     assert np.allclose(np.abs(got), np.abs(u[:, :4] * want[:4]), atol=1e-6) and not got[90:].any()
     none, s = D.singular_rows(ids, cells.where("false"), 2)
     assert none.count() == 92 and len(s) == 0
+
+
+def test_fits_use_a_partition_a_core_and_as_many_threads_as_the_vocabulary_leaves(spark, monkeypatch):
+    running, most, parts, plain = [], [], [], K.LogisticRegression.fit
+
+    def fit(self, train):
+        running.append(1)
+        most.append(len(running))
+        parts.append(train.rdd.getNumPartitions())
+        try:
+            return plain(self, train)
+        finally:
+            running.pop()
+
+    monkeypatch.setattr(K.LogisticRegression, "fit", fit)
+    terms = word_ngrams(F.coalesce(F.col("text"), F.lit("")), 1, 1)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "12")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        out = K.complement_scores(docs(spark), {"a": K.TextSetting(terms)}, [K.Plan("p", F.col("fold"), 3)], width=20)
+        assert out.count() == 90 and len(parts) == 3
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert max(parts) <= spark.sparkContext.defaultParallelism and max(most) == 1
