@@ -25,6 +25,9 @@ from foldspan.plans.lineage import cut
 
 Expert = Callable[[DataFrame, DataFrame], DataFrame]
 
+#: Partitions of rows that a long fit reads; a fixed number, as MLlib's sampled thresholds depend on it.
+FIT_PARTS = 12
+
 
 def _assembled(train: DataFrame, valid: DataFrame, numeric: Sequence[str], categorical: Sequence[str], scale: bool) -> tuple[DataFrame, DataFrame]:
     """Both tables with ``x``: numbers imputed by the median of ``train`` and standardised by its population figures."""
@@ -76,14 +79,18 @@ def tree_expert(numeric: Sequence[str], categorical: Sequence[str] = (), rounds:
 def staged_rounds(train: DataFrame, check: DataFrame, rounds: int = 2000, patience: int = 100, step: int = 64, depth: int = 3, seed: int = 7) -> tuple[int, list[float]]:
     """The number of boosted trees with the least loss on ``check``, and the loss after each tree that was tried.
 
-    ``step`` trees are fitted, then twice as many and so on: the trees of a shorter fit are the first ones of a longer
-    one. It ends at ``rounds``, or once ``patience`` trees after the best one brought no gain. Of equal losses the first
-    counts. Both tables have ``x`` and y; ``check`` must not be empty.
+    ``step`` trees are judged, then twice as many and so on: the trees of a shorter fit are the first ones of a longer
+    one, so the first fit has as many as the second judgement can ask for. It ends at ``rounds``, or once ``patience``
+    trees after the best one brought no gain. Of equal losses the first counts. Both tables have ``x`` and y; ``check``
+    must not be empty.
     """
-    n = min(step, rounds)
+    n, tried = min(step, rounds), []
     while True:
-        model = GBTClassifier(featuresCol="x", labelCol="y", maxIter=n, maxDepth=depth, stepSize=0.1, seed=seed).fit(train)
-        losses = list(model.evaluateEachIteration(check))
+        if n > len(tried):
+            most = max(n, min(rounds, max(2 * step, step + patience)))
+            model = GBTClassifier(featuresCol="x", labelCol="y", maxIter=most, maxDepth=depth, stepSize=0.1, seed=seed).fit(train)
+            tried = list(model.evaluateEachIteration(check))
+        losses = tried[:n]
         best = min(range(len(losses)), key=lambda i: (losses[i], i)) + 1
         if n >= rounds or n - best >= patience:
             return best, losses[: best + patience]
@@ -91,8 +98,11 @@ def staged_rounds(train: DataFrame, check: DataFrame, rounds: int = 2000, patien
 
 
 def boosting_rounds(train: DataFrame, check: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (), **more) -> DataFrame:
-    """``(round, loss, best_round)``: the loss on ``check`` after every tree that ``staged_rounds`` tried, and the one it keeps."""
-    a, b = (cut(d.select("x", F.col("y").cast("double").alias("y"))) for d in _assembled(train, check, numeric, categorical, False))
+    """``(round, loss, best_round)``: the loss on ``check`` after every tree that ``staged_rounds`` tried, and the one it keeps.
+
+    Each tree reads all rows several times, so both tables are dealt by id, however few splits their files have.
+    """
+    a, b = (cut(d.repartition(FIT_PARTS, "id").sortWithinPartitions("id").select("x", F.col("y").cast("double").alias("y"))) for d in _assembled(train, check, numeric, categorical, False))
     best, losses = staged_rounds(a, b, **more)
     return train.sparkSession.createDataFrame([(i + 1, float(x), best) for i, x in enumerate(losses)], "round int, loss double, best_round int")
 

@@ -68,3 +68,16 @@ def test_staged_expert_scores_all_rows(spark):
     df = rows(spark, 200, 4)
     p = M.staged_tree_expert(["u", "v"], rounds=16, patience=4, step=4)(df.where("inner > 0"), df.where("inner = 0"))
     assert p.count() == df.where("inner = 0").count() and M.REGISTRY["staged"] is M.staged_tree_expert
+
+
+def test_boosting_fits_no_short_model_first_and_deals_rows(spark, monkeypatch):
+    seen, plain = [], GBTClassifier.fit
+
+    def fit(self, train):
+        seen.append((self.getMaxIter(), train.rdd.getNumPartitions()))
+        return plain(self, train)
+
+    monkeypatch.setattr(M.GBTClassifier, "fit", fit)
+    df = rows(spark, 300, 3).coalesce(1)
+    got = M.boosting_rounds(df.where("inner > 0"), df.where("inner = 0"), ["u", "v"], rounds=10, patience=6, step=4).count()
+    assert 4 <= got <= 10 and seen == [(10, M.FIT_PARTS)]
