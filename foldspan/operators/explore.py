@@ -305,13 +305,13 @@ def pair_support(nodes: DataFrame, labels: DataFrame, least: int, block: int = P
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            y, out = batch.column("y").to_pylist(), []
+            # a block's pairs at a time: those of a batch are as many as its rows times the square of a block
             for row, b, ok in made(batch):
                 i, j = np.nonzero(ok & _has(shared, b))
-                l, r = batch.column("l")[row].as_py(), batch.column("r")[row].as_py()
-                out += [(l[p], r[q], y[row]) for p, q in zip(i.tolist(), j.tolist(), strict=True)]
-            a, b, label = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(label, pa.float64())], names=["a", "b", "y"])
+                if len(i):
+                    l, r = (batch.column(c)[row].values.take(pa.array(at)) for c, at in (("l", i), ("r", j)))
+                    y = pa.array([batch.column("y")[row].as_py()] * len(i), pa.float64())
+                    yield pa.RecordBatch.from_arrays([l, r, y], names=["a", "b", "y"])
 
     found = pairs.withColumn("y", F.col("y").cast("double")).mapInArrow(rows, "a string, b string, y double")
     return found.groupBy("a", "b").agg(F.count("*").alias("n"), F.avg("y").alias("rate")).where(F.col("n") >= least)
