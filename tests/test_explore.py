@@ -75,3 +75,19 @@ def test_embedded_rows_agree_with_numpy(spark):
     encode = V.hash_encoder(12)
     got = {r["id"]: r["vec"] for r in V.embed(spark.createDataFrame(rows, "id bigint, t string"), "id", F.col("t"), encode, batch=16).collect()}
     assert all(np.allclose(got[i], encode([t or ""])[0], atol=1e-6) for i, t in rows) and len(got) == 150
+
+
+def test_pairs_leave_a_task_block_by_block(spark, monkeypatch):
+    made, kind = {}, type(spark.range(1))
+    plain = kind.mapInArrow
+
+    def caught(self, func, *a, **k):
+        made[func.__name__] = (func, self)
+        return plain(self, func, *a, **k)
+
+    monkeypatch.setattr(kind, "mapInArrow", caught)
+    nodes = spark.createDataFrame([(i, f"n{j}") for i in range(4) for j in range(6)], "id bigint, node string")
+    X.pair_support(nodes, spark.createDataFrame([(i, i % 2) for i in range(4)], "id bigint, y int"), 2, 3, 64)
+    func, df = made["rows"]
+    sizes = [b.num_rows for b in func(iter(df.toArrow().combine_chunks().to_batches()))]
+    assert max(sizes) <= 9 and sum(sizes) == 4 * 15
