@@ -15,12 +15,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldspan.functions.rows import MISSING, logit, sigmoid
-from foldspan.operators.decompose import main_factor, nonnegative_factors, singular_rows
+from foldspan.operators.decompose import factored_rows, main_factor, singular_products
 from foldspan.operators.encoders import spline_basis
 from foldspan.operators.folds import hash_unit, nested_folds, permuted_labels
 from foldspan.operators.metrics import auc_ap
 from foldspan.operators.ranks import column_percentiles
-from foldspan.operators.tfidf import numbered, term_counts, term_vectors, tfidf, vocabulary, weights
+from foldspan.operators.tfidf import numbered, term_counts, term_vectors, tfidf_rows, vocabulary, weights
 from foldspan.plans.lineage import cut
 
 Expert = Callable[[DataFrame, DataFrame], DataFrame]
@@ -391,7 +391,7 @@ def topic_table(df: DataFrame, terms: Column, k: int = 5, y: str = "y", sweeps:
     """Size and target rate of the main topics: non-negative factors of TF-IDF on the whole vocabulary."""
     from foldspan.operators.explore import group_rates
 
-    left, right, _ = nonnegative_factors(tfidf(df, df, "id", terms, min_df, max_share), k, sweeps)
+    left, right, _ = factored_rows(*tfidf_rows(df, "id", terms, min_df, max_share), k, sweeps)
     return group_rates(main_factor(left, right, k).join(df.select("id", y), "id"), "topic", y)
 
 
@@ -401,7 +401,7 @@ def cluster_table(df: DataFrame, terms: Column, k: int = 8, dims: int = 10, y: s
 
     from foldspan.operators.explore import group_rates
 
-    low, _ = singular_rows(df, tfidf(df, df, "id", terms, min_df, max_share), dims)
+    low, _ = singular_products(df, *tfidf_rows(df, "id", terms, min_df, max_share), dims)
     low = cut(low).withColumn("low", array_to_vector("low"))
     out = KMeans(k=k, seed=seed, featuresCol="low", predictionCol="cluster").fit(low).transform(low).select("id", "cluster")
     return group_rates(out.join(df.select("id", y), "id"), "cluster", y)

@@ -52,6 +52,34 @@ def tfidf(train: DataFrame, other: DataFrame, id_col: str, terms: Column, min_df
     return weights(counts, vocabulary(learned, n, min_df, max_share), sublinear)
 
 
+def unit_rows(cells: DataFrame) -> DataFrame:
+    """``(id, k, x)``: one row an id with its columns rising and its values at length 1, of long ``(id, k, w)``; once each."""
+    lists = cells.groupBy("id").agg(F.collect_list("k").alias("k"), F.collect_list("w").alias("x"))
+
+    def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = list_bounds(batch.column("k"))
+            k, x = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("k", "x"))
+            row = np.repeat(np.arange(batch.num_rows), np.diff(at))
+            order = np.lexsort((k, row))
+            x = x[order] / np.sqrt(np.bincount(row, x * x, batch.num_rows))[row]
+            at = pa.array(at.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(at, pa.array(k[order])), pa.ListArray.from_arrays(at, pa.array(x))], names=["id", "k", "x"])
+
+    return lists.mapInArrow(unit, lists.schema)
+
+
+def tfidf_rows(df: DataFrame, id_col: str, terms: Column, min_df: int = 1, max_share: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """The weights of ``tfidf`` on its own rows as ``(id, k, x)``, an id a row, and the vocabulary ``(term, df, idf, k)``.
+
+    Terms become numbers where they meet their idf, so that only numbers go on, once. An id without terms has no row.
+    """
+    counts = cut(term_counts(df, id_col, terms))
+    vocab = cut(numbered(vocabulary(counts, df.agg(F.count("*").cast("double").alias("n")), min_df, max_share)))
+    w = ((1 + F.log(F.col("tf").cast("double"))) * F.col("idf")).alias("w")
+    return cut(unit_rows(counts.where("id is not null").join(vocab, "term").select("id", "k", w))), vocab
+
+
 def vector_struct(size: int, offsets: np.ndarray, indices: np.ndarray, values: np.ndarray) -> pa.StructArray:
     """Sparse vectors of MLlib as their struct: row i has the cells ``offsets[i]`` to ``offsets[i + 1]``, indices rising."""
     n, at = len(offsets) - 1, pa.array(offsets.astype(np.int32))

@@ -70,6 +70,45 @@ def test_factors_recover_planted_blocks_and_residuals_fall(spark):
     assert plain == pytest.approx(residuals[-1], rel=1e-9) and min(min(x) for x in [*w.values(), *h.values()]) >= 0
 
 
+def test_a_sweep_sends_a_terms_factors_once_a_block(spark, monkeypatch):
+    cells = planted(spark)
+    one = D.nonnegative_factors(cells, 3, 3)
+    monkeypatch.setattr(D, "BLOCK_CELLS", 100)
+    sent, plain = [], D._solver
+    total = spark.sparkContext.accumulator(0)
+
+    def solver(gram, inner):
+        solve = plain(gram, inner)
+        sent.append(1)
+
+        def counted(cells, known):
+            total.add(known.num_rows)
+            return solve(cells, known)
+
+        return counted
+
+    monkeypatch.setattr(D, "_solver", solver)
+    many = D.nonnegative_factors(cells, 3, 3)
+    assert len(sent) == 3 and total.value <= 3 * (90 + 8 * 40) < 3 * cells.count()
+    assert np.allclose(one[2], many[2], rtol=1e-9)
+    for a, b in zip(one[:2], many[:2], strict=True):
+        a, b = ({r[0]: r[1] for r in x.collect()} for x in (a, b))
+        assert a.keys() == b.keys() and all(np.allclose(a[i], b[i], rtol=1e-7, atol=1e-10) for i in a)
+
+
+def test_cells_of_singular_rows_are_made_once(spark):
+    cells, made = planted(spark), spark.sparkContext.accumulator(0)
+    n = cells.count()
+
+    def seen(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    D.singular_rows(spark.range(92), cells.mapInArrow(seen, cells.schema), 4)[0].count()
+    assert made.value == n
+
+
 def test_singular_values_agree_with_numpy(spark):
     cells = planted(spark)
     ids = spark.range(92)
