@@ -13,9 +13,20 @@ from pyspark.sql import functions as F
 from foldspan.functions.rows import safe_div
 
 
+#: Texts that are Python strings at once; an Arrow batch has up to 10,000.
+NFKC_ROWS = 64
+
+
+def _nfkc(t: pa.Array) -> pa.Array:
+    """NFKC a few texts at a time: more of them as Python strings weigh several times what Arrow holds."""
+    one = lambda x: None if x is None else unicodedata.normalize("NFKC", x)
+    parts = (pa.array([one(x) for x in t.slice(i, NFKC_ROWS).to_pylist()], pa.string()) for i in range(0, len(t), NFKC_ROWS))
+    return pa.concat_arrays([pa.array([], pa.string()), *parts])
+
+
 def nfkc(c: Column) -> Column:
     """Unicode normalisation form NFKC, in Arrow batches; Spark has no built-in."""
-    return F.arrow_udf(lambda t: pa.array([None if x is None else unicodedata.normalize("NFKC", x) for x in t.to_pylist()], pa.string()), "string")(c)
+    return F.arrow_udf(_nfkc, "string")(c)
 
 
 def squeezed(c: Column, mask_digits: bool = True, compatible: bool = False) -> Column:

@@ -129,3 +129,21 @@ def test_row_shape_is_compiled_and_terms_are_counted_without_ids(spark):
     table = T.term_table(names, "id", "t", lambda c: T.char_ngrams(c, 2, 2))
     assert sorted(map(tuple, table.collect())) == [("ab", 4, 2), ("ba", 2, 1)]
     assert "gid" not in table._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_nfkc_holds_few_texts_as_strings(monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from foldspan.functions import text as T
+
+    monkeypatch.setattr(T.F, "arrow_udf", lambda f, kind: lambda c: f)
+    f = T.nfkc(None)
+    texts = pa.array([None, "", "ﬁ①"] + ["Ａé日" * 500] * 4000)
+    tracemalloc.start()
+    out = f(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.slice(0, 3).to_pylist() == [None, "", "fi1"] and out[4000].as_py() == "Aé日" * 500 and len(out) == 4003
+    assert len(f(texts.slice(0, 0))) == 0 and peak < 4 << 20
