@@ -3,8 +3,10 @@ gives ``(id, p)``; scores are kept as a long table ``(config, seed, model, split
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -19,21 +21,44 @@ from foldspan.operators.decompose import factored_rows, main_factor, singular_pr
 from foldspan.operators.encoders import spline_basis
 from foldspan.operators.folds import hash_unit, nested_folds, permuted_labels
 from foldspan.operators.metrics import auc_ap
-from foldspan.operators.ranks import column_percentiles
+from foldspan.operators.ranks import column_percentiles, fold_percentiles
 from foldspan.operators.tfidf import numbered, term_counts, term_vectors, tfidf_rows, vocabulary, weights
-from foldspan.plans.lineage import cut
+from foldspan.plans.lineage import cut, ensure_checkpoint_dir
 
 Expert = Callable[[DataFrame, DataFrame], DataFrame]
 
 #: Partitions of rows that a long fit reads; a fixed number, as MLlib's sampled thresholds depend on it.
 FIT_PARTS = 12
 
+#: Rows of a partition that the fits of out-of-fold scores read; the row count alone decides how many there are.
+FIT_ROWS = 1 << 17
 
-def _assembled(train: DataFrame, valid: DataFrame, numeric: Sequence[str], categorical: Sequence[str], scale: bool) -> tuple[DataFrame, DataFrame]:
+
+@dataclass(frozen=True)
+class Known:
+    """What was found for the training rows of all folds at once: percentiles by (column, share), and the columns that
+    have no null in any row, which need no median."""
+
+    percentiles: Mapping[tuple[str, float], float | None] = field(default_factory=dict)
+    whole: frozenset[str] = frozenset()
+
+
+def _declared(fit: Expert, reads: Sequence[str], fills: Sequence[str] = (), places: Sequence[tuple[str, float]] = ()) -> Expert:
+    """``fit`` with the columns it reads, those it fills by their median, and the percentiles it takes; as it says so, it
+    may be given what is ``known`` of them."""
+    fit.reads, fit.fills, fit.places = list(reads), list(fills), list(places)
+    return fit
+
+
+def _assembled(train: DataFrame, valid: DataFrame, numeric: Sequence[str], categorical: Sequence[str], scale: bool, known: Known | None = None) -> tuple[DataFrame, DataFrame]:
     """Both tables with ``x``: numbers imputed by the median of ``train`` and standardised by its population figures."""
     if numeric:
-        q = column_percentiles(train, numeric, [0.5]).first()
-        fill = {c: F.coalesce(F.col(c).cast("double"), F.lit(float(m[0] if m else 0.0))) for c, m in zip(numeric, q, strict=True)}
+        known = known or Known()
+        medians = {c: known.percentiles[c, 0.5] for c in numeric if (c, 0.5) in known.percentiles}
+        asked = [c for c in numeric if c not in medians and c not in known.whole]
+        if asked:
+            medians |= {c: m[0] if m else None for c, m in zip(asked, column_percentiles(train, asked, [0.5]).first(), strict=True)}
+        fill = {c: F.coalesce(F.col(c).cast("double"), F.lit(float(medians.get(c) or 0.0))) for c in numeric}
         train, valid = train.withColumns(fill), valid.withColumns(fill)
         if scale:
             s = train.agg(*[F.avg(c).alias(f"m_{c}") for c in numeric], *[F.stddev_pop(c).alias(f"d_{c}") for c in numeric]).first()
@@ -42,8 +67,9 @@ def _assembled(train: DataFrame, valid: DataFrame, numeric: Sequence[str], categ
     level = {c: F.coalesce(F.col(c).cast("string"), F.lit(MISSING)) for c in categorical}
     if level:
         train, valid = train.withColumns(level), valid.withColumns(level)
-    stages = [StringIndexer(inputCol=c, outputCol=f"__i_{c}", handleInvalid="keep") for c in categorical]
+    stages = []
     if categorical:
+        stages.append(StringIndexer(inputCols=list(categorical), outputCols=[f"__i_{c}" for c in categorical], handleInvalid="keep"))
         stages.append(OneHotEncoder(inputCols=[f"__i_{c}" for c in categorical], outputCols=[f"__o_{c}" for c in categorical], dropLast=False))
     stages.append(VectorAssembler(inputCols=[*numeric, *[f"__o_{c}" for c in categorical]], outputCol="x"))
     m = Pipeline(stages=stages).fit(train)
@@ -57,23 +83,23 @@ def _p(df: DataFrame) -> DataFrame:
 def linear_expert(numeric: Sequence[str], categorical: Sequence[str] = (), c: float = 1.0, weight: str | None = None) -> Expert:
     """L2 logistic regression on standardised, imputed and one-hot columns; the penalty is 1 / (c n)."""
 
-    def fit(train: DataFrame, valid: DataFrame) -> DataFrame:
-        a, b = _assembled(train, valid, numeric, categorical, True)
+    def fit(train: DataFrame, valid: DataFrame, known: Known | None = None) -> DataFrame:
+        a, b = _assembled(train, valid, numeric, categorical, True, known)
         lr = LogisticRegression(featuresCol="x", labelCol="y", regParam=1.0 / (c * max(1, train.count())), standardization=False, maxIter=100)
         return _p((lr.setWeightCol(weight) if weight else lr).fit(a).transform(b))
 
-    return fit
+    return _declared(fit, [*numeric, *categorical, *([weight] if weight else [])], numeric)
 
 
 def tree_expert(numeric: Sequence[str], categorical: Sequence[str] = (), rounds: int = 20, depth: int = 3, check_share: float = 0.2, seed: int = 7) -> Expert:
     """Boosted trees that stop early on a part of the training rows, never on the rows that are scored."""
 
-    def fit(train: DataFrame, valid: DataFrame) -> DataFrame:
-        a, b = _assembled(train, valid, numeric, categorical, False)
+    def fit(train: DataFrame, valid: DataFrame, known: Known | None = None) -> DataFrame:
+        a, b = _assembled(train, valid, numeric, categorical, False, known)
         a = a.withColumn("__check", hash_unit(F.lit("check"), F.col("id")) < check_share)
         return _p(GBTClassifier(featuresCol="x", labelCol="y", maxIter=rounds, maxDepth=depth, stepSize=0.1, seed=seed, validationIndicatorCol="__check").fit(a).transform(b))
 
-    return fit
+    return _declared(fit, [*numeric, *categorical], numeric)
 
 
 def staged_rounds(train: DataFrame, check: DataFrame, rounds: int = 2000, patience: int = 100, step: int = 64, depth: int = 3, seed: int = 7) -> tuple[int, list[float]]:
@@ -113,22 +139,22 @@ def staged_tree_expert(numeric: Sequence[str], categorical: Sequence[str] = (),
     Without rows in that part, or of both labels in the other, ``step`` trees are fitted.
     """
 
-    def fit(train: DataFrame, valid: DataFrame) -> DataFrame:
-        a, b = _assembled(train, valid, numeric, categorical, False)
+    def fit(train: DataFrame, valid: DataFrame, known: Known | None = None) -> DataFrame:
+        a, b = _assembled(train, valid, numeric, categorical, False, known)
         held = hash_unit(F.lit("check"), F.col("id")) < check_share
         rest, check = cut(a.where(~held).select("x", F.col("y").cast("double").alias("y"))), cut(a.where(held).select("x", F.col("y").cast("double").alias("y")))
         n = step if check.isEmpty() or rest.select("y").distinct().count() < 2 else staged_rounds(rest, check, rounds, patience, step, depth, seed)[0]
         return _p(GBTClassifier(featuresCol="x", labelCol="y", maxIter=n, maxDepth=depth, stepSize=0.1, seed=seed).fit(rest).transform(b))
 
-    return fit
+    return _declared(fit, [*numeric, *categorical], numeric)
 
 
 def forest_expert(numeric: Sequence[str], categorical: Sequence[str] = (), trees: int = 20, depth: int = 5, seed: int = 7) -> Expert:
-    def fit(train: DataFrame, valid: DataFrame) -> DataFrame:
-        a, b = _assembled(train, valid, numeric, categorical, False)
+    def fit(train: DataFrame, valid: DataFrame, known: Known | None = None) -> DataFrame:
+        a, b = _assembled(train, valid, numeric, categorical, False, known)
         return _p(RandomForestClassifier(featuresCol="x", labelCol="y", numTrees=trees, maxDepth=depth, seed=seed).fit(a).transform(b))
 
-    return fit
+    return _declared(fit, [*numeric, *categorical], numeric)
 
 
 def vector_expert(vec: str = "vec", c: float = 1.0) -> Expert:
@@ -159,16 +185,22 @@ def text_expert(terms: Column, min_df: int = 3, max_share: float = 0.9, c: float
 def spline_expert(numeric: Sequence[str], categorical: Sequence[str] = (), knots: int = 3, c: float = 1.0) -> Expert:
     """An additive model of few degrees of freedom: quadratic splines at training quantiles, and one-hot levels."""
 
-    def fit(train: DataFrame, valid: DataFrame) -> DataFrame:
-        q = column_percentiles(train, numeric, [(k + 1) / (knots + 1) for k in range(knots)]).first()
-        cols = []
+    shares = [(k + 1) / (knots + 1) for k in range(knots)]
+
+    def fit(train: DataFrame, valid: DataFrame, known: Known | None = None) -> DataFrame:
+        known = known or Known()
+        told = all((n, s) in known.percentiles for n in numeric for s in shares)
+        q = [[known.percentiles[n, s] for s in shares] for n in numeric] if told else column_percentiles(train, numeric, shares).first()
+        cols, whole = [], set()
         for n, edges in zip(numeric, q, strict=True):
-            at = sorted(set(edges or []))
+            at = sorted({e for e in edges or [] if e is not None})
             train, valid = spline_basis(train, n, at), spline_basis(valid, n, at)
-            cols += [f"{n}_s1", f"{n}_s2", *[f"{n}_k{i}" for i in range(len(at))]]
-        return linear_expert(cols, categorical, c)(train, valid)
+            basis = [f"{n}_s1", f"{n}_s2", *[f"{n}_k{i}" for i in range(len(at))]]
+            cols += basis
+            whole |= set(basis) if n in known.whole else set()
+        return linear_expert(cols, categorical, c)(train, valid, Known(whole=frozenset(whole)))
 
-    return fit
+    return _declared(fit, [*numeric, *categorical], places=[(n, s) for n in numeric for s in shares])
 
 
 REGISTRY: dict[str, Callable[..., Expert]] = {"linear": linear_expert, "trees": tree_expert, "staged": staged_tree_expert, "forest": forest_expert, "vector": vector_expert, "text": text_expert, "spline": spline_expert}
@@ -179,21 +211,44 @@ def available(columns: Sequence[str], needs: Mapping[str, Sequence[str]]) -> lis
     return [k for k, v in needs.items() if set(v) <= set(columns)]
 
 
+def _shared(df: DataFrame, experts: Sequence[Expert], k: int, alone: bool) -> tuple[DataFrame, list[Known]]:
+    """``df`` as its fits read it, and what is known of each fold. Unless ``df`` is ``alone``, other rows that are scored may have nulls anywhere."""
+    if all(hasattr(e, "reads") for e in experts):
+        df = df.select(*dict.fromkeys(["id", "y", "fold", *[c for e in experts for c in e.reads]]))
+        # fits read few columns, several times, which Parquet is faster at than a checkpoint's rows
+        path = f"{ensure_checkpoint_dir(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+        df.repartition(df.count() // FIT_ROWS + 1, "id").sortWithinPartitions("id").write.parquet(path)
+        df = df.sparkSession.read.schema(df.schema).parquet(path)
+    fills = sorted({c for e in experts for c in getattr(e, "fills", ())})
+    places = {x for e in experts for x in getattr(e, "places", ())}
+    cols = sorted({*fills, *[c for c, _ in places]})
+    if not cols:
+        return df, [Known()] * k
+    n, *filled = df.agg(F.count("*"), *[F.count(c) for c in cols]).first()
+    whole = frozenset(c for c, x in zip(cols, filled, strict=True) if x == n and alone)
+    wanted = sorted(places | {(c, 0.5) for c in fills if c not in whole})
+    return df, [Known(p, whole) for p in fold_percentiles(df, wanted, k)]
+
+
 def out_of_fold(df: DataFrame, experts: Mapping[str, Expert], k: int = 5, seed: int = 0, config: str = "base", test: DataFrame | None = None, threads: int = 4) -> DataFrame:
     """Scores of every expert for every fold (split oof), and mean scores of the folds' models for ``test``.
 
-    ``df`` has id, y and fold. Fits are independent jobs, started from a few threads.
+    ``df`` has id, y and fold. If all experts say which columns they read, these are written once, dealt by id.
+    The percentiles that they say they take are found for all folds at once. Fits are independent jobs, started from a
+    few threads.
     """
+    df, known = _shared(df, list(experts.values()), k, test is None)
     jobs = [(name, f) for name in experts for f in range(k)]
 
     def one(job):
         name, f = job
         train, valid = df.where(F.col("fold") != f), df.where(F.col("fold") == f)
-        keep = lambda d, split: d.select(F.lit(config).alias("config"), F.lit(seed).alias("seed"), F.lit(name).alias("model"), F.lit(split).alias("split"), F.col("id").cast("bigint").alias("id"), "p")
+        fit = experts[name] if not hasattr(experts[name], "reads") else lambda a, b: experts[name](a, b, known[f])
+        keep = lambda d, split: d.select(F.lit(name).alias("model"), F.lit(split).alias("split"), F.col("id").cast("bigint").alias("id"), "p")
         if test is None:
-            return keep(experts[name](train, valid), "oof")
+            return keep(fit(train, valid), "oof")
         both = valid.select(*valid.columns).unionByName(test, allowMissingColumns=True)
-        scored = experts[name](train, both.withColumn("y", F.coalesce("y", F.lit(0))))
+        scored = fit(train, both.withColumn("y", F.coalesce("y", F.lit(0))))
         ids = valid.select(F.col("id").alias("__v"))
         inside = scored.join(ids, F.col("id") == F.col("__v"), "left_semi")
         return keep(inside, "oof").unionByName(keep(scored.join(ids, F.col("id") == F.col("__v"), "left_anti"), "test"))
@@ -203,7 +258,8 @@ def out_of_fold(df: DataFrame, experts: Mapping[str, Expert], k: int = 5, seed:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.groupBy("config", "seed", "model", "split", "id").agg(F.avg("p").alias("p"))
+    mean = out.groupBy("model", "split", "id").agg(F.avg("p").alias("p"))
+    return mean.select(F.lit(config).alias("config"), F.lit(seed).alias("seed"), "model", "split", "id", "p")
 
 
 def holdout_scores(df: DataFrame, experts: Mapping[str, Expert]) -> DataFrame:

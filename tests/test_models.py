@@ -69,6 +69,33 @@ def test_bank_has_out_of_fold_and_mean_test_scores(spark):
     assert mean == pytest.approx({i: np.mean([t[i] for t in tests]) for i in tests[0]}, abs=1e-6) and len(mean) == 30
 
 
+def test_folds_share_their_percentiles_and_score_as_each_fit_alone(spark, monkeypatch):
+    df = table(spark)
+    experts = {"linear": M.linear_expert(["a", "b"], ["c"]), "trees": M.tree_expert(["a", "b"], rounds=3), "spline": M.spline_expert(["b"], ["c"])}
+    one = df.coalesce(1).sortWithinPartitions("id")  # trees sample as the rows are dealt
+    each = {n: by_id(e(one.where("fold != 1"), one.where("fold = 1"))) for n, e in experts.items()}
+    calls = []
+    monkeypatch.setattr(M, "column_percentiles", lambda *a: calls.append(a))
+    got = M.out_of_fold(df, experts, 3)
+    assert not calls and got.columns == ["config", "seed", "model", "split", "id", "p"] and got.count() == 3 * 240
+    for n, want in each.items():
+        found = by_id(got.where((F.col("model") == n) & (F.col("id") % 3 == 1)))
+        assert found == pytest.approx(want, abs=1e-6) and len(found) == 80
+
+
+def test_other_experts_get_two_tables_with_all_columns(spark):
+    seen = []
+
+    def mean(train, valid):
+        seen.append(train.columns)
+        return valid.select("id", F.lit(train.agg(F.avg("b")).first()[0]).alias("p"))
+
+    df = table(spark).withColumn("nothing", F.lit(None))
+    got = by_id(M.out_of_fold(df, {"mean": mean, "linear": M.linear_expert(["a"])}, 3).where("model = 'mean'"))
+    want = {f: df.where(F.col("fold") != f).agg(F.avg("b")).first()[0] for f in range(3)}
+    assert got == pytest.approx({i: want[i % 3] for i in range(240)}) and all(c == df.columns for c in seen)
+
+
 def test_ridge_of_a_residual_agrees_with_its_normal_equations(spark):
     df = table(spark).withColumn("residual", F.col("y") - F.lit(0.4))
     x, y, z, ids, *_ = parts(df, ["a", "b"])

@@ -15,6 +15,20 @@ def ranges(request, monkeypatch):
     monkeypatch.setattr(ranks, "RANGE_ROWS", request.param)
 
 
+def test_percentiles_of_the_other_folds_are_those_of_numpy(spark, ranges):
+    rows = [(i % 4 if i % 29 else None, v, float(i % 5) if g else -4.0, None) for i, (g, v) in enumerate(VALUES)]
+    df = spark.createDataFrame(rows, "fold int, v double, few double, none double").repartition(3)
+    wanted = [*[(c, s) for c in ("v", "few") for s in (0.0, 0.25, 0.5, 0.9, 1.0)], ("none", 0.5)]
+    got = ranks.fold_percentiles(df, wanted, 5)
+    for f in range(5):  # no row is in the last fold
+        for i, c in ((1, "v"), (2, "few")):
+            values = [r[i] for r in rows if r[0] is not None and r[0] != f and r[i] is not None]
+            for s in (0.0, 0.25, 0.5, 0.9, 1.0):
+                assert got[f][c, s] == pytest.approx(np.percentile(values, 100 * s))
+        assert got[f]["none", 0.5] is None
+    assert ranks.fold_percentiles(df.where("false"), wanted, 1) == [dict.fromkeys(wanted)] and ranks.fold_percentiles(df, [], 2) == [{}, {}]
+
+
 def test_percentiles_are_those_of_numpy(spark, ranges):
     df = spark.createDataFrame([*VALUES, (7, None), (None, 2.5)], "g int, v double")
     shares = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
