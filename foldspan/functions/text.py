@@ -192,10 +192,15 @@ def workforce_axes(df: DataFrame, chart: str, overview: str, industry_score: Col
 
 
 def char_ngrams(c: Column, low: int, high: int) -> Column:
-    """All character n-grams, repeats included."""
-    c = F.coalesce(c, F.lit(""))
-    some = lambda n: F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (n - 1), F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-    return F.concat(*[some(n) for n in range(low, high + 1)])
+    """All character n-grams, repeats included. A text becomes its characters once, as a substring looks for its place from the start."""
+
+    def some(chars: Column, n: int) -> Column:
+        made = F.transform(F.sequence(F.lit(0), F.greatest(F.size(chars) - n, F.lit(0))), lambda i: F.concat(*[F.get(chars, i + k) for k in range(n)]))
+        return F.when(F.size(chars) >= n, made).otherwise(F.array().cast("array<string>"))
+
+    chars = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit("(?s)."), F.lit(0))
+    # the characters are the argument of a function, so that they are found once for all lengths
+    return F.flatten(F.transform(F.array(chars), lambda x: F.concat(*[some(x, n) for n in range(low, high + 1)])))
 
 
 def word_char_ngrams(c: Column, low: int, high: int) -> Column:

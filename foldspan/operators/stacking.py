@@ -11,7 +11,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from dataclasses import dataclass
+from threading import Condition
 
 import numpy as np
 import pyarrow as pa
@@ -57,10 +59,32 @@ class Plan:
         return [*range(self.groups), *([None] if self.rest else [])]
 
 
-def _fold_vectors(rows: DataFrame, idf: Broadcast) -> DataFrame:
-    """``(id, y, features)`` with the weights of one training set: (1 + ln tf) idf of its vocabulary, in unit rows."""
+class _Room:
+    """Lets fits in while their terms stay within a width; one that has more runs alone."""
+
+    def __init__(self, width: int):
+        self.width = self.left = width
+        self.changed = Condition()
+
+    @contextmanager
+    def of(self, terms: int) -> Iterator[None]:
+        terms = min(terms, self.width)
+        with self.changed:
+            self.changed.wait_for(lambda: self.left >= terms)
+            self.left -= terms
+        try:
+            yield
+        finally:
+            with self.changed:
+                self.left += terms
+                self.changed.notify_all()
+
+
+def _fold_vectors(rows: DataFrame, idf: Broadcast, size: int) -> DataFrame:
+    """``(id, y, features)`` with the weights of one training set: (1 + ln tf) idf of its ``size`` terms, numbered anew, in unit rows."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = np.cumsum(~np.isnan(idf.value)) - 1
         for batch in batches:
             k, tf = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("k", "tf"))
             row, w = np.repeat(np.arange(batch.num_rows), np.diff(list_bounds(batch.column("k")))), idf.value[k]
@@ -68,7 +92,7 @@ def _fold_vectors(rows: DataFrame, idf: Broadcast) -> DataFrame:
             k, row, v = k[known], row[known], (1 + np.log(tf[known])) * w[known]
             norm = np.sqrt(np.bincount(row, v * v, minlength=batch.num_rows))
             bounds = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=batch.num_rows))])
-            features = vector_struct(len(idf.value), bounds, k, v / norm[row] if len(v) else v)
+            features = vector_struct(size, bounds, place[k], v / norm[row] if len(v) else v)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), features], names=["id", "y", "features"])
 
     narrow = rows.select("id", F.col("y").cast("double").alias("y"), "k", "tf")
@@ -88,8 +112,9 @@ def complement_scores(df: DataFrame, series: Mapping[str, TextSetting], plans: S
 
     ``df`` has id, y and what the settings and groups read; ids are unique. A text without a term of the vocabulary, a
     null one too, is scored on zeros. A training set without both labels gives the share of ones it has. Models are
-    fitted from as many threads as their vocabularies leave in ``width`` terms, over one partition a core, as each
-    partition sends a gradient of the vocabulary for each step; their scores are kept, not they.
+    fitted from as many threads as their vocabularies leave in ``width`` terms, and a model has the terms of its own
+    training set only. Fits side by side share the cores: each reads as many partitions as its share, as each partition
+    sends a gradient of the vocabulary for each step. Scores are kept, not models.
     """
     # a number for the row's groups in all plans, which goes along with its terms
     bases = [int(np.prod([q.groups + 1 for q in plans[:i]])) for i in range(len(plans))]
@@ -108,7 +133,7 @@ def complement_scores(df: DataFrame, series: Mapping[str, TextSetting], plans: S
         """What a training set has: all groups of the plan but the one left out."""
         return sum((name(i, h) for h in range(p.groups) if h != g), start=name(i, 0) * 0)
 
-    def weigh(setting: TextSetting) -> tuple[DataFrame, DataFrame, int]:
+    def weigh(setting: TextSetting) -> tuple[DataFrame, DataFrame, list[int]]:
         counts = cut(term_counts(df, "id", setting.terms, ["__at"]))
         docs = counts.groupBy("term").agg(*[F.count_if(F.floor(F.col("__at") / bases[i]) % (plans[i].groups + 1) == g).alias(f"c{i}_{g}") for i, g in cells])
         idf = []
@@ -120,29 +145,35 @@ def complement_scores(df: DataFrame, series: Mapping[str, TextSetting], plans: S
         of_row = numbers.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("k", "tf"))).alias("cells"))
         none = F.array().cast("array<int>")
         rows = keys.join(of_row, "id", "left").select("id", "y", "groups", *[F.coalesce(F.col("cells")[c], none).alias(c) for c in ("k", "tf")])
-        return cut(rows), vocab, max(1, vocab.count())
+        *known, size = vocab.agg(*[F.count(F.col("idf")[at]) for at in range(len(jobs))], F.count("*")).first()
+        return cut(rows), vocab, [*known, size]
 
     with ThreadPoolExecutor(threads) as pool:
         ready = dict(zip(series, pool.map(weigh, series.values()), strict=True))
 
+    work = [(name, j) for name in series for j in enumerate(jobs)]
+    room = _Room(width)
+
     def fit(job) -> DataFrame:
         name, (at, (i, p, g)) = job
-        rows, vocab, size = ready[name]
-        scored = rows.where(~has(i) if g is None else inside(i, g))
+        rows, vocab, (*known, size) = ready[name]
+        scored = rows.where(~has(i) if g is None else inside(i, g)).coalesce(cores)
         n, ones = (left(lambda i, h, x=x: sizes[f"{x}{i}_{h}"], i, p, g) for x in "cy")
         shape = [F.lit(name).alias("series"), F.lit(p.name).alias("plan"), F.lit(g).cast("int").alias("job"), "id"]
         if not 0 < ones < n:
             return scored.select(*shape, F.lit(ones / n if n else 0.0).alias("p"))
-        idf = _job_idf(vocab, at, size)
-        train = _fold_vectors(rows.where(has(i) & ~inside(i, g) if g is not None else has(i)).coalesce(cores), idf)
-        lr = LogisticRegression(labelCol="y", regParam=1.0 / (series[name].c * n), standardization=False, maxIter=50)
-        out = cut(lr.fit(train).transform(_fold_vectors(scored, idf)).select(*shape, vector_to_array("probability")[1].alias("p")))
-        idf.unpersist()
+        terms = max(1, known[at])
+        together = max(1, min(threads, len(work), width // terms))
+        with room.of(terms):
+            idf = _job_idf(vocab, at, max(1, size))
+            train = _fold_vectors(rows.where(has(i) & ~inside(i, g) if g is not None else has(i)).coalesce(-(-cores // together)), idf, terms)
+            lr = LogisticRegression(labelCol="y", regParam=1.0 / (series[name].c * n), standardization=False, maxIter=50)
+            out = cut(lr.fit(train).transform(_fold_vectors(scored, idf, terms)).select(*shape, vector_to_array("probability")[1].alias("p")))
+            idf.unpersist()
         return out
 
-    together = max(1, min(threads, width // max(size for _, _, size in ready.values())))
-    with ThreadPoolExecutor(together) as pool:
-        parts = list(pool.map(fit, [(name, j) for name in series for j in enumerate(jobs)]))
+    with ThreadPoolExecutor(threads) as pool:
+        parts = list(pool.map(fit, work))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

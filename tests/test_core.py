@@ -147,3 +147,18 @@ def test_nfkc_holds_few_texts_as_strings(monkeypatch):
     tracemalloc.stop()
     assert out.slice(0, 3).to_pylist() == [None, "", "fi1"] and out[4000].as_py() == "Aé日" * 500 and len(out) == 4003
     assert len(f(texts.slice(0, 0))) == 0 and peak < 4 << 20
+
+
+def test_character_ngrams_are_those_of_code_points_and_linear_in_the_text(spark):
+    import time
+
+    from foldspan.functions import text as T
+
+    texts = ["", "a", "ab", "añ😀\n b", "line\r\nend\u2028x", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = {r["id"]: r["g"] for r in df.select("id", T.char_ngrams(F.col("t"), 1, 3).alias("g")).collect()}
+    assert got == {i: [x[at : at + n] for x in [t or ""] for n in (1, 2, 3) for at in range(len(x) - n + 1)] for i, t in enumerate(texts)}
+    long = spark.range(1).select(F.repeat(F.lit("abcdefghé "), 40_000).alias("t"))
+    began = time.time()
+    assert long.select(F.size(T.char_ngrams(F.col("t"), 2, 2)).alias("n")).first()["n"] == 399_999
+    assert time.time() - began < 15

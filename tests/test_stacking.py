@@ -149,3 +149,48 @@ def test_fits_use_a_partition_a_core_and_as_many_threads_as_the_vocabulary_leave
         for k, v in old.items():
             spark.conf.set(k, v)
     assert max(parts) <= spark.sparkContext.defaultParallelism and max(most) == 1
+
+
+def test_fits_side_by_side_share_the_cores_and_have_their_own_terms(spark, monkeypatch):
+    parts, features, plain = [], [], K.LogisticRegression.fit
+
+    def fit(self, train):
+        parts.append(train.rdd.getNumPartitions())
+        model = plain(self, train)
+        features.append(model.numFeatures)
+        return model
+
+    monkeypatch.setattr(K.LogisticRegression, "fit", fit)
+    df = docs(spark).withColumn("text", F.concat_ws(" ", "text", F.concat(F.lit("only"), "fold")))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "12")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        out = K.complement_scores(df, {"a": K.TextSetting(word_ngrams(F.col("text"), 1, 1))}, [K.Plan("p", F.col("fold"), 3)])
+        assert out.count() == 90
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert parts == [2, 2, 2]  # 4 cores, three fits
+    assert features == [27, 27, 27]  # of 28 terms: a fold's own one is not in its training set
+
+
+def test_room_is_shared_by_terms_and_one_that_exceeds_it_runs_alone():
+    import threading
+    import time
+
+    room, now, most = K._Room(10), [], []
+
+    def one(terms):
+        with room.of(terms):
+            now.append(terms)
+            most.append(list(now))
+            time.sleep(0.05)
+            now.remove(terms)
+
+    threads = [threading.Thread(target=one, args=(n,)) for n in (4, 4, 4, 30, 4, 2)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert len(most) == 6 and all(sum(x) <= 10 or x == [30] for x in most) and room.left == 10
