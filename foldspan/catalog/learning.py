@@ -40,7 +40,7 @@ def q_text_stack(t):
 def q_text_series(t):
     half = F.floor(F.length("text") / 2).cast("int")
     texts = {"whole": F.col("text"), "first": F.substring("text", F.lit(1), half), "last": F.substring("text", half + 1, F.length("text"))}
-    return K.stacked_series(_docs(t), {n: K.TextSetting(word_ngrams(c, 1, 1)) for n, c in texts.items()}, 2, 2)
+    return K.stacked_series(_docs(t), {n: K.TextSetting(word_ngrams(c, 1, 1)) for n, c in texts.items()}, 3, 2)
 
 
 @query("J24")

@@ -182,8 +182,10 @@ def complement_scores(df: DataFrame, series: Mapping[str, TextSetting], plans: S
 
 def stacked_series(df: DataFrame, series: Mapping[str, TextSetting], k: int = 3, inner: int = 3) -> DataFrame:
     """``(outer, id, part, <series>...)``: text scores for every outer fold, from inner folds for its training rows and
-    from all its training rows for its validation rows. ``df`` has id, y, fold and the texts."""
+    from all its training rows for its validation rows. ``df`` has id, y, fold and the texts. Each fold that it has is
+    an outer one, ``k`` of them at least."""
     df = cut(df)
+    k = max(k, 1 + (df.agg(F.max("fold")).first()[0] or 0))
     nested = nested_folds(df.select(F.lit(0).alias("seed"), "id", "y", "fold"), k, inner)
     # one row an id: an entry a fold, null for its own
     wide = nested.groupBy(F.col("id").alias("__id")).agg(*[F.max(F.when(F.col("outer") == o, F.col("inner"))).alias(f"__g{o}") for o in range(k)])

@@ -194,3 +194,20 @@ def test_room_is_shared_by_terms_and_one_that_exceeds_it_runs_alone():
     for t in threads:
         t.join()
     assert len(most) == 6 and all(sum(x) <= 10 or x == [30] for x in most) and room.left == 10
+
+
+def test_every_fold_is_an_outer_one(spark, sf_dir, monkeypatch):
+    from foldspan import catalog
+
+    catalog.register_all()
+    asked = []
+
+    def scores(df, series, plans):
+        asked.append([(p.name, p.groups, p.rest) for p in plans])
+        assert df.columns[-3:] == ["__g0", "__g1", "__g2"]
+        return df.sparkSession.createDataFrame([("0", None, 1, 0.5)], "plan string, job int, id bigint, p double").withColumn("series", F.lit(next(iter(series))))
+
+    monkeypatch.setattr(K, "complement_scores", scores)
+    K.stacked_series(docs(spark), {"a": K.TextSetting(word_ngrams(F.col("text"), 1, 1))}, 2, 2)
+    catalog.QUERIES["q_text_series"](spark, sf_dir)
+    assert asked == [[("0", 2, True), ("1", 2, True), ("2", 2, True)]] * 2
