@@ -100,3 +100,23 @@ def test_a_pair_of_blocks_has_few_distances_in_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert found.num_rows == 2048 and peak < 64 << 20
+
+
+def test_every_row_of_the_table_is_a_query(spark, sf_dir):
+    from foldspan import catalog
+
+    catalog.register_all()
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    n = v.count()
+    assert catalog.QUERIES["q_knn_smooth"](spark, sf_dir).select("query").distinct().count() == n
+    assert catalog.QUERIES["q_top1_purity"](spark, sf_dir).first()["n"] == n
+    assert not [q for q in ("q_knn_smooth", "q_top1_purity") if "% 20" in catalog.SQL[q]]
+
+
+def test_floats_are_shuffled_as_floats_with_the_same_neighbours(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, v, i % 2) for i, v in enumerate(rng.normal(size=(60, 6)).astype(np.float32).tolist())]
+    df = table(spark, rows).withColumn("vec", F.col("vec").cast("array<float>"))
+    assert dict(N._sides(df, df, "id", "vec", "y")[0].dtypes)["vec"] == "array<float>"
+    assert found(N.nearest(df, df, 4, block_rows=16)) == plain(rows, rows, 4)
+    assert dict(N._sides(df, table(spark, rows), "id", "vec", "y")[0].dtypes)["vec"] == "array<double>"
