@@ -35,21 +35,51 @@ def vocabulary(counts: DataFrame, n_docs: DataFrame, min_df: int = 1, max_share:
     return v.select("term", "df", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1).alias("idf"))
 
 
-def weights(counts: DataFrame, vocab: DataFrame, sublinear: bool = True) -> DataFrame:
-    """``(id, term, weight)``: unit rows of (1 + ln tf) idf. Terms that the vocabulary lacks are left out."""
+def known_cells(counts: DataFrame, n_docs: DataFrame, min_df: int = 1, max_share: float = 1.0) -> DataFrame:
+    """``(id, term, tf, idf)``: the counts of the terms that ``vocabulary`` would take from them.
+
+    A window counts the rows of a term where they meet, so that counts are shuffled by term once, and neither written nor
+    joined to a vocabulary made of them.
+    """
+    met = counts.select("id", "term", "tf", F.count("*").over(Window.partitionBy("term")).alias("df")).crossJoin(F.broadcast(n_docs))
+    met = met.where((F.col("df") >= min_df) & (F.col("df") <= max_share * F.col("n")))
+    return met.select("id", "term", "tf", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1).alias("idf"))
+
+
+def _raw_weights(cells: DataFrame, sublinear: bool) -> DataFrame:
     tf = 1 + F.log(F.col("tf").cast("double")) if sublinear else F.col("tf").cast("double")
-    raw = counts.join(vocab.select("term", "idf"), "term").select("id", "term", (tf * F.col("idf")).alias("w"))
+    return cells.select("id", "term", (tf * F.col("idf")).alias("w"))
+
+
+def _unit_weights(cells: DataFrame, sublinear: bool) -> DataFrame:
     # a window reads the cells once; sums per id joined to them would make them twice
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
-    return raw.select("id", "term", (F.col("w") / norm).alias("weight")).where("id is not null")
+    return _raw_weights(cells, sublinear).select("id", "term", (F.col("w") / norm).alias("weight")).where("id is not null")
+
+
+def weights(counts: DataFrame, vocab: DataFrame, sublinear: bool = True) -> DataFrame:
+    """``(id, term, weight)``: unit rows of (1 + ln tf) idf. Terms that the vocabulary lacks are left out."""
+    return _unit_weights(counts.join(vocab.select("term", "idf"), "term"), sublinear)
 
 
 def tfidf(train: DataFrame, other: DataFrame, id_col: str, terms: Column, min_df: int = 1, max_share: float = 1.0, sublinear: bool = True) -> DataFrame:
     """Weights of the rows of ``other`` by the vocabulary of ``train``."""
     n = train.agg(F.count("*").cast("double").alias("n"))
-    counts = cut(term_counts(other, id_col, terms))
-    learned = counts if train is other else term_counts(train, id_col, terms)
-    return weights(counts, vocabulary(learned, n, min_df, max_share), sublinear)
+    counts = term_counts(other, id_col, terms)
+    if train is other:
+        return _unit_weights(known_cells(counts, n, min_df, max_share), sublinear)
+    return weights(counts, vocabulary(term_counts(train, id_col, terms), n, min_df, max_share), sublinear)
+
+
+def tfidf_summary(df: DataFrame, id_col: str, terms: Column, min_df: int = 1, max_share: float = 1.0, sublinear: bool = True) -> DataFrame:
+    """``(id, n_terms, top_weight, total)`` of the weights of ``tfidf`` on its own rows: number, largest and sum.
+
+    A row's length divides its sums, not its cells, so that only sums are shuffled by id.
+    """
+    n = df.agg(F.count("*").cast("double").alias("n"))
+    raw = _raw_weights(known_cells(term_counts(df, id_col, terms), n, min_df, max_share), sublinear).where("id is not null")
+    sums = raw.groupBy("id").agg(F.count("*").alias("n_terms"), F.max("w").alias("top"), F.sum("w").alias("sum"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+    return sums.select("id", "n_terms", (F.col("top") / F.col("length")).alias("top_weight"), (F.col("sum") / F.col("length")).alias("total"))
 
 
 def unit_rows(cells: DataFrame) -> DataFrame:

@@ -146,3 +146,25 @@ def test_words_are_found_once_and_cells_are_weighed_once(spark):
     assert w._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 2  # the vocabulary and the number of rows
     norms = w.groupBy("id").agg(F.sum(F.col("weight") * F.col("weight")).alias("n")).collect()
     assert {r["id"]: round(r["n"], 9) for r in norms} == {1: 1.0, 2: 1.0}
+
+
+def test_cells_are_shuffled_by_term_once_and_not_written(spark, monkeypatch):
+    from foldspan.functions.text import word_ngrams
+    from foldspan.operators import tfidf as I
+
+    rows = [(1, "aa bb aa cc"), (2, "bb aa dd"), (3, None), (4, "cc cc bb aa"), (1, "ee bb"), (None, "aa bb zz"), (5, "bb")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    terms = word_ngrams(F.col("text"), 1, 2)
+    monkeypatch.setattr(I, "cut", lambda d: pytest.fail("cells are written"))
+    w = I.tfidf(df, df, "id", terms, 2, 0.8)
+    other = I.tfidf(df, df.select("*"), "id", terms, 2, 0.8)
+    key = lambda d: {(r["id"], r["term"]): round(r["weight"], 12) for r in d.collect()}
+    assert key(w) == key(other) and len(key(w)) > 5 and None not in {i for i, _ in key(w)}
+    s = I.tfidf_summary(df, "id", terms, 2, 0.8)
+    want = {r["id"]: r for r in w.groupBy("id").agg(F.count("*").alias("n_terms"), F.max("weight").alias("top_weight"), F.sum("weight").alias("total")).collect()}
+    got = {r["id"]: r for r in s.collect()}
+    assert got.keys() == want.keys()
+    for i, r in got.items():
+        assert r["n_terms"] == want[i]["n_terms"] and all(r[c] == pytest.approx(want[i][c], rel=1e-12) for c in ("top_weight", "total"))
+    assert "Exchange hashpartitioning(term" in s._jdf.queryExecution().executedPlan().toString()
+    assert s._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1  # the number of rows
